@@ -1,41 +1,76 @@
 """Readings of a date text: one explicit date, or up to two day/month orders."""
 
-from pyspark.sql import Column
+from itertools import zip_longest
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import strip
 
 YEAR_LAST = r"^\d{1,2}([-/])\d{1,2}\1\d{4}\z"
 YEAR_FIRST = r"^\d{4}([-/])\d{1,2}\1(?:\d{1,2}| [1-9])\z"
-MONTH_NAME = r"(?U)^[A-Za-z]{3}\s+(?:[0-9]{1,2})\s+[0-9]{4}\z"
+MONTH_NAME = r"(?U)^[A-Za-z]{3}\s+[0-9]{1,2}\s+[0-9]{4}\z"
 
 # English month abbreviations.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:
-    """A DATE, or NULL when the parts name no day; year 0 is none."""
-    return F.when(year > "0000", F.concat_ws("-", year, month, day).try_cast("date"))
+    """A DATE from three whole numbers, or NULL when they name no day; year 0 is none.
+
+    The day is checked first: letting a cast fail costs an exception per row.
+    """
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    last = (
+        F.when(month.isin(4, 6, 9, 11), 30).when(month != 2, 31).when(leap, 29).otherwise(28)
+    )
+    valid = (year > 0) & month.between(1, 12) & (day > 0) & (day <= last)
+    return F.when(valid, F.make_date(year, month, day))
 
 
-def date_readings(text: Column) -> Column:
-    """STRUCT(sep, dmy, mdy, explicit) for one raw date text."""
-    value = strip(text)
-    year_last = value.rlike(YEAR_LAST)
-    slashed = F.when(F.contains(value, F.lit("/")), F.lit("/")).otherwise(F.lit("-"))
-    part = F.split(F.translate(value, "/", "-"), "-")
-    first, second, third = (F.get(part, i) for i in range(3))
+def reading_layers(prefix: str, text: str) -> list[dict[str, Column]]:
+    """Layers that end in <prefix>_form, _dmy, _mdy and _explicit for one text column.
 
+    ``form`` is the separator of a year-last text, 'first' or 'named' for the explicit forms, else
+    NULL. A layer only reads columns of the layers before it, so nothing is computed twice.
+    """
+    value, form, parts = (F.col(f"{prefix}_{name}") for name in ("text", "form", "parts"))
+    a, b, c = (F.col(f"{prefix}_{name}") for name in "abc")
     words = F.split(value, r"(?U)\s+")
+    first, second, third = (F.get(parts, i) for i in range(3))
+    named = form == "named"
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.get(words, 0)))
-    named = F.when(month > 0, _date(F.get(words, 2), month.cast("string"), F.get(words, 1)))
-
-    explicit = F.when(
-        value.rlike(YEAR_FIRST), _date(first, second, F.ltrim(third))
-    ).when(value.rlike(MONTH_NAME), named)
-    return F.struct(
-        F.when(year_last, slashed).alias("sep"),
-        F.when(year_last, _date(third, second, first)).alias("dmy"),
-        F.when(year_last, _date(third, first, second)).alias("mdy"),
-        explicit.alias("explicit"),
-    )
+    year_last = form.isin("-", "/")
+    return [
+        {f"{prefix}_text": strip(F.col(text))},
+        {
+            f"{prefix}_form": F.when(
+                value.rlike(YEAR_LAST),
+                F.when(F.contains(value, F.lit("/")), F.lit("/")).otherwise(F.lit("-")),
+            )
+            .when(value.rlike(YEAR_FIRST), F.lit("first"))
+            .when(value.rlike(MONTH_NAME), F.lit("named")),
+            f"{prefix}_parts": F.split(value, "[-/]"),
+        },
+        {
+            f"{prefix}_a": F.when(named, month.cast("int")).when(form.isNotNull(), first.cast("int")),
+            f"{prefix}_b": F.when(named, F.get(words, 1).cast("int")).when(
+                form.isNotNull(), second.cast("int")
+            ),
+            f"{prefix}_c": F.when(named, F.get(words, 2).cast("int")).when(
+                form.isNotNull(), F.ltrim(third).cast("int")
+            ),
+        },
+        {
+            f"{prefix}_dmy": F.when(year_last, _date(c, b, a)),
+            f"{prefix}_mdy": F.when(year_last, _date(c, a, b)),
+            f"{prefix}_explicit": F.when(form == "first", _date(a, b, c)).when(named, _date(c, a, b)),
+        },
+    ]
+
+
+def apply_layers(df: DataFrame, *branches: list[dict[str, Column]]) -> DataFrame:
+    """Add the n-th layers of all branches together: as few projections as the longest branch."""
+    for layers in zip_longest(*branches, fillvalue={}):
+        df = df.withColumns({name: column for layer in layers for name, column in layer.items()})
+    return df

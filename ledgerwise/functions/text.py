@@ -11,18 +11,29 @@ WHITESPACE = (
 )
 
 
+# A first or last character that is not visible ASCII, so may be white space.
+_EDGE = r"^[^!-~]|[^!-~]\z"
+
+
 def strip(text: Column) -> Column:
-    """Cut white space of any kind at both ends; plain ``trim`` only cuts spaces."""
-    return F.trim(text, F.lit(WHITESPACE))
+    """Cut white space of any kind at both ends; plain ``trim`` only cuts spaces.
+
+    Trimming by a character set searches the set for every end character, so it is kept for texts
+    that may need it.
+    """
+    return F.when(text.rlike(_EDGE), F.trim(text, F.lit(WHITESPACE))).otherwise(text)
 
 
 def blank_to_null(text: Column) -> Column:
     return F.when(text != "", text)
 
 
-def canonical(text: Column, aliases: dict) -> Column:
-    """Map each accepted spelling to its canonical value; NULL when unknown."""
-    key = F.lower(strip(text))
+def alias_key(text: Column) -> Column:
+    return F.lower(strip(text))
+
+
+def canonical(key: Column, aliases: dict) -> Column:
+    """Map an ``alias_key`` to its canonical value; NULL when unknown."""
     result = None
     for value, spellings in aliases.items():
         hit = key.isin(spellings)
@@ -30,6 +41,16 @@ def canonical(text: Column, aliases: dict) -> Column:
     return result
 
 
+def collect_where(entries: list[tuple[Column, Column]], element_type: str) -> Column:
+    """ARRAY of the values whose condition holds, in the given order.
+
+    Built by ``concat``, which is compiled; ``array_compact`` is a lambda and would pull all its
+    inputs out of generated code.
+    """
+    empty = F.array().cast(f"array<{element_type}>")
+    return F.concat(*[F.when(held, F.array(value)).otherwise(empty) for held, value in entries])
+
+
 def decimal_text(number: Column) -> Column:
     """Shortest plain text of a decimal: no exponent, no trailing zeros."""
     return F.regexp_replace(number.cast("string"), r"\.?0+$", "")

@@ -4,11 +4,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import policies as P
-from ..functions.dates import date_readings
+from ..functions.dates import apply_layers, reading_layers
+from ..functions.text import collect_where
 
 DATE_FIELDS = ["signup_date", "invoice_date"]
 SEPARATORS = {"dash": "-", "slash": "/"}
-ORDERS = ["dmy", "mdy"]
 
 ISSUE_TYPE = (
     "struct<code:string,field:string,raw:string,candidates:array<date>,evidence:string,"
@@ -29,129 +29,105 @@ def issue(code: str, field: str, **details: Column) -> Column:
     )
 
 
-def _evidence_flag(field: str, separator: str, order: str) -> str:
-    return f"{field}_{separator}_{order}"
-
-
 def format_evidence(raw: DataFrame) -> DataFrame:
-    """One row of flags: was this day/month order proved for this field and separator?
+    """One row: for each field and separator the array of day/month orders that records proved.
 
     A record proves an order when its text has exactly one valid reading. Every task reduces its
     rows to eight booleans before the shuffle.
     """
-    readings = raw.select(*[date_readings(F.col(f)).alias(f) for f in DATE_FIELDS])
-    flags = []
-    for field in DATE_FIELDS:
-        read = F.col(field)
-        for name, sep in SEPARATORS.items():
-            for order, other in (ORDERS, ORDERS[::-1]):
-                proved = (read["sep"] == sep) & read[order].isNotNull() & read[other].isNull()
-                flags.append(
-                    F.coalesce(F.bool_or(proved), F.lit(False)).alias(_evidence_flag(field, name, order))
-                )
-    return readings.agg(*flags)
+    readings = apply_layers(raw.select(*DATE_FIELDS), *[reading_layers(f"_{f}", f) for f in DATE_FIELDS])
+    flags, orders = [], []
+    for f in DATE_FIELDS:
+        form, dmy, mdy = (F.col(f"_{f}_{part}") for part in ("form", "dmy", "mdy"))
+        for name, mark in SEPARATORS.items():
+            key = f"{f}_{name}"
+            seen = form == mark
+            flags.append(F.bool_or(seen & dmy.isNotNull() & mdy.isNull()).alias(f"{key}_dmy"))
+            flags.append(F.bool_or(seen & mdy.isNotNull() & dmy.isNull()).alias(f"{key}_mdy"))
+            entries = [(F.col(f"{key}_{o.lower()}"), F.lit(o)) for o in ("DMY", "MDY")]
+            orders.append(collect_where(entries, "string").alias(key))
+    return readings.agg(*flags).select(*orders)
 
 
 def evidence_table(raw: DataFrame) -> DataFrame:
     """The evidence in long form: field, sep and the proved orders; no row without evidence."""
     entries = [
-        F.struct(
-            F.lit(field).alias("field"),
-            F.lit(sep).alias("sep"),
-            F.array_compact(
-                F.array(*[
-                    F.when(F.col(_evidence_flag(field, name, order)), F.lit(order.upper()))
-                    for order in ORDERS
-                ])
-            ).alias("orders"),
-        )
-        for field in DATE_FIELDS
-        for name, sep in SEPARATORS.items()
+        F.struct(F.lit(f).alias("field"), F.lit(mark).alias("sep"), F.col(f"{f}_{name}").alias("orders"))
+        for f in DATE_FIELDS
+        for name, mark in SEPARATORS.items()
     ]
-    return (
-        format_evidence(raw)
-        .select(F.inline(F.array(*entries)))
-        .filter(F.size("orders") > 0)
-    )
+    return format_evidence(raw).select(F.inline(F.array(*entries))).filter(F.size("orders") > 0)
 
 
-def resolve_dates(raw: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
-    """Replace the two date texts by dates and add ``date_issues``.
+def date_layers(evidence: DataFrame) -> list[dict[str, Column]]:
+    """Layers that turn raw_signup_date and raw_invoice_date into signup_date and invoice_date.
 
-    The text columns stay as ``raw_signup_date`` and ``raw_invoice_date``. The evidence is one row,
-    read through a scalar subquery, so no join is needed.
+    The evidence is one row of four short arrays, read through one scalar subquery, so no join is
+    needed. ``_<field>_order`` is NULL where there was nothing to choose, the trusted order, or
+    'open'.
     """
-    if evidence is None:
-        evidence = format_evidence(raw)
     proved = evidence.select(F.struct("*")).scalar()
-    df = raw.withColumnsRenamed({f: f"raw_{f}" for f in DATE_FIELDS})
-    df = df.withColumns({f"_{f}": date_readings(F.col(f"raw_{f}")) for f in DATE_FIELDS})
-    df = df.withColumn("_proved", proved)
-
-    step = {}
+    orders, firsts, resolved = {}, {}, {}
     for f in DATE_FIELDS:
-        read = F.col(f"_{f}")
-        dmy, mdy = read["dmy"], read["mdy"]
-        two = dmy.isNotNull() & mdy.isNotNull() & (dmy != mdy)
-        only = {}
-        for order, other in (ORDERS, ORDERS[::-1]):
-            choice = F.lit(False)
-            for name, sep in SEPARATORS.items():
-                flag = F.col("_proved")[_evidence_flag(f, name, order)]
-                against = F.col("_proved")[_evidence_flag(f, name, other)]
-                choice = F.when(read["sep"] == sep, flag & ~against).otherwise(choice)
-            only[order] = choice
-        step[f"_{f}_order"] = F.when(two & only["dmy"], F.lit("DMY")).when(two & only["mdy"], F.lit("MDY"))
-        step[f"_{f}_two"] = F.coalesce(two, F.lit(False))
-    df = df.withColumns(step)
-
-    # First phase: explicit dates, single readings, and pairs settled by evidence.
-    step = {}
-    for f in DATE_FIELDS:
-        read, order = F.col(f"_{f}"), F.col(f"_{f}_order")
-        step[f"_{f}_first"] = (
-            F.when(order == "DMY", read["dmy"])
-            .when(order == "MDY", read["mdy"])
-            .when(~F.col(f"_{f}_two"), F.coalesce(read["explicit"], read["dmy"], read["mdy"]))
+        form, dmy, mdy, order, first = (
+            F.col(f"_{f}_{part}") for part in ("form", "dmy", "mdy", "order", "first")
         )
-    df = df.withColumns(step)
-
-    # Second phase: a pair still open looks at the other date, if the first phase resolved it.
-    step = {}
-    for f in DATE_FIELDS:
-        read, first = F.col(f"_{f}"), F.col(f"_{f}_first")
-        other = F.col("_signup_date_first" if f == "invoice_date" else "_invoice_date_first")
-        low, high = F.least(read["dmy"], read["mdy"]), F.greatest(read["dmy"], read["mdy"])
-        open_pair = F.col(f"_{f}_two") & first.isNull()
-        # Exactly one of the two readings respects signup <= invoice.
+        trusted = None
+        for name, mark in SEPARATORS.items():
+            shown = proved[f"{f}_{name}"]
+            hit = (form == mark) & (F.size(shown) == 1)
+            trusted = F.when(hit, F.get(shown, 0)) if trusted is None else trusted.when(hit, F.get(shown, 0))
+        orders[f"_{f}_order"] = F.when(dmy != mdy, F.coalesce(trusted, F.lit("open")))
+        # First phase: explicit dates, single readings, and pairs settled by evidence.
+        firsts[f"_{f}_first"] = (
+            F.when(order.isNull(), F.coalesce(F.col(f"_{f}_explicit"), dmy, mdy))
+            .when(order == "DMY", dmy)
+            .when(order == "MDY", mdy)
+        )
+        # Second phase: an open pair looks at the other date, if the first phase resolved it.
+        # It is settled when exactly one of its readings respects signup <= invoice.
+        low, high = F.least(dmy, mdy), F.greatest(dmy, mdy)
         if f == "invoice_date":
-            settled = F.when(open_pair & (low < other) & (high >= other), high)
+            other = F.col("_signup_date_first")
+            settled = F.when((low < other) & (high >= other), high)
         else:
-            settled = F.when(open_pair & (low <= other) & (high > other), low)
-        step[f"_{f}_settled"] = settled
-    df = df.withColumns(step)
-    df = df.withColumns({f: F.coalesce(f"_{f}_first", f"_{f}_settled") for f in DATE_FIELDS})
+            other = F.col("_invoice_date_first")
+            settled = F.when((low <= other) & (high > other), low)
+        resolved[f] = F.when(order == "open", settled).otherwise(first)
+    readings = [
+        {name: column for layer in pair for name, column in layer.items()}
+        for pair in zip(*[reading_layers(f"_{f}", f"raw_{f}") for f in DATE_FIELDS])
+    ]
+    return [*readings, orders, firsts, resolved]
+
 
+def date_issues() -> list[tuple[Column, Column]]:
+    """Condition and issue pairs over the columns of ``date_layers``."""
     found = []
     for f in DATE_FIELDS:
-        read, order, two = F.col(f"_{f}"), F.col(f"_{f}_order"), F.col(f"_{f}_two")
-        text = F.col(f"raw_{f}")
-        pair = F.array(F.least(read["dmy"], read["mdy"]), F.greatest(read["dmy"], read["mdy"]))
-        by_format = issue(
-            "date_inferred", f, raw=text, candidates=pair,
-            evidence=F.concat(F.lit(P.EVIDENCE_FORMAT), order),
+        order, dmy, mdy = (F.col(f"_{f}_{part}") for part in ("order", "dmy", "mdy"))
+        raw, resolved = F.col(f"raw_{f}"), F.col(f).isNotNull()
+        pair = F.array(F.least(dmy, mdy), F.greatest(dmy, mdy))
+        evidence = F.when(order == "open", F.lit(P.EVIDENCE_CHRONOLOGY)).otherwise(
+            F.concat(F.lit(P.EVIDENCE_FORMAT), order)
         )
-        by_chronology = issue(
-            "date_inferred", f, raw=text, candidates=pair, evidence=F.lit(P.EVIDENCE_CHRONOLOGY)
-        )
-        found.append(
-            F.when(order.isNotNull(), by_format)
-            .when(F.col(f"_{f}_settled").isNotNull(), by_chronology)
-            .when(two, issue("date_unresolved", f, raw=text, candidates=pair))
-            .when(F.col(f).isNull(), issue("date_invalid", f, raw=text))
-        )
-    found.append(
-        F.when(F.col("signup_date") > F.col("invoice_date"), issue("date_chronology_conflict", "invoice_date"))
-    )
-    df = df.withColumn("date_issues", F.array_compact(F.array(*found)))
+        found += [
+            (order.isNull() & ~resolved, issue("date_invalid", f, raw=raw)),
+            (
+                order.isNotNull() & resolved,
+                issue("date_inferred", f, raw=raw, candidates=pair, evidence=evidence),
+            ),
+            (order.isNotNull() & ~resolved, issue("date_unresolved", f, raw=raw, candidates=pair)),
+        ]
+    late = F.col("signup_date") > F.col("invoice_date")
+    return [*found, (late, issue("date_chronology_conflict", "invoice_date"))]
+
+
+def resolve_dates(raw: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """The two resolved dates and their issues for records with signup_date and invoice_date."""
+    if evidence is None:
+        evidence = format_evidence(raw)
+    df = raw.withColumnsRenamed({f: f"raw_{f}" for f in DATE_FIELDS})
+    df = apply_layers(df, date_layers(evidence))
+    df = df.withColumn("issues", collect_where(date_issues(), ISSUE_TYPE))
     return df.drop(*[c for c in df.columns if c.startswith("_")])

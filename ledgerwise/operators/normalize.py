@@ -1,202 +1,200 @@
 """Raw text records to typed rows with their errors and issues; no row is dropped or merged."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import policies as P
 from ..functions import money
-from ..functions.text import blank_to_null, canonical, strip
-from .date_resolution import DATE_FIELDS, issue, resolve_dates
+from ..functions.dates import apply_layers
+from ..functions.text import alias_key, blank_to_null, canonical, collect_where, strip
+from .date_resolution import (
+    DATE_FIELDS, ISSUE_TYPE, date_issues, date_layers, format_evidence, issue,
+)
 
 EMAIL = r"(?U)^[^\s@]+@[^\s@]+\.[^\s@]+\z"
 REQUIRED = ["invoice_id", "account_id", "account_name"]
+ALIASED = {
+    "plan": P.PLAN_ALIASES, "billing_cycle": P.CYCLE_ALIASES, "churned": P.CHURN_ALIASES,
+    "payment_method": P.PAYMENT_ALIASES,
+}
 MISSING_GROUP = "__missing_row_"
 
 
-def _financial_columns(df: DataFrame) -> DataFrame:
-    """Add currency, status, amount_local, amount_usd_cents and ``financial_error``.
+def financial_layers() -> list[dict[str, Column]]:
+    """Layers ending in currency, status, amount_local, amount_usd_cents and financial_error.
 
     The four values are NULL together when the error is set.
     """
-    df = df.withColumns({
-        "_currency": F.upper(strip(F.col("currency"))),
-        "_status": canonical(F.col("status"), P.STATUS_ALIASES),
-        "_amount": strip(F.col("amount")),
-    })
-    df = df.withColumn("_coded", F.col("_amount").rlike(r"[A-Za-z]{3}\z"))
-    df = df.withColumns({
-        "_code": F.when(F.col("_coded"), F.upper(F.right("_amount", F.lit(3)))),
-        "_body": F.when(
-            F.col("_coded"), strip(F.substring("_amount", F.lit(1), F.length("_amount") - 3))
-        ).otherwise(F.col("_amount")),
-    })
+    amount, code, body, digits = (F.col(f"_{n}") for n in ("amount", "code", "body", "digits"))
+    currency, status, value, cents = (F.col(f"_{n}") for n in ("currency", "status", "value", "cents"))
+    coded = amount.rlike(r"[A-Za-z]{3}\z")
     symbol = None
-    for currency, mark in P.CURRENCY_SYMBOL.items():
-        hit = F.col("_currency") == currency
+    for name, mark in P.CURRENCY_SYMBOL.items():
+        hit = currency == name
         symbol = F.when(hit, F.lit(mark)) if symbol is None else symbol.when(hit, F.lit(mark))
-    led = F.coalesce(F.startswith(F.col("_body"), symbol), F.lit(False))
-    df = df.withColumn(
-        "_digits", F.when(led, strip(F.substring("_body", 2, 2**31 - 1))).otherwise(F.col("_body"))
-    )
-    df = df.withColumn(
-        "_value",
-        F.when(
-            F.col("_digits").rlike(money.AMOUNT_FORMAT),
-            F.translate("_digits", ",", "").try_cast(money.MONEY),
-        ),
-    )
-    currency, status, value = F.col("_currency"), F.col("_status"), F.col("_value")
-    df = df.withColumn("_cents", money.to_usd_cents(value, currency))
-    refunded = status == "refunded"
-    df = df.withColumn(
-        "financial_error",
-        F.when(status.isNull(), F.lit(P.ERR_UNKNOWN.format("status")))
-        .otherwise(
-            F.coalesce(
-                money.amount_error(currency, F.col("_code"), F.col("_digits"), value),
-                F.when((refunded & (value >= 0)) | (~refunded & (value < 0)), F.lit(P.ERR_SIGN)),
-                F.when(F.abs("_cents") > P.MAX_CENTS, F.lit(P.ERR_CENTS)),
-            )
-        ),
-    )
+    sign_error = (status == "refunded") != (value < 0)
     usable = F.col("financial_error").isNull()
-    df = df.withColumns({
-        "currency": F.when(usable, currency),
-        "status": F.when(usable, status),
-        "amount_local": F.when(usable, value),
-        "amount_usd_cents": F.when(usable, F.col("_cents")),
-    })
-    return df.drop("_currency", "_status", "_amount", "_coded", "_code", "_body", "_digits", "_value", "_cents")
-
-
-def _number_columns(df: DataFrame) -> DataFrame:
-    """Type seats, discount_pct, csat_score and support_tickets; add ``terms_error``."""
+    return [
+        {
+            "_currency": F.upper(strip(F.col("currency"))),
+            "_status_key": alias_key(F.col("status")),
+            "_amount": strip(F.col("amount")),
+        },
+        {
+            "_status": canonical(F.col("_status_key"), P.STATUS_ALIASES),
+            "_code": F.when(coded, F.upper(F.right(amount, F.lit(3)))),
+            "_body": F.when(coded, strip(F.substring(amount, F.lit(1), F.length(amount) - 3))).otherwise(amount),
+        },
+        {"_digits": F.when(F.startswith(body, symbol), strip(F.substring(body, 2, 2**31 - 1))).otherwise(body)},
+        {
+            "_value": F.when(
+                digits.rlike(money.AMOUNT_FORMAT), F.translate(digits, ",", "").try_cast(money.MONEY)
+            )
+        },
+        {"_cents": money.to_usd_cents(value, currency)},
+        {
+            "financial_error": F.when(status.isNull(), F.lit(P.ERR_UNKNOWN.format("status"))).otherwise(
+                F.coalesce(
+                    money.amount_error(currency, code, digits, value),
+                    F.when(sign_error, F.lit(P.ERR_SIGN)),
+                    F.when(F.abs(cents) > P.MAX_CENTS, F.lit(P.ERR_CENTS)),
+                )
+            )
+        },
+        {
+            "currency": F.when(usable, currency),
+            "status": F.when(usable, status),
+            "amount_local": F.when(usable, value),
+            "amount_usd_cents": F.when(usable, cents),
+        },
+    ]
+
+
+def number_layers() -> list[dict[str, Column]]:
+    """Layers that type seats, discount_pct, csat_score and support_tickets."""
     names = ["seats", "discount_pct", "csat_score", "support_tickets"]
-    df = df.withColumns({f"_{n}": strip(F.col(n)) for n in names})
-    df = df.withColumns({f"_{n}_value": money.plain_decimal(F.col(f"_{n}")) for n in names})
-    text = {n: F.col(f"_{n}") for n in names}
+    text = {n: F.col(f"_{n}_text") for n in names}
     value = {n: F.col(f"_{n}_value") for n in names}
 
+    def optional_bad(name: str, problem: Column) -> Column:
+        return (text[name] != "") & problem
+
     off_scale = ~value["discount_pct"].between(0, 100)
-    df = df.withColumns({
-        "_seats_error": money.integer_error(text["seats"], value["seats"], 1),
-        "_discount_error": F.coalesce(
-            money.plain_decimal_error(text["discount_pct"], value["discount_pct"]),
-            F.when(off_scale, F.lit(P.ERR_DISCOUNT)),
-        ),
-        "_csat_bad": F.when(
-            text["csat_score"] != "",
-            money.integer_error(text["csat_score"], value["csat_score"], 1).isNotNull()
-            | (value["csat_score"] > 5),
-        ),
-        "_tickets_bad": F.when(
-            text["support_tickets"] != "",
-            money.integer_error(text["support_tickets"], value["support_tickets"], 0).isNotNull(),
-        ),
-    })
-    df = df.withColumns({
-        "seats": F.when(F.col("_seats_error").isNull(), value["seats"].cast("int")),
-        "discount_pct": F.when(F.col("_discount_error").isNull(), value["discount_pct"].cast(money.PERCENT)),
-        "csat_score": F.when(~F.col("_csat_bad"), value["csat_score"].cast("int")),
-        "support_tickets": F.when(~F.col("_tickets_bad"), value["support_tickets"].cast("int")),
-        "terms_error": F.coalesce("_seats_error", "_discount_error"),
-        "optional_issues": F.array(
-            F.when(F.col("_csat_bad"), issue("optional_invalid", "csat_score")),
-            F.when(F.col("_tickets_bad"), issue("optional_invalid", "support_tickets")),
-        ),
-    })
-    return df.drop(*[c for c in df.columns if c.startswith("_")])
+    csat = money.integer_error(text["csat_score"], value["csat_score"], 1).isNotNull()
+    tickets = money.integer_error(text["support_tickets"], value["support_tickets"], 0).isNotNull()
+    return [
+        {f"_{n}_text": strip(F.col(n)) for n in names},
+        {f"_{n}_value": money.plain_decimal(text[n]) for n in names},
+        {
+            "_seats_error": money.integer_error(text["seats"], value["seats"], 1),
+            "_discount_error": F.coalesce(
+                money.plain_decimal_error(text["discount_pct"], value["discount_pct"]),
+                F.when(off_scale, F.lit(P.ERR_DISCOUNT)),
+            ),
+            "_csat_bad": optional_bad("csat_score", csat | (value["csat_score"] > 5)),
+            "_tickets_bad": optional_bad("support_tickets", tickets),
+        },
+        {
+            "seats": F.when(F.col("_seats_error").isNull(), value["seats"].cast("int")),
+            "discount_pct": F.when(
+                F.col("_discount_error").isNull(), value["discount_pct"].cast(money.PERCENT)
+            ),
+            "csat_score": F.when(~F.col("_csat_bad"), value["csat_score"].cast("int")),
+            "support_tickets": F.when(~F.col("_tickets_bad"), value["support_tickets"].cast("int")),
+            "_terms_error": F.coalesce("_seats_error", "_discount_error"),
+        },
+    ]
+
+
+def text_layers() -> list[dict[str, Column]]:
+    email = F.col("_email")
+    return [
+        {
+            "raw_invoice_id": F.col("invoice_id"),
+            **{c: strip(F.col(c)) for c in REQUIRED},
+            "region": F.upper(strip(F.col("region"))),
+            "industry": blank_to_null(strip(F.col("industry"))),
+            "_email": blank_to_null(strip(F.col("contact_email"))),
+            **{f"_{c}_key": alias_key(F.col(c)) for c in ALIASED},
+        },
+        {
+            "contact_email": F.when(email.rlike(EMAIL), email),
+            **{c: canonical(F.col(f"_{c}_key"), table) for c, table in ALIASED.items()},
+        },
+    ]
 
 
 def normalize(raw: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     """One typed row per raw record.
 
     ``raw`` has ``source_row`` and the 19 text columns, blanks as ''. The result has the canonical
-    columns, ``invoice_group``, ``raw_invoice_id``, ``raw_account_id``, ``financial_error``,
-    ``errors`` and ``issues``. ``evidence`` may come from a wider set of records.
+    columns, ``invoice_group``, ``raw_invoice_id``, ``financial_error``, ``errors`` and ``issues``.
+    ``evidence`` may come from a wider set of records.
     """
-    df = resolve_dates(raw, evidence)
-    df = df.withColumns({
-        "raw_invoice_id": F.col("invoice_id"),
-        **{c: strip(F.col(c)) for c in REQUIRED},
-        "region": F.upper(strip(F.col("region"))),
-        "plan": canonical(F.col("plan"), P.PLAN_ALIASES),
-        "billing_cycle": canonical(F.col("billing_cycle"), P.CYCLE_ALIASES),
-        "churned": canonical(F.col("churned"), P.CHURN_ALIASES),
-        "industry": blank_to_null(strip(F.col("industry"))),
-        "_email": blank_to_null(strip(F.col("contact_email"))),
-        "_payment": blank_to_null(strip(F.col("payment_method"))),
-        "payment_method": canonical(F.col("payment_method"), P.PAYMENT_ALIASES),
-    })
-    df = df.withColumn("contact_email", F.when(F.col("_email").rlike(EMAIL), F.col("_email")))
-    df = _number_columns(_financial_columns(df.withColumnsRenamed({"_email": "email_text", "_payment": "payment_text"})))
-    df = df.withColumn(
-        "errors",
-        F.array_compact(
-            F.array(
-                F.when(F.col("invoice_date").isNull(), F.lit(P.ERR_INVOICE_DATE)),
-                *[F.when(F.col(c) == "", F.lit(P.ERR_REQUIRED.format(c))) for c in REQUIRED],
-                F.when(~F.col("region").isin(P.REGIONS), F.lit(P.ERR_UNKNOWN.format("region"))),
-                *[
-                    F.when(F.col(c).isNull(), F.lit(P.ERR_UNKNOWN.format(c)))
-                    for c in ("plan", "billing_cycle", "churned")
-                ],
-                F.coalesce("financial_error", "terms_error"),
-            )
-        ),
+    if evidence is None:
+        evidence = format_evidence(raw)
+    df = raw.withColumnsRenamed({f: f"raw_{f}" for f in DATE_FIELDS})
+    df = apply_layers(df, text_layers(), date_layers(evidence), financial_layers(), number_layers())
+    shared_error = F.coalesce("financial_error", "_terms_error")
+    errors = [
+        (F.col("invoice_date").isNull(), F.lit(P.ERR_INVOICE_DATE)),
+        *[(F.col(c) == "", F.lit(P.ERR_REQUIRED.format(c))) for c in REQUIRED],
+        (~F.col("region").isin(P.REGIONS), F.lit(P.ERR_UNKNOWN.format("region"))),
+        *[
+            (F.col(c).isNull(), F.lit(P.ERR_UNKNOWN.format(c)))
+            for c in ("plan", "billing_cycle", "churned")
+        ],
+        (shared_error.isNotNull(), shared_error),
+    ]
+    expected = money.list_price_cents(
+        F.col("plan"), F.col("seats"), F.col("discount_pct"),
+        money.lookup(F.col("billing_cycle"), P.BILLED_MONTHS, 2),
     )
-    df = df.withColumn(
-        "_difference",
-        F.when(
-            F.size("errors") == 0,
-            F.abs("amount_usd_cents")
-            - money.list_price_cents(
-                F.col("plan"), F.col("seats"), F.col("discount_pct"),
-                money.lookup(F.col("billing_cycle"), P.BILLED_MONTHS, 2),
-            ),
+    difference = F.col("_difference")
+    issues = [
+        *date_issues(),
+        (F.col("_csat_bad"), issue("optional_invalid", "csat_score")),
+        (F.col("_tickets_bad"), issue("optional_invalid", "support_tickets")),
+        (
+            F.col("_email").isNotNull() & F.col("contact_email").isNull(),
+            issue("email_invalid", "contact_email"),
         ),
-    )
-    df = df.withColumn(
-        "issues",
-        F.array_compact(
-            F.concat(
-                "date_issues",
-                "optional_issues",
-                F.array(
-                    F.when(
-                        F.col("email_text").isNotNull() & F.col("contact_email").isNull(),
-                        issue("email_invalid", "contact_email"),
-                    ),
-                    F.when(
-                        F.col("payment_text").isNotNull() & F.col("payment_method").isNull(),
-                        issue("optional_invalid", "payment_method"),
-                    ),
-                    F.when(
-                        F.abs("_difference") > P.PRICE_TOLERANCE_CENTS,
-                        issue("price_fx_mismatch", "amount", difference_usd_cents=F.col("_difference")),
-                    ),
-                ),
-            )
+        (
+            (F.col("_payment_method_key") != "") & F.col("payment_method").isNull(),
+            issue("optional_invalid", "payment_method"),
         ),
-    )
+        (
+            (F.size("errors") == 0) & (F.abs(difference) > P.PRICE_TOLERANCE_CENTS),
+            issue("price_fx_mismatch", "amount", difference_usd_cents=difference),
+        ),
+    ]
     # A record without an id is a group of its own.
-    df = df.withColumn(
-        "invoice_group",
-        F.when(
-            F.col("invoice_id") == "", F.concat(F.lit(MISSING_GROUP), F.col("source_row").cast("string"))
-        ).otherwise(F.col("invoice_id")),
-    )
+    own_group = F.concat(F.lit(MISSING_GROUP), F.col("source_row").cast("string"))
+    df = df.withColumns({
+        "errors": collect_where(errors, "string"),
+        "_difference": F.abs("amount_usd_cents") - expected,
+    })
     return df.select(
-        "source_row", "invoice_group", "raw_invoice_id", *P.INVOICE_COLUMNS, "financial_error", "errors", "issues"
+        "source_row",
+        F.when(F.col("invoice_id") == "", own_group).otherwise(F.col("invoice_id")).alias("invoice_group"),
+        "raw_invoice_id",
+        *P.INVOICE_COLUMNS,
+        "financial_error",
+        "errors",
+        collect_where(issues, ISSUE_TYPE).alias("issues"),
     )
 
 
 def row_errors(rows: DataFrame) -> DataFrame:
-    return rows.select("source_row", "invoice_group", F.explode("errors").alias("error"))
+    """Long form, one row per error. The outer explode keeps the optimizer from pushing a copy of
+    the whole normalization below itself as a size filter."""
+    return rows.select(
+        "source_row", "invoice_group", F.explode_outer("errors").alias("error")
+    ).filter(F.col("error").isNotNull())
 
 
 def row_issues(rows: DataFrame) -> DataFrame:
-    return rows.select("source_row", F.col("raw_invoice_id").alias("invoice_id"), F.inline("issues"))
-
-
-__all__ = ["DATE_FIELDS", "MISSING_GROUP", "normalize", "row_errors", "row_issues"]
+    """Long form, one row per issue, with the invoice id as written in the source."""
+    return rows.select(
+        "source_row", F.col("raw_invoice_id").alias("invoice_id"), F.inline_outer("issues")
+    ).filter(F.col("code").isNotNull())
