@@ -1,5 +1,6 @@
 """Readings of a date text: one explicit date, or up to two day/month orders."""
 
+from functools import cache
 from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,7 @@ def _date(year: Column, month: Column, day: Column) -> Column:
     return F.when(valid, F.make_date(year, month, day))
 
 
+@cache
 def reading_layers(prefix: str, text: str) -> list[dict[str, Column]]:
     """Layers that end in <prefix>_form, _dmy, _mdy and _explicit for one text column.
 

@@ -1,5 +1,7 @@
 """Data-dependent date interpretation: evidence over all records, then one row at a time."""
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +31,8 @@ def issue(code: str, field: str, **details: Column) -> Column:
     )
 
 
-def format_evidence(raw: DataFrame) -> DataFrame:
-    """One row: for each field and separator the array of day/month orders that records proved.
-
-    A record proves an order when its text has exactly one valid reading. Every task reduces its
-    rows to eight booleans before the shuffle.
-    """
-    readings = apply_layers(raw.select(*DATE_FIELDS), *[reading_layers(f"_{f}", f) for f in DATE_FIELDS])
+@cache
+def _evidence_columns() -> tuple[list[Column], list[Column]]:
     flags, orders = [], []
     for f in DATE_FIELDS:
         form, dmy, mdy = (F.col(f"_{f}_{part}") for part in ("form", "dmy", "mdy"))
@@ -46,6 +43,17 @@ def format_evidence(raw: DataFrame) -> DataFrame:
             flags.append(F.bool_or(seen & mdy.isNotNull() & dmy.isNull()).alias(f"{key}_mdy"))
             entries = [(F.col(f"{key}_{o.lower()}"), F.lit(o)) for o in ("DMY", "MDY")]
             orders.append(collect_where(entries, "string").alias(key))
+    return flags, orders
+
+
+def format_evidence(raw: DataFrame) -> DataFrame:
+    """One row: for each field and separator the array of day/month orders that records proved.
+
+    A record proves an order when its text has exactly one valid reading. Every task reduces its
+    rows to eight booleans before the shuffle.
+    """
+    readings = apply_layers(raw.select(*DATE_FIELDS), *[reading_layers(f"_{f}", f) for f in DATE_FIELDS])
+    flags, orders = _evidence_columns()
     return readings.agg(*flags).select(*orders)
 
 
@@ -59,25 +67,11 @@ def evidence_table(raw: DataFrame) -> DataFrame:
     return format_evidence(raw).select(F.inline(F.array(*entries))).filter(F.size("orders") > 0)
 
 
-def date_layers(evidence: DataFrame) -> list[dict[str, Column]]:
-    """Layers that turn raw_signup_date and raw_invoice_date into signup_date and invoice_date.
-
-    The evidence is one row of four short arrays, read through one scalar subquery, so no join is
-    needed. ``_<field>_order`` is NULL where there was nothing to choose, the trusted order, or
-    'open'.
-    """
-    proved = evidence.select(F.struct("*")).scalar()
-    orders, firsts, resolved = {}, {}, {}
+@cache
+def _resolution_layers() -> list[dict[str, Column]]:
+    firsts, resolved = {}, {}
     for f in DATE_FIELDS:
-        form, dmy, mdy, order, first = (
-            F.col(f"_{f}_{part}") for part in ("form", "dmy", "mdy", "order", "first")
-        )
-        trusted = None
-        for name, mark in SEPARATORS.items():
-            shown = proved[f"{f}_{name}"]
-            hit = (form == mark) & (F.size(shown) == 1)
-            trusted = F.when(hit, F.get(shown, 0)) if trusted is None else trusted.when(hit, F.get(shown, 0))
-        orders[f"_{f}_order"] = F.when(dmy != mdy, F.coalesce(trusted, F.lit("open")))
+        dmy, mdy, order, first = (F.col(f"_{f}_{part}") for part in ("dmy", "mdy", "order", "first"))
         # First phase: explicit dates, single readings, and pairs settled by evidence.
         firsts[f"_{f}_first"] = (
             F.when(order.isNull(), F.coalesce(F.col(f"_{f}_explicit"), dmy, mdy))
@@ -94,13 +88,34 @@ def date_layers(evidence: DataFrame) -> list[dict[str, Column]]:
             other = F.col("_invoice_date_first")
             settled = F.when((low <= other) & (high > other), low)
         resolved[f] = F.when(order == "open", settled).otherwise(first)
+    return [firsts, resolved]
+
+
+def date_layers(evidence: DataFrame) -> list[dict[str, Column]]:
+    """Layers that turn raw_signup_date and raw_invoice_date into signup_date and invoice_date.
+
+    The evidence is one row of four short arrays, read through one scalar subquery, so no join is
+    needed. ``_<field>_order`` is NULL where there was nothing to choose, the trusted order, or
+    'open'.
+    """
+    proved = evidence.select(F.struct("*")).scalar()
+    orders = {}
+    for f in DATE_FIELDS:
+        form, dmy, mdy = (F.col(f"_{f}_{part}") for part in ("form", "dmy", "mdy"))
+        trusted = None
+        for name, mark in SEPARATORS.items():
+            shown = proved[f"{f}_{name}"]
+            hit = (form == mark) & (F.size(shown) == 1)
+            trusted = F.when(hit, F.get(shown, 0)) if trusted is None else trusted.when(hit, F.get(shown, 0))
+        orders[f"_{f}_order"] = F.when(dmy != mdy, F.coalesce(trusted, F.lit("open")))
     readings = [
         {name: column for layer in pair for name, column in layer.items()}
         for pair in zip(*[reading_layers(f"_{f}", f"raw_{f}") for f in DATE_FIELDS])
     ]
-    return [*readings, orders, firsts, resolved]
+    return [*readings, orders, *_resolution_layers()]
 
 
+@cache
 def date_issues() -> list[tuple[Column, Column]]:
     """Condition and issue pairs over the columns of ``date_layers``."""
     found = []

@@ -1,5 +1,7 @@
 """Raw text records to typed rows with their errors and issues; no row is dropped or merged."""
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ ALIASED = {
 MISSING_GROUP = "__missing_row_"
 
 
+@cache
 def financial_layers() -> list[dict[str, Column]]:
     """Layers ending in currency, status, amount_local, amount_usd_cents and financial_error.
 
@@ -70,6 +73,7 @@ def financial_layers() -> list[dict[str, Column]]:
     ]
 
 
+@cache
 def number_layers() -> list[dict[str, Column]]:
     """Layers that type seats, discount_pct, csat_score and support_tickets."""
     names = ["seats", "discount_pct", "csat_score", "support_tickets"]
@@ -106,6 +110,7 @@ def number_layers() -> list[dict[str, Column]]:
     ]
 
 
+@cache
 def text_layers() -> list[dict[str, Column]]:
     email = F.col("_email")
     return [
@@ -124,17 +129,8 @@ def text_layers() -> list[dict[str, Column]]:
     ]
 
 
-def normalize(raw: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
-    """One typed row per raw record.
-
-    ``raw`` has ``source_row`` and the 19 text columns, blanks as ''. The result has the canonical
-    columns, ``invoice_group``, ``raw_invoice_id``, ``financial_error``, ``errors`` and ``issues``.
-    ``evidence`` may come from a wider set of records.
-    """
-    if evidence is None:
-        evidence = format_evidence(raw)
-    df = raw.withColumnsRenamed({f: f"raw_{f}" for f in DATE_FIELDS})
-    df = apply_layers(df, text_layers(), date_layers(evidence), financial_layers(), number_layers())
+@cache
+def _check_columns() -> dict[str, Column]:
     shared_error = F.coalesce("financial_error", "_terms_error")
     errors = [
         (F.col("invoice_date").isNull(), F.lit(P.ERR_INVOICE_DATE)),
@@ -150,6 +146,14 @@ def normalize(raw: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
         F.col("plan"), F.col("seats"), F.col("discount_pct"),
         money.lookup(F.col("billing_cycle"), P.BILLED_MONTHS, 2),
     )
+    return {
+        "errors": collect_where(errors, "string"),
+        "_difference": F.abs("amount_usd_cents") - expected,
+    }
+
+
+@cache
+def _result_columns() -> list:
     difference = F.col("_difference")
     issues = [
         *date_issues(),
@@ -170,19 +174,30 @@ def normalize(raw: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     ]
     # A record without an id is a group of its own.
     own_group = F.concat(F.lit(MISSING_GROUP), F.col("source_row").cast("string"))
-    df = df.withColumns({
-        "errors": collect_where(errors, "string"),
-        "_difference": F.abs("amount_usd_cents") - expected,
-    })
-    return df.select(
+    group = F.when(F.col("invoice_id") == "", own_group).otherwise(F.col("invoice_id"))
+    return [
         "source_row",
-        F.when(F.col("invoice_id") == "", own_group).otherwise(F.col("invoice_id")).alias("invoice_group"),
+        group.alias("invoice_group"),
         "raw_invoice_id",
         *P.INVOICE_COLUMNS,
         "financial_error",
         "errors",
         collect_where(issues, ISSUE_TYPE).alias("issues"),
-    )
+    ]
+
+
+def normalize(raw: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """One typed row per raw record.
+
+    ``raw`` has ``source_row`` and the 19 text columns, blanks as ''. The result has the canonical
+    columns, ``invoice_group``, ``raw_invoice_id``, ``financial_error``, ``errors`` and ``issues``.
+    ``evidence`` may come from a wider set of records.
+    """
+    if evidence is None:
+        evidence = format_evidence(raw)
+    df = raw.withColumnsRenamed({f: f"raw_{f}" for f in DATE_FIELDS})
+    df = apply_layers(df, text_layers(), date_layers(evidence), financial_layers(), number_layers())
+    return df.withColumns(_check_columns()).select(*_result_columns())
 
 
 def row_errors(rows: DataFrame) -> DataFrame:

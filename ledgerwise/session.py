@@ -22,6 +22,28 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     )
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Runtime settings the plans rely on.
+
+    Normalization is one long chain of projections. Fused into a single generated method it passes
+    the 8000 bytecodes above which the JVM no longer compiles it, and runs interpreted. With the
+    limit set here Spark compiles such a stage projection by projection; all other stages stay
+    fused.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input with fewer splits than cores; larger inputs pass unchanged.
+
+    Without this a small single-split file would be normalized by one task. An input that has
+    enough splits, as any large one, is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as the cluster names it in ``spark.checkpoint.dir``.
 
