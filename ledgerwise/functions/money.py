@@ -9,8 +9,6 @@ from .. import policies as P
 
 MONEY = "decimal(30,12)"
 PERCENT = "decimal(15,12)"
-# Wide enough to tell whether the twelfth fraction digit was rounded.
-_WIDE = "decimal(38,25)"
 _PLAIN = "decimal(38,12)"
 
 AMOUNT_FORMAT = r"^[+-]?(?:\d+|\d{1,3}(?:,\d{3})+)(?:\.\d+)?\z"
@@ -62,10 +60,20 @@ def plain_decimal(text: Column) -> Column:
     return F.when(text.rlike(_DECIMAL_SYNTAX), text.try_cast(_PLAIN))
 
 
+def _exponent_loses_digits(text: Column) -> Column:
+    """Whether a number written with an exponent has a digit below the twelfth decimal place."""
+    mantissa = F.regexp_extract(text, r"^[+-]?([\d.]+)", 1)
+    exponent = F.regexp_extract(text, r"[eE]([+-]?\d{1,4})\z", 1).cast("int")
+    places = F.length(F.regexp_extract(mantissa, r"\.(\d*)\z", 1))
+    digits = F.replace(mantissa, F.lit("."), F.lit(""))
+    kept = F.rtrim(digits, F.lit("0"))
+    return (kept != "") & (places - exponent - (F.length(digits) - F.length(kept)) > 12)
+
+
 def plain_decimal_error(text: Column, value: Column) -> Column:
     """Why a plain decimal is unusable, or NULL. ``value`` is ``plain_decimal(text)``."""
     long_fraction = (F.length(text) > 13) & text.rlike(_LOST_DIGIT)
-    exponent_loss = F.contains(F.upper(text), F.lit("E")) & (text.try_cast(_WIDE) != value)
+    exponent_loss = F.contains(F.upper(text), F.lit("E")) & _exponent_loses_digits(text)
     return (
         F.when(
             value.isNull(),

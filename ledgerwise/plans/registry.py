@@ -318,7 +318,7 @@ def ledger_csv_rows(spark, folder):
     """Write the whole ledger as CSV in source order, read it back, and number its records."""
     raw = derived_ledger(prepare(spark), folder)
     path = new_folder(spark, "csv")
-    raw.orderBy("source_row").drop("source_row").write.csv(path, header=True, quote='"', escape='"')
+    ledger_csv.write_ledger(raw.orderBy("source_row"), path)
     return ledger_csv.read_ledger(spark, path, multi_line=False).select(
         "source_row", "invoice_id", "account_id", "amount", "status", "invoice_date"
     )

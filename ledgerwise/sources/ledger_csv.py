@@ -77,6 +77,18 @@ def read_ledger(spark: SparkSession, path: str, multi_line: bool = True) -> Data
     return number_rows(landed)
 
 
+def write_ledger(records: DataFrame, path: str) -> None:
+    """Write records as ledger CSV files, outer white space kept."""
+    records.select(*LEDGER_COLUMNS).write.csv(
+        path,
+        header=True,
+        quote='"',
+        escape='"',
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    )
+
+
 def source_files(spark: SparkSession, path: str) -> DataFrame:
     """path, length and SHA-256 of every input file; each file is hashed by its own task."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
