@@ -12,6 +12,8 @@ PERCENT = "decimal(15,12)"
 _PLAIN = "decimal(38,12)"
 
 AMOUNT_FORMAT = r"^[+-]?(?:\d+|\d{1,3}(?:,\d{3})+)(?:\.\d+)?\z"
+_FEW_DIGITS = r"^\d{1,9}(?:\.0*)?\z"
+_FEW_PLACES = r"^\d{1,3}(?:\.\d{1,12})?\z"
 _LOST_DIGIT = r"\.\d{12}\d*[1-9]"
 # Exponents over four digits are refused: the cast would write the number out in full.
 _DECIMAL_SYNTAX = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d{1,4})?\z"
@@ -87,26 +89,61 @@ def plain_decimal_error(text: Column, value: Column) -> Column:
     )
 
 
-def integer_error(text: Column, value: Column, low: int) -> Column:
-    outside = (value != F.floor(value)) | (value < low) | (value > P.MAX_INTEGER)
-    return F.coalesce(plain_decimal_error(text, value), F.when(outside, F.lit(P.ERR_INTEGER)))
+def whole_number(text: Column) -> Column:
+    """Stripped text to INT when its value is whole and fits, else NULL.
+
+    Nearly all texts are a few digits and skip the wide decimal.
+    """
+    value = plain_decimal(text)
+    exact = plain_decimal_error(text, value).isNull()
+    fits = exact & (value == F.floor(value)) & value.between(-P.MAX_INTEGER, P.MAX_INTEGER)
+    return F.when(text.rlike(_FEW_DIGITS), F.substring_index(text, ".", 1).cast("int")).when(
+        fits, value.cast("int")
+    )
+
+
+def whole_number_error(text: Column, value: Column, low: int) -> Column:
+    """Why a whole number is unusable, or NULL. ``value`` is ``whole_number(text)``."""
+    reason = F.coalesce(plain_decimal_error(text, plain_decimal(text)), F.lit(P.ERR_INTEGER))
+    return F.when(value.isNull() | (value < low), reason)
+
+
+def percentage(text: Column) -> Column:
+    """Stripped text to DECIMAL(15,12) when it is a number in 0..100, else NULL."""
+    value = plain_decimal(text)
+    parsed = F.when(text.rlike(_FEW_PLACES), text.try_cast(PERCENT)).when(
+        value.between(0, 100), value.cast(PERCENT)
+    )
+    return F.when(parsed.between(0, 100), parsed)
+
+
+def percentage_error(text: Column, value: Column) -> Column:
+    """Why a percentage is unusable, or NULL. ``value`` is ``percentage(text)``."""
+    exact = value.isNotNull() & text.rlike(_FEW_PLACES)
+    reason = plain_decimal_error(text, plain_decimal(text))
+    return F.when(~exact, F.coalesce(reason, F.when(value.isNull(), F.lit(P.ERR_DISCOUNT))))
+
+
+def local_amount(digits: Column) -> Column:
+    """Amount text without currency marks to DECIMAL, or NULL when its format is wrong."""
+    return F.when(digits.rlike(AMOUNT_FORMAT), F.translate(digits, ",", "").try_cast(MONEY))
 
 
-def amount_error(
-    currency: Column, code: Column, digits: Column, value: Column
-) -> Column:
+def amount_error(currency: Column, code: Column, digits: Column, in_range: Column) -> Column:
     """Why the amount text is unusable, or NULL.
 
     ``code`` is the three-letter suffix (NULL without one), ``digits`` the text left after the
-    suffix and one leading own symbol are cut, ``value`` its DECIMAL.
+    suffix and one leading own symbol are cut, ``in_range`` whether its value is within bounds.
     """
     return (
         F.when(~currency.isin(list(P.USD_CENTS_PER_UNIT)), F.lit(P.ERR_CURRENCY))
         .when(code != currency, F.lit(P.ERR_CURRENCY_CODE))
-        .when(digits.rlike("[$€£]"), F.lit(P.ERR_SYMBOL))
-        .when(~digits.rlike(AMOUNT_FORMAT), F.lit(P.ERR_AMOUNT_FORMAT))
         .when(
-            value.isNull() | (F.abs(value) > F.lit(Decimal(P.MAX_AMOUNT))), F.lit(P.ERR_DECIMAL_RANGE)
+            in_range.isNull(),
+            F.when(digits.rlike("[$€£]"), F.lit(P.ERR_SYMBOL))
+            .when(digits.rlike(AMOUNT_FORMAT), F.lit(P.ERR_DECIMAL_RANGE))
+            .otherwise(F.lit(P.ERR_AMOUNT_FORMAT)),
         )
-        .when(digits.rlike(_LOST_DIGIT), F.lit(P.ERR_PRECISION))
+        .when(~in_range, F.lit(P.ERR_DECIMAL_RANGE))
+        .when((F.length(digits) > 13) & digits.rlike(_LOST_DIGIT), F.lit(P.ERR_PRECISION))
     )

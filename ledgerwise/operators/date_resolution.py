@@ -98,20 +98,23 @@ def date_layers(evidence: DataFrame) -> list[dict[str, Column]]:
     needed. ``_<field>_order`` is NULL where there was nothing to choose, the trusted order, or
     'open'.
     """
-    proved = evidence.select(F.struct("*")).scalar()
+    trusted = evidence.select(
+        F.struct(*[
+            F.when(F.size(key) == 1, F.get(key, 0)).alias(key)
+            for key in (f"{f}_{name}" for f in DATE_FIELDS for name in SEPARATORS)
+        ])
+    ).scalar()
     orders = {}
     for f in DATE_FIELDS:
         form, dmy, mdy = (F.col(f"_{f}_{part}") for part in ("form", "dmy", "mdy"))
-        trusted = None
-        for name, mark in SEPARATORS.items():
-            shown = proved[f"{f}_{name}"]
-            hit = (form == mark) & (F.size(shown) == 1)
-            trusted = F.when(hit, F.get(shown, 0)) if trusted is None else trusted.when(hit, F.get(shown, 0))
-        orders[f"_{f}_order"] = F.when(dmy != mdy, F.coalesce(trusted, F.lit("open")))
+        order = F.when(form == "-", F.col("_trusted")[f"{f}_dash"]).otherwise(F.col("_trusted")[f"{f}_slash"])
+        orders[f"_{f}_order"] = F.when(dmy != mdy, F.coalesce(order, F.lit("open")))
     readings = [
         {name: column for layer in pair for name, column in layer.items()}
         for pair in zip(*[reading_layers(f"_{f}", f"raw_{f}") for f in DATE_FIELDS])
     ]
+    # A column of its own, so that the plan holds the subquery once.
+    readings[-1]["_trusted"] = trusted
     return [*readings, orders, *_resolution_layers()]
 
 

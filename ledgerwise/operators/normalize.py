@@ -1,5 +1,6 @@
 """Raw text records to typed rows with their errors and issues; no row is dropped or merged."""
 
+from decimal import Decimal
 from functools import cache
 
 from pyspark.sql import Column, DataFrame
@@ -8,12 +9,14 @@ from pyspark.sql import functions as F
 from .. import policies as P
 from ..functions import money
 from ..functions.dates import apply_layers
-from ..functions.text import alias_key, blank_to_null, canonical, collect_where, strip
+from ..functions.text import (
+    SPACE_CLASS, alias_key, blank_to_null, canonical, collect_where, strip,
+)
 from .date_resolution import (
     DATE_FIELDS, ISSUE_TYPE, date_issues, date_layers, format_evidence, issue,
 )
 
-EMAIL = r"(?U)^[^\s@]+@[^\s@]+\.[^\s@]+\z"
+EMAIL = r"^[^{0}@]+@[^{0}@]+\.[^{0}@]+\z".format(SPACE_CLASS)
 REQUIRED = ["invoice_id", "account_id", "account_name"]
 ALIASED = {
     "plan": P.PLAN_ALIASES, "billing_cycle": P.CYCLE_ALIASES, "churned": P.CHURN_ALIASES,
@@ -24,18 +27,22 @@ MISSING_GROUP = "__missing_row_"
 
 @cache
 def financial_layers() -> list[dict[str, Column]]:
-    """Layers ending in currency, status, amount_local, amount_usd_cents and financial_error.
+    """Layers ending in currency, status, amount_usd_cents and financial_error.
 
-    The four values are NULL together when the error is set.
+    The values are NULL together when the error is set. The wide local amount is read from
+    ``_digits`` where it is needed, which is cheaper than to carry it through the layers.
     """
     amount, code, body, digits = (F.col(f"_{n}") for n in ("amount", "code", "body", "digits"))
-    currency, status, value, cents = (F.col(f"_{n}") for n in ("currency", "status", "value", "cents"))
+    currency, status, cents = (F.col(f"_{n}") for n in ("currency", "status", "cents"))
+    value = money.local_amount(digits)
     coded = amount.rlike(r"[A-Za-z]{3}\z")
     symbol = None
     for name, mark in P.CURRENCY_SYMBOL.items():
         hit = currency == name
         symbol = F.when(hit, F.lit(mark)) if symbol is None else symbol.when(hit, F.lit(mark))
-    sign_error = (status == "refunded") != (value < 0)
+    # The sign is read from the text: an amount below half a cent rounds to zero.
+    negative = F.startswith(digits, F.lit("-")) & digits.rlike("[1-9]")
+    sign_error = (status == "refunded") != negative
     usable = F.col("financial_error").isNull()
     return [
         {
@@ -50,15 +57,13 @@ def financial_layers() -> list[dict[str, Column]]:
         },
         {"_digits": F.when(F.startswith(body, symbol), strip(F.substring(body, 2, 2**31 - 1))).otherwise(body)},
         {
-            "_value": F.when(
-                digits.rlike(money.AMOUNT_FORMAT), F.translate(digits, ",", "").try_cast(money.MONEY)
-            )
+            "_cents": money.to_usd_cents(value, currency),
+            "_in_range": F.abs(value) <= F.lit(Decimal(P.MAX_AMOUNT)),
         },
-        {"_cents": money.to_usd_cents(value, currency)},
         {
             "financial_error": F.when(status.isNull(), F.lit(P.ERR_UNKNOWN.format("status"))).otherwise(
                 F.coalesce(
-                    money.amount_error(currency, code, digits, value),
+                    money.amount_error(currency, code, digits, F.col("_in_range")),
                     F.when(sign_error, F.lit(P.ERR_SIGN)),
                     F.when(F.abs(cents) > P.MAX_CENTS, F.lit(P.ERR_CENTS)),
                 )
@@ -67,7 +72,6 @@ def financial_layers() -> list[dict[str, Column]]:
         {
             "currency": F.when(usable, currency),
             "status": F.when(usable, status),
-            "amount_local": F.when(usable, value),
             "amount_usd_cents": F.when(usable, cents),
         },
     ]
@@ -76,35 +80,31 @@ def financial_layers() -> list[dict[str, Column]]:
 @cache
 def number_layers() -> list[dict[str, Column]]:
     """Layers that type seats, discount_pct, csat_score and support_tickets."""
-    names = ["seats", "discount_pct", "csat_score", "support_tickets"]
-    text = {n: F.col(f"_{n}_text") for n in names}
-    value = {n: F.col(f"_{n}_value") for n in names}
+    whole = {"seats": 1, "csat_score": 1, "support_tickets": 0}
+    text = {n: F.col(f"_{n}_text") for n in (*whole, "discount_pct")}
+    value = {n: F.col(f"_{n}_value") for n in text}
 
-    def optional_bad(name: str, problem: Column) -> Column:
-        return (text[name] != "") & problem
+    def bad(name: str) -> Column:
+        error = money.whole_number_error(text[name], value[name], whole[name])
+        return (text[name] != "") & error.isNotNull()
 
-    off_scale = ~value["discount_pct"].between(0, 100)
-    csat = money.integer_error(text["csat_score"], value["csat_score"], 1).isNotNull()
-    tickets = money.integer_error(text["support_tickets"], value["support_tickets"], 0).isNotNull()
     return [
-        {f"_{n}_text": strip(F.col(n)) for n in names},
-        {f"_{n}_value": money.plain_decimal(text[n]) for n in names},
+        {f"_{n}_text": strip(F.col(n)) for n in text},
         {
-            "_seats_error": money.integer_error(text["seats"], value["seats"], 1),
-            "_discount_error": F.coalesce(
-                money.plain_decimal_error(text["discount_pct"], value["discount_pct"]),
-                F.when(off_scale, F.lit(P.ERR_DISCOUNT)),
-            ),
-            "_csat_bad": optional_bad("csat_score", csat | (value["csat_score"] > 5)),
-            "_tickets_bad": optional_bad("support_tickets", tickets),
+            **{f"_{n}_value": money.whole_number(text[n]) for n in whole},
+            "_discount_pct_value": money.percentage(text["discount_pct"]),
         },
         {
-            "seats": F.when(F.col("_seats_error").isNull(), value["seats"].cast("int")),
-            "discount_pct": F.when(
-                F.col("_discount_error").isNull(), value["discount_pct"].cast(money.PERCENT)
-            ),
-            "csat_score": F.when(~F.col("_csat_bad"), value["csat_score"].cast("int")),
-            "support_tickets": F.when(~F.col("_tickets_bad"), value["support_tickets"].cast("int")),
+            "_seats_error": money.whole_number_error(text["seats"], value["seats"], whole["seats"]),
+            "_discount_error": money.percentage_error(text["discount_pct"], value["discount_pct"]),
+            "_csat_bad": bad("csat_score") | F.coalesce(value["csat_score"] > 5, F.lit(False)),
+            "_tickets_bad": bad("support_tickets"),
+        },
+        {
+            "seats": F.when(F.col("_seats_error").isNull(), value["seats"]),
+            "discount_pct": F.when(F.col("_discount_error").isNull(), value["discount_pct"]),
+            "csat_score": F.when(~F.col("_csat_bad"), value["csat_score"]),
+            "support_tickets": F.when(~F.col("_tickets_bad"), value["support_tickets"]),
             "_terms_error": F.coalesce("_seats_error", "_discount_error"),
         },
     ]
@@ -175,11 +175,13 @@ def _result_columns() -> list:
     # A record without an id is a group of its own.
     own_group = F.concat(F.lit(MISSING_GROUP), F.col("source_row").cast("string"))
     group = F.when(F.col("invoice_id") == "", own_group).otherwise(F.col("invoice_id"))
+    usable = F.col("financial_error").isNull()
+    amount_local = F.when(usable, money.local_amount(F.col("_digits"))).alias("amount_local")
     return [
         "source_row",
         group.alias("invoice_group"),
         "raw_invoice_id",
-        *P.INVOICE_COLUMNS,
+        *[amount_local if c == "amount_local" else c for c in P.INVOICE_COLUMNS],
         "financial_error",
         "errors",
         collect_where(issues, ISSUE_TYPE).alias("issues"),

@@ -9,7 +9,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from .. import policies as P
-from ..functions.text import WHITESPACE, strip
+from ..functions.text import SPACE_CLASS, strip
 
 
 @pandas_udf(StringType())
@@ -25,8 +25,7 @@ def nfkc(text: Column) -> Column:
 
 
 def collapse_whitespace(text: Column) -> Column:
-    runs = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]+"
-    return strip(F.regexp_replace(text, runs, " "))
+    return strip(F.regexp_replace(text, f"[{SPACE_CLASS}]+", " "))
 
 
 def screen(prompts: DataFrame, text: str = "text") -> DataFrame:

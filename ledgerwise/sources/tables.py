@@ -93,8 +93,9 @@ def derived_ledger(spark: SparkSession, folder: str) -> DataFrame:
     nation = table(spark, folder, "nation").select(
         F.col("n_nationkey").alias("c_nationkey"), "n_regionkey"
     )
-    customer = customer.join(nation, "c_nationkey")
-    df = orders.join(customer, "c")
+    # Orders first: the estimate of a joined side is a product, which would make orders the side
+    # to broadcast.
+    df = orders.join(customer, "c").join(nation, "c_nationkey")
     copies, columns = _derivation()
     df = df.withColumn("copy", F.explode(copies))
     source_row = (F.col("k") * 3 + F.col("copy") + 2).cast("bigint")
