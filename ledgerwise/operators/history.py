@@ -13,7 +13,7 @@ TURN_BLOCK = 4096
 def json_bytes(text: Column) -> Column:
     """Bytes of the text inside an ASCII-only JSON string, without the quotes."""
     short = F.regexp_count(text, F.lit(r'["\\\n\r\t\x08\f]'))
-    escaped = F.regexp_count(text, F.lit(r"[\x00-\x07\x0b\x0e-\x1f\x80-\x{ffff}]"))
+    escaped = F.regexp_count(text, F.lit(r"[\x00-\x07\x0b\x0e-\x1f\x7f-\x{ffff}]"))
     paired = F.regexp_count(text, F.lit(r"[\x{10000}-\x{10ffff}]"))
     return (F.char_length(text) + short + 5 * escaped + 11 * paired).cast("bigint")
 

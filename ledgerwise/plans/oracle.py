@@ -413,7 +413,7 @@ _HISTORY = """
 said AS (
   SELECT conv_id, turn, role, text,
     length(text) + length(regexp_replace(text, '[^"\\\\\\n\\r\\t\\x08\\f]', '', 'g'))
-      + 5 * length(regexp_replace(text, '[^\\x00-\\x07\\x0b\\x0e-\\x1f\\x{80}-\\x{ffff}]', '', 'g'))
+      + 5 * length(regexp_replace(text, '[^\\x00-\\x07\\x0b\\x0e-\\x1f\\x7f-\\x{ffff}]', '', 'g'))
       + 11 * length(regexp_replace(text, '[^\\x{10000}-\\x{10ffff}]', '', 'g')) AS bytes
   FROM conversations WHERE role <> 'system'
 ),
