@@ -63,9 +63,9 @@ def curated_query(session: SparkSession, sql: str) -> DataFrame:
     The text is placed inside a subquery, where the grammar admits nothing but a query.
     """
     if not sql.strip() or len(sql) > P.MAX_SQL_CHARS:
-        raise AnswerError("query is empty or exceeds the SQL length limit")
+        raise AnswerError("the query is blank or too long")
     if not re.match(r"\s*(SELECT|WITH)\b", sql, re.IGNORECASE):
-        raise AnswerError("only a single SELECT/WITH query is supported")
+        raise AnswerError("a query starts with SELECT or WITH")
     bare = re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"", "''", sql)
     if re.search(r"\bRECURSIVE\b|--|/\*|;", bare, re.IGNORECASE):
         raise AnswerError("recursive queries, comments and several statements are not supported")
@@ -76,14 +76,14 @@ def curated_query(session: SparkSession, sql: str) -> DataFrame:
     try:
         return session.sql(f"SELECT * FROM (\n{sql}\n) AS answer")
     except Exception as exc:
-        raise AnswerError(f"query rejected: {str(exc).splitlines()[0]}") from None
+        raise AnswerError(f"not answerable: {str(exc).splitlines()[0]}") from None
 
 
 def bounded_rows(df: DataFrame, max_rows: int = P.MAX_ANSWER_ROWS) -> list[tuple]:
     """All rows of a small answer; one row too many is an error, never a silent cut."""
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
-        raise AnswerError(f"query returned more than {max_rows} rows; narrow it or add LIMIT")
+        raise AnswerError(f"the answer has over {max_rows} rows; ask for fewer")
     return [tuple(row) for row in rows]
 
 

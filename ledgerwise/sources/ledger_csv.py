@@ -14,7 +14,7 @@ def ledger_header(spark: SparkSession, path: str) -> list[str]:
     first = spark.read.csv(path, header=False, quote='"', escape='"').head()
     header = list(first) if first else []
     if len(header) != len(LEDGER_COLUMNS) or set(header) != set(LEDGER_COLUMNS):
-        raise ValueError("CSV must contain the 19 documented columns exactly once")
+        raise ValueError("the ledger header must name each of the 19 columns once")
     return header
 
 
@@ -73,7 +73,7 @@ def read_ledger(spark: SparkSession, path: str, multi_line: bool = True) -> Data
         "landed",
     )
     if landed.isEmpty():
-        raise ValueError("CSV is empty or contains a record with the wrong field count")
+        raise ValueError("the ledger has no records")
     return number_rows(landed)
 
 
