@@ -4,7 +4,7 @@ _QUALITY_MEASURES = ["symbols", "dup_lines", "repeat_words", "word_length"]
 
 
 def _quality() -> str:
-    slack = {"symbols": 100, "dup_lines": 350, "repeat_words": 250, "word_length": 500}
+    slack = {"symbols": 100, "dup_lines": 350, "repeat_words": 400, "word_length": 500}
     unions = " UNION ALL ".join(
         f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM counted WHERE NOT base_failed" for m in _QUALITY_MEASURES)
     inside = " AND ".join(

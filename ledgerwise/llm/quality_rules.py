@@ -24,7 +24,7 @@ MAX_REPEAT_PERCENT = 50
 MIN_GROUP = 100
 FENCE = 3
 #: Measures in thousandths, and how far a bound lies beyond the fence at least.
-SLACK = {"symbols": 100, "dup_lines": 350, "repeat_words": 250, "word_length": 500}
+SLACK = {"symbols": 100, "dup_lines": 350, "repeat_words": 400, "word_length": 500}
 SPACES = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
 EXACT_BITS = 8

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, prefix_counts, quality_rules
+from . import byte_bpe, chat_format, decontaminate, language_id, prefix_counts, quality_rules, simhash
 from .common import documents, written
 from .oracle import ORACLE  # noqa: F401
 
@@ -25,14 +25,29 @@ def op6_prefix_target_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat_format.digests(written(chat_format.format_conversations(given.unionByName(extra)), "chat"))
 
 
+def op7_golay_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, folder))
+
+
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.round_trip(documents(spark, folder), path, public_tokenizers.PATTERN)
 
 
+def op9_suffix_array_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leak_report(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+def op10_hierarchical_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(documents(spark, folder))
+
+
 QUERIES = {
     "op2_prefix_token_counts": op2_prefix_token_counts,
     "op4_adaptive_quality": op4_adaptive_quality,
     "op6_prefix_target_chat": op6_prefix_target_chat,
+    "op7_golay_simhash": op7_golay_simhash,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_suffix_array_decontamination": op9_suffix_array_decontamination,
+    "op10_hierarchical_language_id": op10_hierarchical_language_id,
 }
