@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, language_id, prefix_counts, quality_rules, simhash
+from . import byte_bpe, chat_format, decontaminate, language_id, prefix_counts, quality_rules, secret_scan, simhash
 from .common import documents, written
 from .oracle import ORACLE  # noqa: F401
 
@@ -17,6 +17,10 @@ def op4_adaptive_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.verdicts(documents(spark, folder))
 
 
+def op5_forest_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.findings(documents(spark, folder), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op6_prefix_target_chat(spark: SparkSession, folder: str) -> DataFrame:
     given = spark.read.parquet(f"{folder}/conversations.parquet").select(
         F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
@@ -45,6 +49,7 @@ def op10_hierarchical_language_id(spark: SparkSession, folder: str) -> DataFrame
 QUERIES = {
     "op2_prefix_token_counts": op2_prefix_token_counts,
     "op4_adaptive_quality": op4_adaptive_quality,
+    "op5_forest_secret_scan": op5_forest_secret_scan,
     "op6_prefix_target_chat": op6_prefix_target_chat,
     "op7_golay_simhash": op7_golay_simhash,
     "op8_byte_bpe": op8_byte_bpe,
