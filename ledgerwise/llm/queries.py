@@ -4,11 +4,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, language_id, prefix_counts, quality_rules, secret_scan, simhash
+from . import byte_bpe, chat_format, decontaminate, language_id, ngram_lm, prefix_counts, quality_rules, secret_scan, simhash
 from .common import documents, written
 from .oracle import ORACLE  # noqa: F401
 
 
+def op1_elias_fano_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_lm.held_out_scores(documents(spark, folder))
+
+
 def op2_prefix_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_counts.token_counts(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -47,6 +51,7 @@ def op10_hierarchical_language_id(spark: SparkSession, folder: str) -> DataFrame
 
 
 QUERIES = {
+    "op1_elias_fano_lm": op1_elias_fano_lm,
     "op2_prefix_token_counts": op2_prefix_token_counts,
     "op4_adaptive_quality": op4_adaptive_quality,
     "op5_forest_secret_scan": op5_forest_secret_scan,
