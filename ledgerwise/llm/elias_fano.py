@@ -3,6 +3,8 @@
 import numpy as np
 
 _ONE = np.uint64(1)
+#: Steps along a run of values before the rest of it is bisected.
+_STEPS = 6
 
 
 class EliasFano:
@@ -61,7 +63,9 @@ class EliasFano:
         at = place - high
         low = wanted & ((1 << self.bits) - 1)
         open_rows = np.arange(len(wanted))
-        while len(open_rows):
+        for _ in range(_STEPS):
+            if not len(open_rows):
+                break
             here = place[open_rows]
             in_run = (self.high[here >> 6] >> (here & 63).astype(np.uint64)) & _ONE == 1
             open_rows = open_rows[in_run]
@@ -70,10 +74,25 @@ class EliasFano:
             open_rows = open_rows[here < sought]
             place[open_rows] += 1
             at[open_rows] += 1
+        if len(open_rows):
+            self._bisect_run(open_rows, high, low, at, equal)
         at[beyond] = self.n
         equal[beyond] = False
         return at, equal
 
+    def _bisect_run(self, rows: np.ndarray, high: np.ndarray, low: np.ndarray, at: np.ndarray, equal: np.ndarray) -> None:
+        """Finish the search in long runs of one high part."""
+        first = at[rows]
+        run_end = end = self._select(self.zeros, ~self.high, high[rows]) - high[rows]
+        while (first < end).any():
+            middle = np.minimum((first + end) // 2, self.n - 1)
+            smaller = (first < end) & (self._low(middle) < low[rows])
+            end = np.where(smaller | (first >= end), end, middle)
+            first = np.where(smaller, middle + 1, first)
+        at[rows] = first
+        inside = np.flatnonzero(first < run_end)
+        equal[rows[inside]] = self._low(first[inside]) == low[rows[inside]]
+
     def _low(self, at: np.ndarray) -> np.ndarray:
         if not self.bits:
             return np.zeros(len(at), dtype=np.int64)

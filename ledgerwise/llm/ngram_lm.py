@@ -38,7 +38,7 @@ from .common import LOWER_BYTES, drop_written, id_and_text, remainder, remove_fo
 from .elias_fano import EliasFano
 from .store import mapped, write_arrays
 
-MU = 10.0
+MU = 200.0
 STEP = 1 / 4096
 SEED = 42
 SHARD_TOKENS = 3_000_000
@@ -328,7 +328,7 @@ def write_bigrams(blocks: DataFrame, facts: dict) -> dict:
     sent = blocks.sparkSession.sparkContext.broadcast(facts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(sent.value)
+        vocabulary, mu = Vocabulary(sent.value), sent.value["mu"]
         for shard, (parts,) in _by_shard(batches, ("block",)):
             columns = [unsqueeze(b, 4) for part in parts for b in part.to_pylist()]
             a, b, c, n = merge(
@@ -343,8 +343,8 @@ def write_bigrams(blocks: DataFrame, facts: dict) -> dict:
             own = np.repeat(vocabulary.counts(first[words]), np.diff(np.append(words, len(first))))
             low = int(first[0])
             arrays, levels = _level(first - low, int(first[-1]) - low + 1, second)
-            arrays["p"] = code(np.log10((pair + MU * vocabulary.unigram(vocabulary.counts(second))) / (own + MU)))
-            arrays["weight"] = code(np.log10(MU / (pair + MU)))
+            arrays["p"] = code(np.log10((pair + mu * vocabulary.unigram(vocabulary.counts(second))) / (own + mu)))
+            arrays["weight"] = code(np.log10(mu / (pair + mu)))
             write_arrays(f"{folder}/bigrams-{shard}", arrays, low=low, contexts=int(first[-1]) - low + 1, levels=levels)
             block = np.frombuffer(squeeze([c[real], n[real]]), dtype=np.uint8)
             heads_block = np.frombuffer(squeeze([second, children, np.minimum(pair, 2**32 - 1)]), dtype=np.uint8)
@@ -453,7 +453,7 @@ def write_trigrams(spark: SparkSession, facts: dict) -> None:
     sent = spark.sparkContext.broadcast(facts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(sent.value)
+        trie, mu = Trie(sent.value), sent.value["mu"]
         for batch in batches:
             for shard in batch.column("shard").to_pylist():
                 given = mapped(f"{folder}/trigram-counts-{shard}")
@@ -465,7 +465,7 @@ def write_trigrams(spark: SparkSession, facts: dict) -> None:
                 found = trie.bigrams(distinct >> 32, distinct & 0xFFFFFFFF)
                 place, p = found["place"][back], found["p"][back]
                 arrays, levels = _level(context, len(second), place + 1)
-                arrays["p"] = code(np.log10((n + MU * 10.0**p) / (pair[context] + MU)))
+                arrays["p"] = code(np.log10((n + mu * 10.0**p) / (pair[context] + mu)))
                 write_arrays(f"{folder}/trigrams-{shard}", arrays, levels=levels)
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64())], names=["shard"])
 
@@ -475,11 +475,11 @@ def write_trigrams(spark: SparkSession, facts: dict) -> None:
         remove_folder(spark, f"{folder}/trigram-counts-{s}")
 
 
-def train(texts: DataFrame) -> dict:
+def train(texts: DataFrame, mu: float = MU) -> dict:
     """Build the model of all ``texts`` in the shared folder; returns what readers need to open it."""
     spark = texts.sparkSession
     folder = new_folder(spark, "ngram-lm")
-    facts = write_vocabulary(spark, texts, folder)
+    facts = write_vocabulary(spark, texts, folder) | {"mu": mu}
     facts = write_bigrams(count_trigrams(texts, facts), facts)
     write_trigrams(spark, facts)
     return facts
@@ -489,7 +489,7 @@ class Scorer:
     """log10 probabilities of texts."""
 
     def __init__(self, facts: dict):
-        self.vocabulary, self.trie = Vocabulary(facts), Trie(facts)
+        self.vocabulary, self.trie, self.mu = Vocabulary(facts), Trie(facts), facts["mu"]
 
     def score(self, lists: list[list[bytes]]) -> dict[str, np.ndarray]:
         """Per text: tokens, known tokens, unigram score, model score."""
@@ -503,7 +503,7 @@ class Scorer:
         seen = self.vocabulary.counts(different)
         counts, unigram = seen[back], np.log10(self.vocabulary.unigram(seen))[back]
         contexts, context_of = np.unique(second, return_inverse=True)
-        weight1 = np.log10(MU / (self.vocabulary.counts(contexts) + MU))[context_of]
+        weight1 = np.log10(self.mu / (self.vocabulary.counts(contexts) + self.mu))[context_of]
         pairs, pair_of = np.unique(second << 32 | third, return_inverse=True)
         found = self.trie.bigrams(pairs >> 32, pairs & 0xFFFFFFFF)
         there = found["at"][pair_of] >= 0

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, language_id, ngram_lm, prefix_counts, quality_rules, secret_scan, simhash
+from . import byte_bpe, chat_format, decontaminate, language_id, ngram_lm, prefix_counts, quality_rules, range_coder, secret_scan, simhash
 from .common import documents, written
 from .oracle import ORACLE  # noqa: F401
 
@@ -17,6 +17,11 @@ def op2_prefix_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_counts.token_counts(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_context_mixing_ids(spark: SparkSession, folder: str) -> DataFrame:
+    files, written_to = range_coder.write_ids(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
+    return range_coder.read_ids(files, written_to)
+
+
 def op4_adaptive_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.verdicts(documents(spark, folder))
 
@@ -53,6 +58,7 @@ def op10_hierarchical_language_id(spark: SparkSession, folder: str) -> DataFrame
 QUERIES = {
     "op1_elias_fano_lm": op1_elias_fano_lm,
     "op2_prefix_token_counts": op2_prefix_token_counts,
+    "op3_context_mixing_ids": op3_context_mixing_ids,
     "op4_adaptive_quality": op4_adaptive_quality,
     "op5_forest_secret_scan": op5_forest_secret_scan,
     "op6_prefix_target_chat": op6_prefix_target_chat,
