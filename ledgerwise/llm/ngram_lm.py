@@ -41,9 +41,9 @@ from .store import mapped, write_arrays
 MU = 200.0
 STEP = 1 / 4096
 SEED = 42
-SHARD_TOKENS = 3_000_000
+SHARD_TOKENS = 1_500_000
 SHARD_WORDS = 1 << 19
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 750_000
 WORD_LIMIT = 300_000
 UNKNOWN, BEGIN, END, FIRST = 0, 1, 2, 3
 FOLDS, HELD_OUT = 5, 1
@@ -155,10 +155,12 @@ class Vocabulary:
         result = np.zeros(len(ids), dtype=np.int64)
         result[(ids == END) | (ids == BEGIN)] = self.texts
         words = np.flatnonzero(ids >= FIRST)
-        shard = np.searchsorted(self.bases, ids[words], side="right") - 1
-        for s in np.unique(shard).tolist():
-            rows = words[shard == s]
-            result[rows] = self.files[s]["count"][ids[rows] - self.bases[s]]
+        shard = (np.searchsorted(self.bases, ids[words], side="right") - 1).astype(np.uint16 if len(self.bases) < 1 << 16 else np.int64)
+        order = np.argsort(shard, kind="stable")
+        heads = runs(shard[order])
+        for rows in np.split(order, heads[1:]) if len(heads) else []:
+            s = int(shard[rows[0]])
+            result[words[rows]] = self.files[s]["count"][ids[words[rows]] - self.bases[s]]
         return result
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
@@ -499,11 +501,12 @@ class Scorer:
         head = np.append(0, np.cumsum(sizes)[:-1])
         second = np.append(BEGIN, third[:-1])
         second[head] = BEGIN
-        different, back = np.unique(third, return_inverse=True)
-        seen = self.vocabulary.counts(different)
-        counts, unigram = seen[back], np.log10(self.vocabulary.unigram(seen))[back]
-        contexts, context_of = np.unique(second, return_inverse=True)
-        weight1 = np.log10(self.mu / (self.vocabulary.counts(contexts) + self.mu))[context_of]
+        counts = self.vocabulary.counts(third)
+        unigram = np.log10(self.vocabulary.unigram(counts))
+        # The context of a token is the token before, or the beginning of the text.
+        own = np.append(self.vocabulary.texts, counts[:-1])
+        own[head] = self.vocabulary.texts
+        weight1 = np.log10(self.mu / (own + self.mu))
         pairs, pair_of = np.unique(second << 32 | third, return_inverse=True)
         found = self.trie.bigrams(pairs >> 32, pairs & 0xFFFFFFFF)
         there = found["at"][pair_of] >= 0
