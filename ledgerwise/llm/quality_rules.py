@@ -150,10 +150,10 @@ def bounds(sketch: DataFrame) -> DataFrame:
 def judge(measured: DataFrame, name: str = "quality", verdict: str = "kept") -> DataFrame:
     """``measured`` with the verdict: base rule passed and every measure within its group's bounds.
 
-    The join is left to Spark: it broadcasts the bounds while they are small, and else splits the
-    partitions of a hot source.
+    The bounds are written first, so that Spark knows their size: it broadcasts them while they are
+    small, without dealing out the texts, and else splits the partitions of a hot source.
     """
-    limits = bounds(sketches(measured, name))
+    limits = written(bounds(sketches(measured, name)), "quality-bounds")
     q = F.col(name)
     on = (q["lang"] == limits["_lang"]) & (q["source"] == limits["_source"])
     inside = ~q["base_failed"]

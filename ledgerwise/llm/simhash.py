@@ -287,13 +287,15 @@ def links(fingerprints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
 
 
 def groups(rows: DataFrame, bits: int = MAX_BITS) -> DataFrame:
-    """fp, component_id: the smallest id reachable from each fingerprint. ``rows`` has doc_id and fp."""
+    """fp, component_id, kept_fp: the smallest id reachable from each fingerprint, and the fingerprint that
+    has it (the smallest, if several have). ``rows`` has doc_id and fp."""
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     labels = components(links(distinct, bits))
     linked = distinct.join(labels, distinct["fp"] == labels["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
-    roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    return linked.join(roots, "root").select("fp", "component_id")
+    first = F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("first")
+    roots = linked.groupBy("root").agg(first)
+    return linked.join(roots, "root").select("fp", F.col("first.least").alias("component_id"), F.col("first.fp").alias("kept_fp"))
 
 
 def near_duplicates(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
@@ -301,17 +303,18 @@ def near_duplicates(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     rows = written(with_fingerprints(id_and_text(docs)).drop("text"), "simhash")
     found = groups(rows, bits)
     # One row per fingerprint on the right; copies in a third of all rows are split by adaptive execution.
-    return rows.join(found, "fp").select(
+    return rows.join(found.drop("kept_fp"), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """One document of each component, that with the smallest id; columns as they were.
 
-    Of repeated rows of that id one stays. Rows of components without any id stay once each."""
+    Of repeated rows of that id one stays; of a component without any id, one row stays."""
     name, group = "_simhash_fp", "_simhash_group"
     rows = written(with_fingerprints(docs.withColumn("text", F.col("text").cast("string")), name), "simhash")
     found = groups(rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(name).alias("fp")), bits)
-    found = found.select(F.col("fp").alias("_simhash_key"), F.col("component_id").alias(group))
-    kept = rows.join(found, rows[name] == found["_simhash_key"]).filter(F.col("doc_id").cast("bigint").eqNullSafe(F.col(group)))
-    return kept.dropDuplicates(["doc_id", group]).select(*docs.columns)
+    kept = found.filter("fp = kept_fp").select(F.col("fp").alias("_simhash_key"), F.col("component_id").alias(group))
+    same = (rows[name] == kept["_simhash_key"]) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(group))
+    # Both steps are on the fingerprint, so the texts are dealt out once.
+    return rows.join(kept, same).dropDuplicates([name, "doc_id"]).select(*docs.columns)
