@@ -11,13 +11,14 @@ MONEY = "decimal(30,12)"
 PERCENT = "decimal(15,12)"
 _PLAIN = "decimal(38,12)"
 
+# Fixed value: the accepted form of an amount.
 AMOUNT_FORMAT = r"^[+-]?(?:\d+|\d{1,3}(?:,\d{3})+)(?:\.\d+)?\z"
 _FEW_DIGITS = r"^\d{1,9}(?:\.0*)?\z"
 _FEW_PLACES = r"^\d{1,3}(?:\.\d{1,12})?\z"
 _LOST_DIGIT = r"\.\d{12}\d*[1-9]"
-# Exponents over four digits are refused: the cast would write the number out in full.
-_DECIMAL_SYNTAX = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d{1,4})?\z"
-_LONG_EXPONENT = r"^[+-]?(?:\d+\.?\d*|\.\d+)[eE][+-]?\d{5,}\z"
+# Exponents over four digits, leading zeros aside, are refused: the cast would write the number out in full.
+_DECIMAL_SYNTAX = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?0*\d{1,4})?\z"
+_LONG_EXPONENT = r"^[+-]?(?:\d+\.?\d*|\.\d+)[eE][+-]?0*[1-9]\d{4,}\z"
 _NOT_FINITE = r"(?i)^[+-]?(?:inf|infinity|s?nan\d*)\z"
 
 
@@ -65,7 +66,7 @@ def plain_decimal(text: Column) -> Column:
 def _exponent_loses_digits(text: Column) -> Column:
     """Whether a number written with an exponent has a digit below the twelfth decimal place."""
     mantissa = F.regexp_extract(text, r"^[+-]?([\d.]+)", 1)
-    exponent = F.regexp_extract(text, r"[eE]([+-]?\d{1,4})\z", 1).cast("int")
+    exponent = F.regexp_extract(text, r"[eE]([+-]?\d+)\z", 1).cast("int")
     places = F.length(F.regexp_extract(mantissa, r"\.(\d*)\z", 1))
     digits = F.replace(mantissa, F.lit("."), F.lit(""))
     kept = F.rtrim(digits, F.lit("0"))

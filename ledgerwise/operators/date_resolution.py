@@ -52,7 +52,8 @@ def format_evidence(raw: DataFrame) -> DataFrame:
     A record proves an order when its text has exactly one valid reading. Every task reduces its
     rows to eight booleans before the shuffle.
     """
-    readings = apply_layers(raw.select(*DATE_FIELDS), *[reading_layers(f"_{f}", f) for f in DATE_FIELDS])
+    texts = raw.select(*[F.coalesce(F.col(f), F.lit("")).alias(f) for f in DATE_FIELDS])
+    readings = apply_layers(texts, *[reading_layers(f"_{f}", f) for f in DATE_FIELDS])
     flags, orders = _evidence_columns()
     return readings.agg(*flags).select(*orders)
 

@@ -16,6 +16,7 @@ from .date_resolution import (
     DATE_FIELDS, ISSUE_TYPE, date_issues, date_layers, format_evidence, issue,
 )
 
+# Fixed value: the accepted form of an address.
 EMAIL = r"^[^{0}@]+@[^{0}@]+\.[^{0}@]+\z".format(SPACE_CLASS)
 REQUIRED = ["invoice_id", "account_id", "account_name"]
 ALIASED = {
@@ -191,12 +192,13 @@ def _result_columns() -> list:
 def normalize(raw: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     """One typed row per raw record.
 
-    ``raw`` has ``source_row`` and the 19 text columns, blanks as ''. The result has the canonical
+    ``raw`` has ``source_row`` and the 19 text columns; NULL counts as blank. The result has the canonical
     columns, ``invoice_group``, ``raw_invoice_id``, ``financial_error``, ``errors`` and ``issues``.
     ``evidence`` may come from a wider set of records.
     """
     if evidence is None:
         evidence = format_evidence(raw)
+    raw = raw.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in P.LEDGER_COLUMNS})
     df = raw.withColumnsRenamed({f: f"raw_{f}" for f in DATE_FIELDS})
     df = apply_layers(df, text_layers(), date_layers(evidence), financial_layers(), number_layers())
     return df.withColumns(_check_columns()).select(*_result_columns())

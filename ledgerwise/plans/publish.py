@@ -6,7 +6,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare
+from ..session import prepare, remove_folder
 from ..sources.ledger_csv import read_ledger, source_files, source_sha256
 from .ledger import Ledger
 
@@ -35,15 +35,24 @@ def publish(
         return spark.read.schema(df.schema).parquet(path)
 
     ledger = Ledger(raw, as_of, save, None if sha256 is None else F.lit(sha256))
+    try:
+        _check(ledger, as_of)
+    except Exception:
+        remove_folder(spark, f"{folder}/runs/{run}")
+        raise
+    entry = spark.range(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("published_at"))
+    entry.coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    return ledger
+
+
+def _check(ledger: Ledger, as_of: str | None) -> None:
+    """Write all tables; refuse a ledger that breaks any of the fixed rules."""
     if as_of is None and ledger.invoices.isEmpty():
         raise ValueError("no accepted invoices; give an as-of date to publish an audit-only ledger")
-    broken = ledger.violations().filter("n > 0").orderBy("rule").head(20)
+    broken = ledger.violations().filter("n > 0").orderBy("rule").collect()
     if broken:
         raise ValueError("constraints violated: " + ", ".join(f"{r['rule']} ({r['n']})" for r in broken))
     ledger.report
-    entry = spark.range(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("published_at"))
-    entry.coalesce(1).write.mode("append").parquet(f"{folder}/log")
-    return ledger
 
 
 def import_csv(
@@ -58,7 +67,7 @@ def import_csv(
 
 
 def current_run(spark: SparkSession, folder: str) -> str:
-    latest = spark.read.parquet(f"{folder}/log").orderBy(F.desc("published_at")).head()
+    latest = spark.read.parquet(f"{folder}/log").orderBy(F.desc("published_at"), F.desc("run")).head()
     return f"{folder}/runs/{latest['run']}"
 
 

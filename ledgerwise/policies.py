@@ -101,7 +101,7 @@ SCREENING_PATTERNS = {
 
 # Functions a curated query may call.
 CURATED_FUNCTIONS = [
-    "sum", "total", "count", "avg", "min", "max", "round", "coalesce", "ifnull", "nullif", "abs",
+    "sum", "count", "avg", "min", "max", "round", "coalesce", "ifnull", "nullif", "abs",
     "lower", "upper", "length", "substr", "substring", "date", "strftime", "julianday", "like",
     "trim", "ltrim", "rtrim",
 ]

@@ -1,5 +1,7 @@
 """Session helpers: a local session for tests and benches, and staged tables."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -57,6 +59,7 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="ledgerwise-")
+        atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
     return _local_root
 
 
@@ -73,3 +76,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop's file system, wherever it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the folder of a staged frame once nothing reads it any more."""
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        remove_folder(df.sparkSession, folder)

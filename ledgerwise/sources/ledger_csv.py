@@ -1,6 +1,10 @@
 """Ledger CSV files: header check, landing with stable row numbers, and fingerprints."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..policies import LEDGER_COLUMNS
@@ -38,20 +42,32 @@ def scan_ledger(spark: SparkSession, path: str, multi_line: bool = True) -> Data
     )
 
 
+def natural_order(path: Column) -> Column:
+    """A sort key in which numbers inside the path compare by value: part-99999 before part-100000."""
+    parts = F.split(path, r"(?<=\d)(?=\D)|(?<=\D)(?=\d)")
+
+    def key(part: Column) -> Column:
+        digits = F.ltrim(part, F.lit("0"))
+        return F.when(part.rlike(r"^\d+$"), F.concat(F.lpad(F.length(digits).cast("string"), 3, "0"), digits)).otherwise(part)
+
+    return F.array_join(F.transform(parts, key), "")
+
+
 def number_rows(landed: DataFrame) -> DataFrame:
-    """Add source_row: 2, 3, ... over files in path order and records in file order.
+    """Add source_row: 2, 3, ... over files in natural path order and records in file order.
 
-    ``landed`` has ``_file``, ``_block`` and ``_seq``, consecutive within a block. The running
-    offsets have one row per input split, which bounds both the one sort and the broadcast.
+    ``landed`` has ``_file``, ``_block`` and ``_seq``, consecutive within a block. Offsets are summed over
+    files, one row each, and within each file over its blocks.
     """
-    blocks = landed.groupBy("_file", "_block").agg(
-        F.min("_seq").alias("first"), F.count("*").alias("n")
-    )
-    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(
-        "_file", "_block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift")
-    )
-    numbered = landed.join(F.broadcast(blocks), ["_file", "_block"])
+    blocks = landed.groupBy("_file", "_block").agg(F.min("_seq").alias("first"), F.count("*").alias("n"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    running = lambda order: F.coalesce(F.sum("n").over(order), F.lit(0))
+    files = blocks.groupBy("_file").agg(F.sum("n").alias("n")).withColumn("_key", natural_order(F.col("_file")))
+    ahead = files.select("_file", running(before.orderBy("_key", "_file")).alias("ahead"))
+    inside = blocks.select("_file", "_block", "first", running(before.partitionBy("_file").orderBy("_block")).alias("within"))
+    shifts = inside.join(ahead, "_file").select(
+        "_file", "_block", (F.col("ahead") + F.col("within") - F.col("first")).alias("shift"))
+    numbered = landed.join(shifts, ["_file", "_block"])
     source_row = F.col("_seq") + F.col("shift") + FIRST_SOURCE_ROW
     return numbered.select(source_row.alias("source_row"), *LEDGER_COLUMNS)
 
@@ -89,10 +105,29 @@ def write_ledger(records: DataFrame, path: str) -> None:
     )
 
 
+HASH_BYTES = 1 << 22
+
+
 def source_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, length and SHA-256 of every input file; each file is hashed by its own task."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """path, length and SHA-256 of the files the ledger is read from; a task hashes a file piece by piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        for batch in batches:
+            found = []
+            for uri in batch.column("path").to_pylist():
+                files, name = FileSystem.from_uri(uri if "://" in uri else uri.replace(":", "://", 1))
+                digest = hashlib.sha256()
+                with files.open_input_stream(name, compression=None) as given:
+                    while piece := given.read(HASH_BYTES):
+                        digest.update(piece)
+                found.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=["path", "length", "sha256"])
+
+    # The content column is not selected, so Spark only lists the files.
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    return files.mapInArrow(run, "path string, length bigint, sha256 string")
 
 
 def source_sha256(files: DataFrame) -> DataFrame:

@@ -41,7 +41,10 @@ def make_raw(spark):
 
 
 def golden_records():
-    """Eleven records worked out by hand: 9 invoices, one equivalent copy, one conflicting pair."""
+    """The eleven records behind the published golden answers, contact addresses changed.
+
+    They must match those answers: 9 invoices, one equivalent copy, one conflicting pair.
+    """
     beta = {"account_id": "A2", "account_name": "Beta", "region": "EMEA"}
     gamma = {"account_id": "A3", "account_name": "Gamma", "region": "EMEA"}
     eta = {"account_id": "A7", "account_name": "Eta", "invoice_date": "2024-01-21"}

@@ -5,6 +5,7 @@ import hashlib
 
 import pytest
 from conftest import golden_records, record
+from pyspark.sql import functions as F
 
 from ledgerwise.operators import serving
 from ledgerwise.plans.publish import import_csv, read_published
@@ -106,11 +107,14 @@ def test_curated_answers(curated):
 @pytest.mark.parametrize(
     "sql",
     [
-        "DELETE FROM invoices", "DROP TABLE invoices", "SELECT * FROM raw_records", "SELECT * FROM report",
-        "SELECT contact_email FROM invoices", "SELECT load_extension('x')", "SELECT count(*) FROM invoices; DELETE FROM invoices",
-        "WITH RECURSIVE n(x) AS (SELECT 1 UNION ALL SELECT x + 1 FROM n WHERE x < 5) SELECT * FROM n",
-        "SELECT java_method('java.lang.System', 'exit', 0)", "SELECT * FROM parquet.`/tmp`", "", "SELECT 1 " + " " * 12000,
-        "WITH t AS (SELECT 1) INSERT INTO invoices SELECT * FROM t",
+        "WITH reflect AS (SELECT 1 AS a) SELECT reflect('java.lang.Math', 'abs', -5) AS r FROM reflect",
+        "SELECT r'\\', java_method('java.lang.Math', 'abs', -7) AS x", "SELECT current_user", "SELECT current_catalog AS c",
+        "SELECT * FROM default.invoices", "SELECT * FROM raw_ledger", "SELECT * FROM csv.`/etc/hosts`", "SELECT * FROM range(3)",
+        "SELECT (WITH t AS (SELECT 1 AS a) SELECT max(a) FROM t) AS m FROM t", "SELECT * FROM IDENTIFIER('invoices')",
+        "TRUNCATE TABLE accounts", "SET spark.sql.ansi.enabled=false", "CACHE TABLE invoices", "EXPLAIN SELECT 1", "SHOW TABLES",
+        "INSERT INTO accounts SELECT * FROM accounts", "SELECT contact_email FROM invoices", "SELECT 1; SELECT 2", " ",
+        "SELECT 2 " + "-" * 12000, "SELECT transform(array(1), x -> x) AS y", "SELECT total(seats) FROM accounts", "SELECT version()",
+        "WITH RECURSIVE r(k) AS (SELECT 1 UNION ALL SELECT k + 1 FROM r WHERE k < 3) SELECT k FROM r",
     ],
 )
 def test_rejected_statements(curated, sql):
@@ -133,4 +137,22 @@ def test_display(spark):
     assert tuple(serving.display(df).head()) == (
         "$1,234,567.50", "-49 cents", "33.33%", "1,234,567", "1,234.25", "a\\u001b[2J\\u202e", "Unknown",
     )
+    large = spark.createDataFrame([(12345678.5, 0.0001, 1234567892.5)], "a double, b double, c_usd_cents double")
+    assert tuple(serving.display(large).head()) == ("12,345,678.5", "0.0001", "1,234,567,892.5 cents")
     assert serving.heading("net_revenue_usd") == "Net Revenue USD" and serving.heading("churn_pct") == "Churn %"
+
+
+def test_numbers_in_paths_compare_by_value(spark):
+    names = ["a/part-100000.csv", "a/part-99999.csv", "a/part-00002.csv", "b/x", "a/part-00010.csv"]
+    df = spark.createDataFrame([(n,) for n in names], "path string")
+    got = [r[0] for r in df.orderBy(ledger_csv.natural_order(F.col("path"))).collect()]
+    assert got == ["a/part-00002.csv", "a/part-00010.csv", "a/part-99999.csv", "a/part-100000.csv", "b/x"]
+
+
+@pytest.mark.parametrize("column", LEDGER_COLUMNS)
+def test_null_counts_as_blank(spark, make_raw, column):
+    from ledgerwise.operators.normalize import normalize
+
+    blank = make_raw([record("I1") | {column: ""}, record("I2")])
+    null = blank.withColumn(column, F.when(F.col(column) != "", F.col(column)))
+    assert normalize(null).collect() == normalize(blank).collect()
