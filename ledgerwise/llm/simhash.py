@@ -315,6 +315,8 @@ def representatives(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     rows = written(with_fingerprints(docs.withColumn("text", F.col("text").cast("string")), name), "simhash")
     found = groups(rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(name).alias("fp")), bits)
     kept = found.filter("fp = kept_fp").select(F.col("fp").alias("_simhash_key"), F.col("component_id").alias(group))
-    same = (rows[name] == kept["_simhash_key"]) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(group))
-    # Both steps are on the fingerprint, so the texts are dealt out once.
+    own, least = F.col("doc_id").cast("bigint"), F.col(group)
+    # The ids are compared by a condition that is no join key: with the fingerprint as the only key both
+    # steps are dealt by it, and the texts move once.
+    same = (rows[name] == kept["_simhash_key"]) & ((own == least) | (own.isNull() & least.isNull()))
     return rows.join(kept, same).dropDuplicates([name, "doc_id"]).select(*docs.columns)
