@@ -136,7 +136,9 @@ def constraint_violations(
     raw_rows: DataFrame, invoices: DataFrame, sources: DataFrame, accounts: DataFrame, quarantined: DataFrame
 ) -> DataFrame:
     """One row per rule with its number of violations; a publishable ledger has only zeros."""
+    required = ["account_name", "region", "plan", "seats", "discount_pct", "snapshot_date", "as_of", "net_revenue_usd_cents"]
     account_rules = {
+        **{f"accounts.{c} required": F.col(c).isNotNull() for c in required},
         "accounts.churned": F.col("churned").isin(0, 1),
         "accounts.snapshot_uncertain": F.col("snapshot_uncertain").isin(0, 1),
         "accounts.mrr_usd_cents": F.col("mrr_usd_cents") >= 0,

@@ -365,6 +365,10 @@ def _repeated(rule: str, source: str, key: str) -> str:
 _SOURCES = "srcs AS (SELECT invoice_id, source_row FROM judged WHERE accepted)"
 _VIOLATIONS = " UNION ALL ".join([
     _rules("inv"),
+    *[
+        f"SELECT 'accounts.{c} required', count(*) FROM acc WHERE {c.replace('pct', 'hundredths')} IS NULL"
+        for c in ("account_name", "region", "plan", "seats", "discount_pct", "snapshot_date", "as_of", "net_revenue_usd_cents")
+    ],
     "SELECT 'accounts.churned', count(*) FROM acc WHERE churned NOT IN (0, 1)",
     "SELECT 'accounts.snapshot_uncertain', count(*) FROM acc WHERE snapshot_uncertain NOT IN (0, 1)",
     "SELECT 'accounts.mrr_usd_cents', count(*) FROM acc WHERE mrr_usd_cents < 0",
@@ -379,13 +383,29 @@ _VIOLATIONS = " UNION ALL ".join([
 ])
 
 _PUBLISHED_COUNTS = " UNION ALL ".join(
-    f"SELECT '{name}' AS table_name, count(*) AS n_rows FROM {source}"
-    for name, source in {
-        "raw_records": "raw_ledger", "normalized": "typed", "groups": "grps", "invoices": "inv",
-        "record_verdicts": "judged", "quarantine": "(SELECT grp FROM grps WHERE NOT accepted)",
-        "account_marks": "acc", "accounts": "acc", "quality_issues": "all_issues", "report": "coverage",
-    }.items()
+    f"SELECT '{name}' AS table_name, count(*) AS n_rows, CAST(sum({value}) AS BIGINT) AS content FROM {source}"
+    for name, value, source in [
+        ("raw_records", "source_row", "raw_ledger"), ("normalized", "amount_usd_cents", "typed"), ("groups", "n_rows", "grps"),
+        ("invoices", "amount_usd_cents", "inv"), ("record_verdicts", "source_row", "judged"),
+        ("quarantine", "max_cents", "(SELECT max_cents FROM grps WHERE NOT accepted)"), ("account_marks", "mrr_usd_cents", "acc"),
+        ("accounts", "net_revenue_usd_cents", "acc"), ("quality_issues", "source_row", "all_issues"),
+        ("report", "accepted_subtotal_cents", "coverage"),
+    ]
 )
+_REGRESSION = f"""SELECT "case", 1 AS passed, answer FROM (
+  SELECT 'paid_revenue' AS "case", coalesce(sum(amount_usd_cents), 0) || '|1' AS answer FROM inv
+    WHERE status = 'paid' AND invoice_date >= DATE '1997-01-01' AND invoice_date < DATE '1998-01-01'
+  UNION ALL SELECT 'refunds_and_net', coalesce(-sum(amount_usd_cents) FILTER (WHERE status = 'refunded'), 0) || '|'
+    || coalesce(sum(amount_usd_cents) FILTER (WHERE status IN ('paid', 'refunded')), 0) || '|1' FROM inv
+  UNION ALL SELECT 'open_exposure', count(*) || '|' || coalesce(sum(amount_usd_cents), 0) || '|1' FROM inv
+    WHERE status IN ('pending', 'failed')
+  UNION ALL SELECT 'top_region', region || '|' || mean_mrr_cents || '|' || accounts
+    FROM ({_MEAN_MRR} ORDER BY sum(mrr_usd_cents) / count(*) DESC, region LIMIT 1)
+  UNION ALL SELECT 'plan_churn', string_agg(plan || '|' || churned_accounts || '|' || accounts, ';' ORDER BY plan) FROM ({_CHURN})
+  UNION ALL SELECT 'top_accounts', string_agg(account_id || '|' || account_name || '|' || net || '|' || csat_flag || '|' || place, ';' ORDER BY place)
+    FROM (SELECT account_id, account_name, net_revenue_usd_cents AS net, {_FLAG},
+            row_number() OVER (ORDER BY net_revenue_usd_cents DESC, account_id) AS place FROM acc) WHERE place <= 5
+)"""
 
 _PROMPTS = """
 prompts AS (
@@ -507,9 +527,7 @@ ORACLE: dict[str, str] = {
     "|| lpad(CAST(abs(n) % 100 AS VARCHAR), 2, '0') AS net_revenue_usd, "
     "format('{:,}', n) || ' cents' AS net_revenue_usd_cents, csat_flag "
     f"FROM (SELECT account_id, net_revenue_usd_cents AS n, {_FLAG} FROM acc)",
-    "answer_regression": _with(*_ACC)
-    + """SELECT unnest(['paid_revenue', 'refunds_and_net', 'open_exposure', 'top_region', 'plan_churn', 'top_accounts']) AS "case",
-    CAST((SELECT count(*) FROM acc) > 0 AS INTEGER) AS passed""",
+    "answer_regression": _with(*_ACC) + _REGRESSION,
     "ledger_csv_rows": _with(LEDGER)
     + "SELECT row_number() OVER (ORDER BY source_row) + 1 AS source_row, invoice_id, account_id, amount, status, invoice_date FROM raw_ledger",
     "published_tables": _with(*_ACC, ISSUES, _coverage(None)) + _PUBLISHED_COUNTS,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import policies as P
-from ..functions.text import decimal_text
+from ..functions.text import decimal_text, strip
 from ..operators import accounts as A
 from ..operators import audit, dedup, history, quality, screening, serving
 from ..operators.answers import same_rows
@@ -17,7 +17,7 @@ from ..sources import ledger_csv
 from ..sources.tables import derived_ledger, derived_prompts, table
 from . import metrics as M
 from .ledger import Ledger, stage_shared
-from .publish import PUBLISHED, publish, read_published
+from .publish import PUBLISHED, current_run, publish, read_published
 
 AS_OF = "1998-06-30"
 PERIOD = ("1997-01-01", "1998-01-01")
@@ -41,7 +41,7 @@ def _texts(df: DataFrame) -> DataFrame:
 
 def raw_records(spark, folder):
     raw = derived_ledger(prepare(spark), folder)
-    return raw.withColumn("invoice_id", F.trim("invoice_id"))
+    return raw.withColumn("invoice_id", strip(F.col("invoice_id")))
 
 
 def money_cents(spark, folder):
@@ -209,12 +209,25 @@ def violations_without_dedup(spark, folder):
     return quality.violations_without_dedup(_staged(spark, folder).rows)
 
 
+def _published(spark: SparkSession, folder: str) -> str:
+    target = new_folder(spark, "published")
+    publish(spark, derived_ledger(prepare(spark), folder), target)
+    return target
+
+
+def _ask_curated(spark: SparkSession, folder: str, sql: str) -> DataFrame:
+    """Publish the ledger and put a question through the curated boundary in its own session."""
+    run = current_run(spark, _published(spark, folder))
+    session = serving.isolated_session(spark, {name: f"{run}/{name}" for name in ("invoices", "accounts")})
+    return _texts(serving.curated_query(session, sql))
+
+
 def curated_invoices(spark, folder):
-    return _texts(_lazy(spark, folder).curated()["invoices"])
+    return _ask_curated(spark, folder, "SELECT * FROM invoices")
 
 
 def curated_accounts(spark, folder):
-    return _texts(_staged(spark, folder).curated()["accounts"])
+    return _ask_curated(spark, folder, "SELECT * FROM accounts")
 
 
 def answer_with_coverage(spark, folder):
@@ -325,12 +338,18 @@ def ledger_csv_rows(spark, folder):
 
 
 def published_tables(spark, folder):
-    """Publish the ledger, read the current run back, and count its tables."""
-    target = new_folder(spark, "published")
-    publish(spark, derived_ledger(prepare(spark), folder), target)
-    tables = read_published(spark, target)
+    """Publish the ledger, read the current run back; per table its rows and the sum of one telling column."""
+    tables = read_published(spark, _published(spark, folder))
+    summed = {
+        "raw_records": "source_row", "normalized": "amount_usd_cents", "groups": "n_rows", "invoices": "amount_usd_cents",
+        "record_verdicts": "source_row", "quarantine": "alternative_net_revenue_max_cents",
+        "account_marks": "mrr_usd_cents", "accounts": "net_revenue_usd_cents", "quality_issues": "source_row",
+        "report": "accepted_subtotal_cents",
+    }
     counts = [
-        tables[name].agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"))
+        tables[name].agg(
+            F.lit(name).alias("table_name"), F.count("*").alias("n_rows"), F.sum(summed[name]).cast("bigint").alias("content")
+        )
         for name in PUBLISHED
     ]
     result = counts[0]

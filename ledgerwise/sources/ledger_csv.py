@@ -42,6 +42,15 @@ def scan_ledger(spark: SparkSession, path: str, multi_line: bool = True) -> Data
     )
 
 
+def refuse_invalid_utf8(spark: SparkSession, path: str) -> None:
+    """Fail on bytes that are not UTF-8: the CSV reader would replace them, and different names could become equal.
+
+    Lines are split at single bytes, which never part a character. Ends at the first bad line.
+    """
+    if not spark.read.text(path).filter(~F.is_valid_utf8("value")).isEmpty():
+        raise ValueError("the ledger is not valid UTF-8")
+
+
 def natural_order(path: Column) -> Column:
     """A sort key in which numbers inside the path compare by value: part-99999 before part-100000."""
     parts = F.split(path, r"(?<=\d)(?=\D)|(?<=\D)(?=\d)")
@@ -79,6 +88,7 @@ def read_ledger(spark: SparkSession, path: str, multi_line: bool = True) -> Data
     never computed again.
     """
     records = scan_ledger(spark, path, multi_line)
+    refuse_invalid_utf8(spark, path)
     landed = stage(
         records.select(
             *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in LEDGER_COLUMNS],

@@ -42,6 +42,15 @@ def test_broken_files_fail(spark, tmp_path, text):
         ledger_csv.read_ledger(spark, str(tmp_path / "b.csv")).collect()
 
 
+def test_invalid_utf8_is_refused(spark, tmp_path):
+    path = write(tmp_path / "c.csv", [record("I1", account_name="Caf\u00e9")], encoding="latin-1")
+    for multi_line in (True, False):
+        with pytest.raises(ValueError, match="UTF-8"):
+            ledger_csv.read_ledger(spark, path, multi_line)
+    path = write(tmp_path / "d.csv", [record("I1", account_name="Caf\u00e9")])
+    assert ledger_csv.read_ledger(spark, path).head()["account_name"] == "Caf\u00e9"
+
+
 def test_numbers_run_over_splits_and_files(spark, tmp_path):
     for part in range(3):
         write(tmp_path / f"p{part}.csv", [record(f"I{part * 5000 + n}") for n in range(5000)])

@@ -1,4 +1,4 @@
-"""End-to-end results over the hand-computed ledger."""
+"""End-to-end results over the golden ledger, whose records and answers are fixed values."""
 
 import pytest
 from conftest import golden_records, record
