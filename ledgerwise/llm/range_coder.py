@@ -5,10 +5,11 @@ its ids, so a block can be read alone and damage is found. Blocks of one file ar
 side in arrays, one id of each block per step; that is only how the work is done, the blocks stay independent.
 
 Model of one block: the id that followed the last two ids when they were last seen (order 2), the
-id that followed the last one (order 1), and counts of ids (order 0, taken over at every ``REFRESH``
-ids), behind them all ids alike. Orders 2 and 1 carry a confidence, how often in a row they were
-right; per confidence an adaptive probability says how much of the range the predicted id gets.
-What is left goes to order 0 and to the ids it has not seen, in an adaptive proportion.
+id that followed the last one (order 1), the counts of the ids so far (order 0), and behind them all ids
+alike. Orders 2 and 1 carry a confidence, how often in a row they were right. Both confidences, and whether the
+two agree, pick the mixing weights: adaptive counts of which of the four was right. Weights and counts of order 0
+are renewed at the positions ``REFRESH``; between them an encoder, which knows all ids, looks up whole chunks at once.
+The range coder keeps 48 bits; carries are added into the words at the end.
 
 ``write_ids`` orders documents by id and writes one file per ``SEGMENT`` ids and partition; ``read_ids`` reads
 the files back, several documents per block and several blocks per document as they come.
@@ -18,6 +19,7 @@ follow by a hash of the text; an empty table has no files and gives an empty tab
 error; other columns are not read.
 """
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,191 +36,276 @@ from .store import Mapped, write_arrays
 BLOCK = 2048
 SIDE_BY_SIDE = 1024
 SEGMENT = BLOCK * SIDE_BY_SIDE
-REFRESH = 256
+# Positions of a block at which counts and shares are renewed.
+REFRESH = (0, 32, 64, 128, 256, 512, 768, 1024, 1280, 1536, 1792)
 MOST_IDS = 1 << 16
-_TOTAL_BITS = 28
-_TOTAL = 1 << _TOTAL_BITS
-_LOW_BITS, _MIN_RANGE = 60, 1 << 44
-_MASK44 = (1 << 44) - 1
-_ORDER0, _ORDER1, _ORDER2 = 1 << 11, 1 << 11, 1 << 12
-_STATES = 4
-_COUNT = 4
-# Beyond any sum of counts; times the blocks of a file it stays below 2 ** 31.
-_FAR = 1 << 17
+# Shares are 4096ths; one of them is 1 << 16 units of the range, so that every new id has a place.
+_SHARES, _UNIT_BITS, _TOTAL_BITS = 1 << 12, 16, 28
+_WINDOW_BITS = 48
+_WINDOW, _ONE, _TWO = (1 << _WINDOW_BITS) - 1, 1 << 32, 1 << 16
+_BITS1, _BITS2, _BLOCK_BITS = 11, 12, 11
+_SURE = 3
+_KINDS, _STATES = 4, 32
+_OBSERVED = 24
 
 
-class Model:
-    """The models of ``n`` blocks, one row each in every array."""
+def _slots(last, before) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the contexts of order 1 and 2 in a block's tables."""
+    one = last * 40503
+    return one >> 3 & (1 << _BITS1) - 1, one + before * 30011 >> 2 & (1 << _BITS2) - 1
+
+
+def _first_counts() -> np.ndarray:
+    """Weights per state and kind (order 2, order 1, order 0, new) before anything is seen."""
+    state = np.arange(_STATES)
+    sure2, sure1, differ = state >> 2 & 3, state & 3, state < 16
+    two = np.array([4, 40, 70, 90])[sure2]
+    one = np.where(differ, np.array([6, 20, 40, 60])[sure1] * (100 - two) // 100, 0)
+    rest = 100 - two - one
+    return np.stack([two, one, rest // 2, rest - rest // 2], axis=1)
+
+
+class Shares:
+    """Adaptive mixing weights: how often, in each state of confidence, each kind was right."""
 
     def __init__(self, n: int):
         self.n = n
-        self.row0, self.row1, self.row2, self.row_state = (np.arange(n) * k for k in (_ORDER0, _ORDER1, _ORDER2, _STATES))
-        self.next1, self.next2 = np.zeros(n * _ORDER1, np.uint16), np.zeros(n * _ORDER2, np.uint16)
-        self.sure1, self.sure2 = np.zeros(n * _ORDER1, np.uint8), np.zeros(n * _ORDER2, np.uint8)
-        start = np.array([6000, 30000, 50000, 60000])
-        self.hit1, self.hit2 = np.tile(start, n), np.tile(start, n)
-        self.new = np.full(n, 40000)
-        self.seen, self.count = np.zeros(n * _ORDER0, np.uint16), np.zeros(n * _ORDER0, np.int32)
-        self.last = self.before = np.zeros(n, dtype=np.int64)
-        self.steps = 0
-        self.refresh()
-
-    def refresh(self) -> None:
-        """Take the counts of order 0 over into the distribution that codes."""
-        self.known = self.seen.copy()
-        counts = self.count.reshape(self.n, _ORDER0)
-        upto = np.zeros((self.n, _ORDER0 + 1), dtype=np.int32)
-        np.cumsum(counts, axis=1, out=upto[:, 1:])
-        self.total = np.maximum(upto[:, -1], 1).astype(np.int64)
-        self.upto = upto.ravel()
-        self.upto_row = np.arange(self.n) * (_ORDER0 + 1)
-        # One ascending array over all rows, for one bisection.
-        self.ladder = (upto[:, :-1] + (np.arange(self.n, dtype=np.int32) * _FAR)[:, None]).ravel()
-
-    def predict(self) -> None:
-        """Shares of the range for the next id of every block."""
-        self.slot1 = self.row1 + (self.last * 40503 >> 3 & _ORDER1 - 1)
-        self.slot2 = self.row2 + (self.last * 40503 + self.before * 30011 >> 2 & _ORDER2 - 1)
-        self.guess1, self.guess2 = self.next1[self.slot1].astype(np.int64), self.next2[self.slot2].astype(np.int64)
-        self.state1 = self.row_state + self.sure1[self.slot1]
-        self.state2 = self.row_state + self.sure2[self.slot2]
-        self.share2 = self.hit2[self.state2] << _TOTAL_BITS - 16
-        self.differ = self.guess1 != self.guess2
-        self.share1 = (_TOTAL - self.share2 >> 16) * self.hit1[self.state1] * self.differ
-        rest = _TOTAL - self.share2 - self.share1
-        self.share_new = (rest >> 16) * self.new
-        self.share0 = rest - self.share_new
-        self.unit = self.share_new // MOST_IDS
-
-    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and width of the given ids; remembers how each is coded."""
-        self.is2 = ids == self.guess2
-        self.is1 = (ids == self.guess1) & ~self.is2
-        slot = ids * 40503 >> 4 & _ORDER0 - 1
-        at = self.upto_row + slot
-        low, high = self.upto[at], self.upto[at + 1]
-        self.is0 = (self.known[self.row0 + slot] == ids) & (high > low)
-        self.slot0 = self.row0 + slot
-        scaled = self.share0 * low // self.total
-        ahead = self.share2 + self.share1
-        begin = np.where(self.is0, ahead + scaled, ahead + self.share0 + self.unit * ids)
-        width = np.where(self.is0, self.share0 * high // self.total - scaled, self.unit)
-        begin = np.where(self.is1, self.share2, np.where(self.is2, 0, begin))
-        width = np.where(self.is1, self.share1, np.where(self.is2, self.share2, width))
-        return begin, width
-
-    def find(self, place: np.ndarray) -> np.ndarray:
-        """The ids whose intervals hold the given places."""
-        ahead = self.share2 + self.share1
-        inner = place - ahead
-        ids = np.where(place < self.share2, self.guess2, self.guess1)
-        rest = np.flatnonzero(inner >= 0)
-        beyond = inner[rest] - self.share0[rest]
-        ids[rest] = np.minimum(beyond // self.unit[rest], MOST_IDS - 1)
-        rows = rest[beyond < 0]
-        total = self.total[rows]
-        goal = np.minimum(((inner[rows] + 1) * total - 1) // self.share0[rows], total - 1)
-        slot = np.searchsorted(self.ladder, (goal + rows * _FAR).astype(self.ladder.dtype), side="right") - 1
-        ids[rows] = self.known[slot]
-        return ids
-
-    def update(self, ids: np.ndarray) -> None:
-        right, state = self.is2, self.state2
-        p = self.hit2[state]
-        self.hit2[state] = np.clip(p + ((right << 16) - p >> 4), 500, 63488)
-        self.sure2[self.slot2] = np.where(right, np.minimum(self.sure2[self.slot2] + 1, _STATES - 1), 0)
-        self.next2[self.slot2] = ids
-        asked = ~right & self.differ
-        right, state = ids == self.guess1, self.state1
-        p = self.hit1[state]
-        self.hit1[state] = np.where(asked, np.clip(p + ((self.is1 << 16) - p >> 4), 500, 63488), p)
-        self.sure1[self.slot1] = np.where(right, np.minimum(self.sure1[self.slot1] + 1, _STATES - 1), 0)
-        self.next1[self.slot1] = ids
-        plain = ~(self.is2 | self.is1)
-        self.new = np.where(plain, np.clip(self.new + ((~self.is0 << 16) - self.new >> 5), 16384, 49152), self.new)
-        same = self.seen[self.slot0] == ids
-        self.count[self.slot0] = np.where(same, self.count[self.slot0] + _COUNT, _COUNT)
-        self.seen[self.slot0] = ids
-        self.before, self.last = self.last, ids
-        self.steps += 1
-        if self.steps % REFRESH == 0:
-            self.refresh()
+        self.counts = np.tile(_first_counts(), (n, 1, 1))
+
+    def table(self, seen: int) -> np.ndarray:
+        """Per block and state, packed: ends of the shares of order 2, 1 and 0, and the units of one id seen in order 0."""
+        least = np.ones((_STATES, _KINDS), dtype=np.int64)
+        least[16:, 1] = 0
+        least[:, 2] = seen > 0
+        counts = self.counts * (least > 0)
+        shares = least + counts * (_SHARES - least.sum(axis=1))[:, None] // counts.sum(axis=2)[:, :, None]
+        ends = np.cumsum(shares[:, :, :3], axis=2)
+        unit = np.maximum((shares[:, :, 2] << _UNIT_BITS) // max(seen, 1), 1)
+        return (ends[:, :, 0] | ends[:, :, 1] << 13 | ends[:, :, 2] << 26 | unit << 39).ravel()
+
+    def add(self, state: np.ndarray, kind: np.ndarray) -> None:
+        """Count what was found; ``state`` has the block in its upper bits."""
+        found = np.bincount((state * _KINDS + kind).ravel(), minlength=self.n * _STATES * _KINDS)
+        self.counts += _OBSERVED * found.reshape(self.counts.shape)
+
+
+def _chunks(size: int) -> list[tuple[int, int]]:
+    starts = [s for s in REFRESH if s < size]
+    return list(zip(starts, [*starts[1:], size]))
+
+
+def _guesses(ids: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """For every position the entry a decoder would find in the slot: the id that followed last time,
+    and above 16 bits how often in a row the slot was right. Found by sorting, all positions at once."""
+    n, size = ids.shape
+    key = np.sort((slots << _BLOCK_BITS | np.arange(size)).astype(np.uint32), axis=1)
+    place = ((key & BLOCK - 1) + np.arange(n, dtype=np.int64)[:, None] * size).ravel()
+    value = ids.ravel()[place]
+    group = key >> _BLOCK_BITS
+    follows = np.zeros((n, size), dtype=bool)
+    follows[:, 1:] = group[:, 1:] == group[:, :-1]
+    follows = follows.ravel()[1:]
+    guess = np.zeros(len(value), dtype=np.int64)
+    guess[1:] = value[:-1] * follows
+    once, twice, often = (np.zeros(len(value), dtype=bool) for _ in range(_SURE))
+    once[1:] = follows & (value == guess)[:-1]
+    twice[1:] = once[1:] & once[:-1]
+    often[1:] = twice[1:] & twice[:-1]
+    entry = np.empty(len(value), dtype=np.int64)
+    entry[place] = guess + ((once.astype(np.int64) + twice + often) << 16)
+    return entry.reshape(n, size)
+
+
+class _Earlier:
+    """Where every id stands in its block's ids of the positions before a renewal."""
+
+    def __init__(self, ids: np.ndarray):
+        n, size = ids.shape
+        key = np.sort((ids << _BLOCK_BITS | np.arange(size)).astype(np.uint32), axis=1)
+        self.position = (key & BLOCK - 1).ravel()
+        place = (self.position + np.arange(n, dtype=np.int64)[:, None].repeat(size, 1).ravel() * size)
+        value = key >> _BLOCK_BITS
+        new = np.ones((n, size), dtype=bool)
+        new[:, 1:] = value[:, 1:] != value[:, :-1]
+        starts = np.flatnonzero(new)
+        group = np.empty(n * size, dtype=np.int64)
+        group[place] = np.cumsum(new.ravel()) - 1
+        self.group, self.bounds = group.reshape(n, size), np.append(starts, n * size)
+
+    def find(self, seen: int, row: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First place and number of places among the ``seen`` first ids, in ascending order, of the ids at the given positions."""
+        upto = np.zeros(len(self.position) + 1, dtype=np.int64)
+        np.cumsum(self.position < seen, out=upto[1:])
+        upto = upto[self.bounds]
+        group = self.group[row, position]
+        first = upto[group]
+        return first - row * seen, upto[group + 1] - first
+
+
+def _plan(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and width of every id's interval, one row per position. All ids are known here, so a whole
+    chunk between two renewals is looked up at once."""
+    n, size = ids.shape
+    wide = ids.astype(np.int64)
+    last = np.zeros((n, size + 2), dtype=np.int64)
+    last[:, 2:] = wide
+    slots1, slots2 = _slots(last[:, 1:-1], last[:, :-2])
+    entry1, entry2 = _guesses(wide, slots1), _guesses(wide, slots2)
+    guess1, guess2 = entry1 & 0xFFFF, entry2 & 0xFFFF
+    state = (entry2 >> 14 & 12) + (entry1 >> 16) + ((guess1 == guess2) << 4) + (np.arange(n) * _STATES)[:, None]
+    kind12 = np.where(wide == guess2, 0, np.where(wide == guess1, 1, 3))
+    earlier = _Earlier(wide)
+    begin, width = np.empty((n, size), dtype=np.int64), np.empty((n, size), dtype=np.int64)
+    shares = Shares(n)
+    for start, end in _chunks(size):
+        kind = kind12[:, start:end]
+        missed = np.nonzero(kind == 3)
+        first, count = earlier.find(start, missed[0], missed[1] + start)
+        known = count > 0
+        kind[missed] = 3 - known
+        packed = shares.table(start)[state[:, start:end]]
+        end2, end1 = (packed & 8191) << _UNIT_BITS, (packed >> 13 & 8191) << _UNIT_BITS
+        begin[:, start:end] = np.where(kind == 0, 0, end2)
+        width[:, start:end] = np.where(kind == 0, end2, end1 - end2)
+        packed = packed[missed]
+        end0 = packed >> 26 & 8191
+        unit = np.where(known, packed >> 39, _SHARES - end0)
+        at = missed[0], missed[1] + start
+        begin[at] = np.where(known, end1[missed], end0 << _UNIT_BITS) + unit * np.where(known, first, wide[at])
+        width[at] = unit * np.where(known, count, 1)
+        shares.add(state[:, start:end], kind)
+    return begin.T, width.T
+
+
+# Blocks planned at once: their arrays stay in the processor's cache.
+_PLANNED = 64
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code rows of ids (blocks x positions); returns all 16-bit words block by block, and words per block."""
     n, size = ids.shape
-    model = Model(n)
-    low, width = np.zeros(n, dtype=np.int64), np.full(n, 1 << _LOW_BITS, dtype=np.int64)
-    room = size * 2 + 8
-    words, filled = np.zeros(n * room, dtype=np.uint16), np.arange(n) * room
+    begin, width = np.empty((size, n), dtype=np.int64), np.empty((size, n), dtype=np.int64)
+    for i in range(0, n, _PLANNED):
+        begin[:, i : i + _PLANNED], width[:, i : i + _PLANNED] = _plan(ids[i : i + _PLANNED])
+    low, span = np.zeros(n, dtype=np.int64), np.full(n, _WINDOW + 1)
+    # Up to two words a position and two at the end; a word may hold a carry in bit 16 for now.
+    words, filled = np.empty((size + 1, 2, n), dtype=np.int32), np.empty((size + 1, 2, n), dtype=bool)
     for step in range(size):
-        now = ids[:, step].astype(np.int64)
-        model.predict()
-        begin, share = model.interval(now)
-        unit = width >> _TOTAL_BITS
-        low += unit * begin
-        width = unit * share
-        model.update(now)
-        while True:
-            rows = _settled(low, width)
-            if not len(rows):
-                break
-            words[filled[rows]] = low[rows] >> 44
-            filled[rows] += 1
-            low[rows] = (low[rows] & _MASK44) << 16
-            width[rows] <<= 16
-    for _ in range(4):
-        words[filled] = low >> 44
-        filled += 1
-        low = (low & _MASK44) << 16
-    counts = filled - np.arange(n) * room
-    return words.reshape(n, room)[np.arange(room) < counts[:, None]], counts.astype(np.uint32)
-
-
-def _settled(low: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """Rows whose leading 16 bits are certain; a range that got too small is cut to make them so."""
-    same = (low ^ low + width - 1) < _MIN_RANGE
-    small = width < _MIN_RANGE
-    cut = np.flatnonzero(small & ~same)
-    width[cut] = _MIN_RANGE - (low[cut] & _MASK44)
-    return np.flatnonzero(same | small)
+        unit = span >> _TOTAL_BITS
+        low += unit * begin[step]
+        span = unit * width[step]
+        one, two = np.less(span, _ONE, out=filled[step, 0]), np.less(span, _TWO, out=filled[step, 1])
+        words[step, 0] = low >> 32
+        words[step, 1] = low >> 16 & 0xFFFF
+        shift = np.add(one, two, dtype=np.int64) << 4
+        low = np.where(one, low << shift & _WINDOW, low)
+        span <<= shift
+    last = low + 0xFFFF >> 16
+    words[size, 0], words[size, 1], filled[size] = last >> 16, last & 0xFFFF, True
+    filled = filled.transpose(2, 0, 1).reshape(n, -1)
+    flat = words.transpose(2, 0, 1).reshape(n, -1)[filled]
+    while (carry := flat >> 16).any():
+        flat &= 0xFFFF
+        flat[:-1] += carry[1:]
+    return flat.astype(np.uint16), filled.sum(axis=1).astype(np.uint32)
+
+
+def _order0(ids: np.ndarray) -> np.ndarray:
+    """Per block the ids seen so far in ascending order, at each place packed: id, first place, places."""
+    n, seen = ids.shape
+    packed = np.empty((n, seen), dtype=np.int64)
+    for i in range(0, n, _PLANNED):
+        ordered = np.sort(ids[i : i + _PLANNED].astype(np.int32), axis=1)
+        new = np.ones(ordered.shape, dtype=bool)
+        np.not_equal(ordered[:, 1:], ordered[:, :-1], out=new[:, 1:])
+        starts = np.flatnonzero(new)
+        counts = np.diff(starts, append=ordered.size)
+        runs = ordered.ravel()[starts] | starts % seen << 16 | counts << 32
+        packed[i : i + _PLANNED] = np.repeat(runs, counts).reshape(ordered.shape)
+    return packed.ravel()
 
 
 def decode(words: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """The ids of all blocks, ``size`` of each."""
     n = len(counts)
-    model = Model(n)
     words = np.append(words, np.zeros(4, dtype=np.uint16)).astype(np.int64)
+    pairs = words[:-1] << 16 | words[1:]
     at = np.cumsum(counts.astype(np.int64)) - counts
-    low, width = np.zeros(n, dtype=np.int64), np.full(n, 1 << _LOW_BITS, dtype=np.int64)
-    code = np.zeros(n, dtype=np.int64)
-    # The register is 60 bits wide: 16 + 44, filled word by word as the encoder leaves them.
-    for shift in (44, 28, 12):
-        code |= words[at] << shift
-        at += 1
-    code |= words[at] >> 4
-    ids = np.zeros((n, size), dtype=np.uint16)
-    for step in range(size):
-        model.predict()
-        unit = width >> _TOTAL_BITS
-        now = model.find(np.minimum((code - low) // unit, _TOTAL - 1))
-        begin, share = model.interval(now)
-        low += unit * begin
-        width = unit * share
-        model.update(now)
-        ids[:, step] = now
-        while True:
-            rows = _settled(low, width)
-            if not len(rows):
-                break
-            low[rows] = (low[rows] & _MASK44) << 16
-            width[rows] <<= 16
-            w = at[rows]
-            # Four bits of the word before are still to come, then twelve of the next one.
-            code[rows] = (code[rows] & _MASK44) << 16 | (words[w] & 15) << 12 | words[np.minimum(w + 1, len(words) - 1)] >> 4
-            at[rows] += 1
-    return ids
+    code = pairs[at] << 16 | words[at + 2]
+    at += 3
+    span = np.full(n, _WINDOW + 1)
+    row0 = np.arange(n, dtype=np.int64)
+    row = row0.astype(np.int32)
+    # Contexts and entries are of 32 bits; only the low bits of the hashes count, so they may overflow.
+    row1, row2, row_state = row << _BITS1, row << _BITS2, row * _STATES
+    table1, table2 = np.zeros(n << _BITS1, dtype=np.int32), np.zeros(n << _BITS2, dtype=np.int32)
+    last = before = np.zeros(n, dtype=np.int32)
+    ids = np.empty((size, n), dtype=np.uint16)
+    shares = Shares(n)
+    for start, end in _chunks(size):
+        table = shares.table(start)
+        order0 = _order0(ids[:start].T) if start else np.zeros(1, dtype=np.int64)
+        row_seen = row0 * start
+        states, kinds = np.empty((end - start, n), dtype=np.int32), np.empty((end - start, n), dtype=np.int8)
+        for step in range(start, end):
+            slot1, slot2 = _slots(last, before)
+            slot1 += row1
+            slot2 += row2
+            entry1, entry2 = table1.take(slot1), table2.take(slot2)
+            guess1, guess2 = entry1 & 0xFFFF, entry2 & 0xFFFF
+            state = states[step - start]
+            np.add(entry2 >> 14 & 12, entry1 >> 16, out=state)
+            state += (guess1 == guess2).view(np.int8) << 4
+            state += row_state
+            packed = table.take(state)
+            end2, end1, end0 = packed & 8191, packed >> 13, packed >> 26
+            end1 &= 8191
+            end0 &= 8191
+            unit = span >> _TOTAL_BITS
+            place = code // unit
+            share = place >> _UNIT_BITS
+            not2, not1, new = share >= end2, share >= end1, share >= end0
+            # Order 0 and new ids: units before them, units of one place, and the place.
+            base = np.where(new, end0, end1)
+            base <<= _UNIT_BITS
+            part = np.where(new, _SHARES - end0, packed >> 39)
+            place -= base
+            place //= part
+            found = np.where(new, place * 65537 + (1 << 32), order0.take(row_seen + place, mode="clip"))
+            now = np.where(not1, found.astype(np.int32) & 0xFFFF, np.where(not2, guess1, guess2))
+            first = found >> 16
+            first &= 0xFFFF
+            first *= part
+            first += base
+            found >>= 32
+            found *= part
+            end2 <<= _UNIT_BITS
+            end1 <<= _UNIT_BITS
+            begin = np.where(not1, first, end2 * not2)
+            begin *= unit
+            code -= begin
+            end1 -= end2
+            span = np.where(not1, found, np.where(not2, end1, end2))
+            span *= unit
+            more = ((span < _ONE).view(np.int8) + (span < _TWO).view(np.int8)).astype(np.int64)
+            fill = pairs.take(at, mode="clip")
+            at += more
+            more <<= 4
+            fill >>= 32 - more
+            code <<= more
+            code |= fill
+            span <<= more
+            sure = now + (_SURE << 16)
+            for table_of, slot, entry, guess in ((table1, slot1, entry1, guess1), (table2, slot2, entry2, guess2)):
+                entry += 65536
+                np.minimum(entry, sure, out=entry)
+                table_of[slot] = np.where(now == guess, entry, now)
+            ids[step] = now
+            np.add(not2.view(np.int8), not1.view(np.int8), out=kinds[step - start])
+            kinds[step - start] += new.view(np.int8)
+            before, last = last, now
+        shares.add(states.astype(np.int64), kinds)
+    return ids.T
 
 
 def pack_ids(ids: np.ndarray) -> dict[str, np.ndarray]:
@@ -227,12 +314,10 @@ def pack_ids(ids: np.ndarray) -> dict[str, np.ndarray]:
         raise ValueError("ids beyond 16 bits")
     ids = ids.astype(np.uint16)
     sums = [zlib.crc32(ids[i : i + BLOCK].tobytes()) for i in range(0, len(ids), BLOCK)]
-    whole = len(ids) // BLOCK
-    parts = [encode(ids[: whole * BLOCK].reshape(whole, BLOCK))] if whole else []
-    if len(ids) % BLOCK:
-        parts.append(encode(ids[whole * BLOCK :].reshape(1, -1)))
-    words = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint16)
-    counts = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint32)
+    size = min(BLOCK, max(len(ids), 1))
+    # A last block beside whole ones is filled up, so that all are coded in one go.
+    rows = np.append(ids, np.zeros(-len(ids) % size, np.uint16)).reshape(-1, size)
+    words, counts = encode(rows) if len(rows) else (np.zeros(0, np.uint16), np.zeros(0, np.uint32))
     return {"words": words, "block_words": counts, "block_crc": np.array(sums, dtype=np.uint32),
             "n_ids": np.array([len(ids)], dtype=np.int64)}
 
@@ -240,29 +325,32 @@ def pack_ids(ids: np.ndarray) -> dict[str, np.ndarray]:
 def unpack_ids(arrays) -> np.ndarray:
     """All ids of a file, every block checked."""
     words, counts, size = arrays["words"], arrays["block_words"], int(arrays["n_ids"][0])
-    whole = size // BLOCK
-    split = int(counts[:whole].astype(np.int64).sum())
-    parts = [decode(words[:split], counts[:whole], BLOCK).ravel()] if whole else []
-    if size % BLOCK:
-        parts.append(decode(words[split:], counts[whole:], size % BLOCK).ravel())
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.uint16)
+    ids = decode(words, counts, min(BLOCK, size)).ravel()[:size] if size else np.zeros(0, np.uint16)
     for i, wanted in enumerate(arrays["block_crc"].tolist()):
         if zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].tobytes()) != wanted:
             raise ValueError(f"block {i} is damaged")
     return ids
 
 
-CHUNK_LIMIT = 500_000
+CHUNK_LIMIT = 1_000_000
+# Chunks encoded in one text, and texts in one call.
+_JOINED, _TEXTS = 128, 32
 
 
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, equal chunks encoded once.
 
-    The tokenizer must drop white space and never join text across it; chunks between spaces then
-    encode alone as they do in the text.
+    The tokenizer must drop white space and never join text across it; chunks between spaces and line ends then
+    encode alone as they do in the text. New chunks go to the library many in one text, with a special token between
+    them, at which it cuts a text before anything else; a chunk that might hold one is encoded alone.
+    With ``parted``, the tokenizer must also cut between a letter and a punctuation mark: of a new word with
+    marks behind it, word and marks are then looked up apart.
     """
 
-    def __init__(self, path: str):
+    # Letters that neither normal forms nor lower-casing turn into anything else, then marks that start no ending.
+    _WORD_AND_MARKS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@[-`{-~]+)")
+
+    def __init__(self, path: str, parted: bool = True):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -270,20 +358,44 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.parted = parted
+        marks = [(i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()
+                 if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        self.mark_id, self.mark = (marks[-1][0], marks[-1][1].content) if marks else (-1, "")
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Add new chunks to the known ones."""
+        pairs = {c: found.groups() for c in chunks if (found := self._WORD_AND_MARKS.fullmatch(c))} if self.parted else {}
+        self._ask(list({*(c for c in chunks if c not in pairs), *(p for pair in pairs.values() for p in pair)}.difference(self.known)))
+        for chunk, (word, marks) in pairs.items():
+            self.known[chunk] = self.known[word] + self.known[marks]
+
+    def _ask(self, chunks: list[str]) -> None:
+        joined = [c for c in chunks if self.mark[0] not in c] if self.mark else []
+        alone = [c for c in chunks if self.mark[0] in c] if self.mark else chunks
+        for start in range(0, len(joined), _JOINED * _TEXTS):
+            parts = [joined[i : i + _JOINED] for i in range(start, min(start + _JOINED * _TEXTS, len(joined)), _JOINED)]
+            for part, found in zip(parts, self.tokenizer.encode_batch_fast([self.mark.join(p) for p in parts], add_special_tokens=False)):
+                ids = np.array(found.ids, dtype="<u2")
+                raw, cuts = ids.tobytes(), (np.flatnonzero(ids == self.mark_id) * 2).tolist()
+                for chunk, begin, end in zip(part, [0, *(c + 2 for c in cuts)], [*cuts, len(raw)], strict=True):
+                    self.known[chunk] = raw[begin:end]
+        for start in range(0, len(alone), 4096):
+            part = alone[start : start + 4096]
+            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.known[chunk] = np.array(found.ids, dtype="<u2").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        lists = [(text or "").split(" ") for text in texts]
-        known = self.known
-        missing = list(set().union(*lists).difference(known)) if lists else []
-        if len(known) + len(missing) > CHUNK_LIMIT:
-            known.clear()
-            missing = list(set().union(*lists))
-        for start in range(0, len(missing), 4096):
-            part = missing[start : start + 4096]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[chunk] = np.array(found.ids, dtype="<u2").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in lists]
+        lists = [(text or "").replace("\n", " ").split(" ") for text in texts]
+        if len(self.known) > CHUNK_LIMIT:
+            self.known.clear()
+        found = [list(map(self.known.get, chunks)) for chunks in lists]
+        open_places = [[i for i, ids in enumerate(one) if ids is None] if None in one else [] for one in found]
+        self._learn(list({chunks[i] for chunks, places in zip(lists, open_places) for i in places}))
+        for one, chunks, places in zip(found, lists, open_places):
+            for i in places:
+                one[i] = self.known[chunks[i]]
+        return [b"".join(one) for one in found]
 
 
 @lru_cache(maxsize=2)
