@@ -19,6 +19,7 @@ follow by a hash of the text; an empty table has no files and gives an empty tab
 error; other columns are not read.
 """
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ from .common import id_and_text
 from .store import Mapped, write_arrays
 
 BLOCK = 2048
-SIDE_BY_SIDE = 1024
+SIDE_BY_SIDE = 2048
 SEGMENT = BLOCK * SIDE_BY_SIDE
 # Positions of a block at which counts and shares are renewed.
 REFRESH = (0, 32, 64, 128, 256, 512, 768, 1024, 1280, 1536, 1792)
@@ -43,7 +45,7 @@ MOST_IDS = 1 << 16
 _SHARES, _UNIT_BITS, _TOTAL_BITS = 1 << 12, 16, 28
 _WINDOW_BITS = 48
 _WINDOW, _ONE, _TWO = (1 << _WINDOW_BITS) - 1, 1 << 32, 1 << 16
-_BITS1, _BITS2, _BLOCK_BITS = 11, 12, 11
+_BITS1, _BITS2, _BLOCK_BITS = 10, 11, 11
 _SURE = 3
 _KINDS, _STATES = 4, 32
 _OBSERVED = 24
@@ -237,7 +239,7 @@ def decode(words: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     row0 = np.arange(n, dtype=np.int64)
     row = row0.astype(np.int32)
     # Contexts and entries are of 32 bits; only the low bits of the hashes count, so they may overflow.
-    row1, row2, row_state = row << _BITS1, row << _BITS2, row * _STATES
+    row1, row2, row_state = row0 << _BITS1, row0 << _BITS2, row * _STATES
     table1, table2 = np.zeros(n << _BITS1, dtype=np.int32), np.zeros(n << _BITS2, dtype=np.int32)
     last = before = np.zeros(n, dtype=np.int32)
     ids = np.empty((size, n), dtype=np.uint16)
@@ -249,8 +251,7 @@ def decode(words: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
         states, kinds = np.empty((end - start, n), dtype=np.int32), np.empty((end - start, n), dtype=np.int8)
         for step in range(start, end):
             slot1, slot2 = _slots(last, before)
-            slot1 += row1
-            slot2 += row2
+            slot1, slot2 = slot1 + row1, slot2 + row2
             entry1, entry2 = table1.take(slot1), table2.take(slot2)
             guess1, guess2 = entry1 & 0xFFFF, entry2 & 0xFFFF
             state = states[step - start]
@@ -332,25 +333,35 @@ def unpack_ids(arrays) -> np.ndarray:
     return ids
 
 
-CHUNK_LIMIT = 1_000_000
+CHUNK_LIMIT = 1_500_000
 # Chunks encoded in one text, and texts in one call.
 _JOINED, _TEXTS = 128, 32
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character by which byte-level vocabularies write each byte: itself where it is printable, else the next from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, equal chunks encoded once.
 
     The tokenizer must drop white space and never join text across it; chunks between spaces and line ends then
     encode alone as they do in the text. New chunks go to the library many in one text, with a special token between
     them, at which it cuts a text before anything else; a chunk that might hold one is encoded alone.
-    With ``parted``, the tokenizer must also cut between a letter and a punctuation mark: of a new word with
-    marks behind it, word and marks are then looked up apart.
+    Where the tokenizer file says that it lower-cases, cuts between letters and marks and works on bytes, a new
+    word of plain letters goes to the library's merge model at once, and marks behind it are looked up apart.
     """
 
     # Letters that neither normal forms nor lower-casing turn into anything else, then marks that start no ending.
-    _WORD_AND_MARKS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@[-`{-~]+)")
+    _WORD_AND_MARKS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@[-`{-~]*)")
+    # The steps of such a tokenizer, and the end of the pattern it cuts by.
+    _STEPS = ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
+    _CUTS = "|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
-    def __init__(self, path: str, parted: bool = True):
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -358,17 +369,33 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.parted = parted
+        self.model, self.letters = self.tokenizer.model, _byte_characters()
+        self.plain = self._is_plain(json.loads(self.tokenizer.to_str()))
         marks = [(i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()
                  if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
         self.mark_id, self.mark = (marks[-1][0], marks[-1][1].content) if marks else (-1, "")
 
+    def _is_plain(self, file: dict) -> bool:
+        before = (file.get("normalizer") or {}).get("normalizers", [])
+        cuts = (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        return [step["type"] for step in before + cuts] == self._STEPS and cuts[0]["pattern"].get("Regex", "").endswith(self._CUTS)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word of plain lower-case letters."""
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([token.id.to_bytes(2, "little") for token in self.model.tokenize(spelled)])
+
     def _learn(self, chunks: list[str]) -> None:
         """Add new chunks to the known ones."""
-        pairs = {c: found.groups() for c in chunks if (found := self._WORD_AND_MARKS.fullmatch(c))} if self.parted else {}
-        self._ask(list({*(c for c in chunks if c not in pairs), *(p for pair in pairs.values() for p in pair)}.difference(self.known)))
-        for chunk, (word, marks) in pairs.items():
-            self.known[chunk] = self.known[word] + self.known[marks]
+        known = self.known
+        parts = {c: found.groups() for c in chunks if (found := self._WORD_AND_MARKS.fullmatch(c))} if self.plain else {}
+        self._ask(list({*(c for c in chunks if c not in parts), *(marks for _, marks in parts.values())}.difference(known)))
+        for chunk, (word, marks) in parts.items():
+            word = word.lower()
+            ids = known.get(word)
+            if ids is None:
+                ids = known[word] = self._word(word)
+            known[chunk] = ids + known[marks]
 
     def _ask(self, chunks: list[str]) -> None:
         joined = [c for c in chunks if self.mark[0] not in c] if self.mark else []
@@ -385,17 +412,26 @@ class WordEncoder:
             for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.known[chunk] = np.array(found.ids, dtype="<u2").tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        lists = [(text or "").replace("\n", " ").split(" ") for text in texts]
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text. Arrow cuts the texts and finds the different chunks; only these are looked up one by one."""
+        if not len(texts):
+            return []
+        words = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
         if len(self.known) > CHUNK_LIMIT:
             self.known.clear()
-        found = [list(map(self.known.get, chunks)) for chunks in lists]
-        open_places = [[i for i, ids in enumerate(one) if ids is None] if None in one else [] for one in found]
-        self._learn(list({chunks[i] for chunks, places in zip(lists, open_places) for i in places}))
-        for one, chunks, places in zip(found, lists, open_places):
-            for i in places:
-                one[i] = self.known[chunks[i]]
-        return [b"".join(one) for one in found]
+        found = list(map(self.known.get, chunks))
+        places = [i for i, ids in enumerate(found) if ids is None]
+        self._learn([chunks[i] for i in places])
+        for i in places:
+            found[i] = self.known[chunks[i]]
+        all_ids = pa.array(found, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(all_ids.buffers()[1], dtype=np.int64, count=len(all_ids) + 1)
+        bounds = ends[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        data = all_ids.buffers()[2]
+        data = memoryview(data) if data is not None else memoryview(b"")
+        return [bytes(data[i:j]) for i, j in zip(bounds, bounds[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -403,6 +439,20 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+# Bytes of text handled at once; a longer text goes alone.
+_SLICE_BYTES = 1 << 23
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + _SLICE_BYTES, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 FILES = "part bigint, segment bigint, n_ids bigint, n_bytes bigint"
 
 
@@ -434,9 +484,8 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 1, parts: int | Non
             return pa.RecordBatch.from_pylist([{"part": part, "segment": segment, "n_ids": int(arrays["n_ids"][0]), "n_bytes": n_bytes}])
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                some = batch.slice(start, 256)
-                for doc_id, found in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist())):
+            for some in _slices(batch):
+                for doc_id, found in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text"))):
                     found += end
                     first = True
                     # A document goes on in the next file where this one is full; its row there has no start.
