@@ -418,7 +418,7 @@ class WordEncoder:
             return []
         words = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         coded = words.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > CHUNK_LIMIT:
             self.known.clear()
         found = list(map(self.known.get, chunks))
