@@ -74,7 +74,7 @@ def rows_with_verdict(
     The few groups above ``hot_group_rows`` are broadcast and their rows never shuffled; the rest
     is a plain join in which no key has more rows than that.
     """
-    verdict = groups.select("invoice_group", "n_rows", "accepted", "reason")
+    verdict = groups.select("invoice_group", "n_rows", "accepted", "reason", "min_cents", "max_cents")
     hot = F.broadcast(verdict.filter(F.col("n_rows") > hot_group_rows))
     cold = verdict.filter(F.col("n_rows") <= hot_group_rows)
     hot_rows = rows.join(hot, "invoice_group")

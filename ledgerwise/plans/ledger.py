@@ -4,8 +4,10 @@ from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .. import policies as P
+from ..functions.text import strip
 from ..operators import accounts as A
 from ..operators import dedup as D
 from ..operators import quality as Q
@@ -43,7 +45,8 @@ class Ledger:
 
     @cached_property
     def raw(self) -> DataFrame:
-        return self.save("raw_records", self._raw)
+        # The id as grouped stands beside the record as written.
+        return self.save("raw_records", self._raw.withColumn("record_id", F.coalesce(strip(F.col("invoice_id")), F.lit(""))))
 
     @cached_property
     def rows(self) -> DataFrame:
@@ -69,7 +72,7 @@ class Ledger:
 
     @cached_property
     def sources(self) -> DataFrame:
-        return D.invoice_sources(self.verdicts)
+        return self.save("invoice_sources", D.invoice_sources(self.verdicts))
 
     @cached_property
     def quarantine(self) -> DataFrame:
@@ -77,7 +80,7 @@ class Ledger:
 
     @cached_property
     def quarantine_rows(self) -> DataFrame:
-        return D.quarantine_rows(self.verdicts)
+        return self.save("quarantine_rows", D.quarantine_rows(self.verdicts))
 
     @cached_property
     def snapshots(self) -> DataFrame:

@@ -258,19 +258,20 @@ issues AS (
     CASE WHEN resolved IS NULL THEN CASE WHEN two THEN 'date_unresolved' ELSE 'date_invalid' END ELSE 'date_inferred' END AS code,
     CASE WHEN resolved IS NOT NULL THEN CASE WHEN first IS NULL THEN 'paired signup/invoice chronology'
          ELSE 'column/separator evidence: ' || orders END END AS evidence,
-    CASE WHEN two THEN CAST(least(dmy, mdy) AS VARCHAR) || ',' || CAST(greatest(dmy, mdy) AS VARCHAR) END AS candidates
+    CASE WHEN two THEN CAST(least(dmy, mdy) AS VARCHAR) || ',' || CAST(greatest(dmy, mdy) AS VARCHAR) END AS candidates,
+    raw, CAST(NULL AS BIGINT) AS difference_usd_cents
   FROM phase2 p WHERE resolved IS NULL OR two
-  UNION ALL SELECT source_row, 'invoice_date', 'date_chronology_conflict', NULL, NULL FROM dates WHERE signup_date > invoice_date
-  UNION ALL SELECT source_row, 'csat_score', 'optional_invalid', NULL, NULL FROM typed WHERE trim(raw_csat) <> '' AND csat_score IS NULL
-  UNION ALL SELECT source_row, 'support_tickets', 'optional_invalid', NULL, NULL FROM typed WHERE trim(raw_tickets) <> '' AND support_tickets IS NULL
-  UNION ALL SELECT source_row, 'contact_email', 'email_invalid', NULL, NULL FROM typed WHERE trim(raw_email) <> '' AND contact_email IS NULL
-  UNION ALL SELECT source_row, 'payment_method', 'optional_invalid', NULL, NULL FROM typed WHERE trim(raw_payment) <> '' AND payment_method IS NULL
-  UNION ALL SELECT source_row, 'amount', 'price_fx_mismatch', NULL, NULL FROM rows_all WHERE abs(difference) > 2
+  UNION ALL SELECT source_row, 'invoice_date', 'date_chronology_conflict', NULL, NULL, NULL, NULL FROM dates WHERE signup_date > invoice_date
+  UNION ALL SELECT source_row, 'csat_score', 'optional_invalid', NULL, NULL, NULL, NULL FROM typed WHERE trim(raw_csat) <> '' AND csat_score IS NULL
+  UNION ALL SELECT source_row, 'support_tickets', 'optional_invalid', NULL, NULL, NULL, NULL FROM typed WHERE trim(raw_tickets) <> '' AND support_tickets IS NULL
+  UNION ALL SELECT source_row, 'contact_email', 'email_invalid', NULL, NULL, NULL, NULL FROM typed WHERE trim(raw_email) <> '' AND contact_email IS NULL
+  UNION ALL SELECT source_row, 'payment_method', 'optional_invalid', NULL, NULL, NULL, NULL FROM typed WHERE trim(raw_payment) <> '' AND payment_method IS NULL
+  UNION ALL SELECT source_row, 'amount', 'price_fx_mismatch', NULL, NULL, NULL, CAST(difference AS BIGINT) FROM rows_all WHERE abs(difference) > 2
 ),
 all_issues AS (
-  SELECT i.source_row, t.raw_id AS invoice_id, i.code, i.field, i.evidence, i.candidates
+  SELECT i.source_row, t.raw_id AS invoice_id, i.code, i.field, i.evidence, i.candidates, i.raw, i.difference_usd_cents
   FROM issues i JOIN typed t ON t.source_row = i.source_row
-  UNION ALL SELECT source_row, NULL, 'account_snapshot_uncertain', NULL, NULL, NULL FROM acc WHERE snapshot_uncertain = 1
+  UNION ALL SELECT source_row, NULL, 'account_snapshot_uncertain', NULL, NULL, NULL, NULL, NULL FROM acc WHERE snapshot_uncertain = 1
 )"""
 
 # A number of hundredths as shortest decimal text.
@@ -387,6 +388,8 @@ _PUBLISHED_COUNTS = " UNION ALL ".join(
     for name, value, source in [
         ("raw_records", "source_row", "raw_ledger"), ("normalized", "amount_usd_cents", "typed"), ("groups", "n_rows", "grps"),
         ("invoices", "amount_usd_cents", "inv"), ("record_verdicts", "source_row", "judged"),
+        ("invoice_sources", "source_row", "(SELECT source_row FROM judged WHERE accepted)"),
+        ("quarantine_rows", "source_row", "(SELECT source_row FROM judged WHERE NOT accepted)"),
         ("quarantine", "max_cents", "(SELECT max_cents FROM grps WHERE NOT accepted)"), ("account_marks", "mrr_usd_cents", "acc"),
         ("accounts", "net_revenue_usd_cents", "acc"), ("quality_issues", "source_row", "all_issues"),
         ("report", "accepted_subtotal_cents", "coverage"),
@@ -407,6 +410,24 @@ _REGRESSION = f"""SELECT "case", 1 AS passed, answer FROM (
             row_number() OVER (ORDER BY net_revenue_usd_cents DESC, account_id) AS place FROM acc) WHERE place <= 5
 )"""
 
+# Raw columns in the order of the ledger header.
+_RAW = ("invoice_id account_id account_name contact_email region industry plan billing_cycle seats currency amount "
+        "discount_pct status payment_method signup_date invoice_date churned csat_score support_tickets").split()
+_AUDIT_COLUMNS = "invoice_id, source_row, reason, min_cents, max_cents, kind, detail"
+_AUDIT = f"""
+findings AS (
+  SELECT source_row, 'record' AS kind, CAST(to_json({{{", ".join(f"'{c}': {c}" for c in _RAW)}}}) AS VARCHAR) AS detail FROM raw_ledger
+  UNION ALL SELECT source_row, 'error', error FROM errors
+  UNION ALL SELECT source_row, 'issue', CAST(to_json({{'code': code, 'field': field, 'raw': raw,
+    'candidates': string_split(candidates, ','), 'evidence': evidence, 'difference_usd_cents': difference_usd_cents}}) AS VARCHAR)
+  FROM issues
+),
+audit AS (
+  SELECT j.grp AS invoice_id, j.source_row, CASE WHEN NOT j.accepted THEN reason END AS reason, j.accepted,
+    CAST(min_cents AS BIGINT) AS min_cents, CAST(max_cents AS BIGINT) AS max_cents, kind, detail
+  FROM judged j JOIN grps g ON g.grp = j.grp JOIN findings f ON f.source_row = j.source_row
+)"""
+
 _PROMPTS = """
 prompts AS (
   SELECT conv_id, turn, CASE
@@ -462,7 +483,7 @@ ORACLE: dict[str, str] = {
     "price_mismatch": _with(*_ROWS)
     + "SELECT source_row, CAST(difference AS BIGINT) AS difference_usd_cents FROM rows_all WHERE abs(difference) > 2",
     "issue_log": _with(*_ACC, ISSUES)
-    + "SELECT source_row, invoice_id, code, field, evidence, candidates FROM all_issues",
+    + "SELECT source_row, invoice_id, code, field, raw, evidence, candidates, difference_usd_cents FROM all_issues",
     "warning_counts": _with(*_ACC, ISSUES) + "SELECT code, count(*) AS n FROM all_issues GROUP BY code",
     "accepted_invoices": _with(*_INV) + f"SELECT {_INVOICE_COLUMNS}, contact_email FROM inv",
     "invoice_sources": _with(*_INV) + "SELECT invoice_id, source_row FROM judged WHERE accepted",
@@ -509,10 +530,10 @@ ORACLE: dict[str, str] = {
     "period_revenue_by_region": _with(*_ACC)
     + "SELECT a.region, strftime(i.invoice_date, '%Y-%m') AS month, CAST(sum(i.contribution) AS BIGINT) AS net_cents "
     "FROM inv i JOIN acc a ON a.account_id = i.account_id GROUP BY ALL",
-    "invoice_audit": _with(*_ACC, ISSUES)
-    + "SELECT grp AS invoice_id, source_row, reason, 'record' AS kind, NULL AS detail FROM judged WHERE NOT accepted "
-    "UNION ALL SELECT grp, j.source_row, reason, 'error', error FROM judged j JOIN errors e ON e.source_row = j.source_row WHERE NOT accepted "
-    "UNION ALL SELECT grp, j.source_row, reason, 'issue', code FROM judged j JOIN issues i ON i.source_row = j.source_row WHERE NOT accepted",
+    "invoice_audit": _with(*_ACC, ISSUES, _AUDIT) + f"SELECT {_AUDIT_COLUMNS} FROM audit WHERE NOT accepted",
+    "invoice_audit_ids": _with(*_ACC, ISSUES, _AUDIT)
+    + f"SELECT {_AUDIT_COLUMNS} FROM audit WHERE invoice_id IN (SELECT i.invoice_id FROM inv i JOIN ("
+    "SELECT account_id FROM acc ORDER BY net_revenue_usd_cents DESC, account_id LIMIT 5) t ON t.account_id = i.account_id)",
     "constraint_violations": _with(*_ACC, _SOURCES) + _VIOLATIONS,
     "violations_without_dedup": _with(*_ROWS)
     + _rules("typed") + " UNION ALL " + _repeated("invoices.invoice_id unique", "typed", "invoice_id"),

@@ -11,8 +11,8 @@ from ..sources.ledger_csv import read_ledger, source_files, source_sha256
 from .ledger import Ledger
 
 PUBLISHED = [
-    "raw_records", "normalized", "groups", "invoices", "record_verdicts", "quarantine",
-    "account_marks", "accounts", "quality_issues", "report",
+    "raw_records", "normalized", "groups", "invoices", "record_verdicts", "invoice_sources", "quarantine",
+    "quarantine_rows", "account_marks", "accounts", "quality_issues", "report",
 ]
 
 

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import policies as P
-from ..functions.text import decimal_text, strip
+from ..functions.text import decimal_text
 from ..operators import accounts as A
 from ..operators import audit, dedup, history, quality, screening, serving
 from ..operators.answers import same_rows
 from ..operators.date_resolution import evidence_table
 from ..operators.normalize import row_errors, row_issues
-from ..session import new_folder, prepare
+from ..session import new_folder, prepare, stage
 from ..sources import ledger_csv
 from ..sources.tables import derived_ledger, derived_prompts, table
 from . import metrics as M
@@ -40,8 +40,9 @@ def _texts(df: DataFrame) -> DataFrame:
 
 
 def raw_records(spark, folder):
-    raw = derived_ledger(prepare(spark), folder)
-    return raw.withColumn("invoice_id", strip(F.col("invoice_id")))
+    """The raw table, written and read back."""
+    ledger = Ledger(derived_ledger(prepare(spark), folder), save=lambda label, df: stage(df, label))
+    return ledger.raw.withColumn("invoice_id", F.col("record_id")).drop("record_id")
 
 
 def money_cents(spark, folder):
@@ -84,7 +85,7 @@ def price_mismatch(spark, folder):
 def issue_log(spark, folder):
     shown = F.array_join(F.transform("candidates", lambda d: d.cast("string")), ",")
     return _staged(spark, folder).issues.select(
-        "source_row", "invoice_id", "code", "field", "evidence", shown.alias("candidates")
+        "source_row", "invoice_id", "code", "field", "raw", "evidence", shown.alias("candidates"), "difference_usd_cents"
     )
 
 
@@ -198,7 +199,14 @@ def period_revenue_by_region(spark, folder):
 
 def invoice_audit(spark, folder):
     ledger = _staged(spark, folder)
-    return audit.invoice_audit(ledger.rows, ledger.groups)
+    return audit.invoice_audit(ledger.rows, ledger.groups, ledger.raw)
+
+
+def invoice_audit_ids(spark, folder):
+    """The accepted invoices of the top accounts, back to their records."""
+    ledger = _staged(spark, folder)
+    wanted = ledger.invoices.join(M.top_accounts(ledger.snapshots), "account_id", "left_semi")
+    return audit.invoice_audit(ledger.rows, ledger.groups, ledger.raw, wanted)
 
 
 def constraint_violations(spark, folder):
@@ -342,7 +350,8 @@ def published_tables(spark, folder):
     tables = read_published(spark, _published(spark, folder))
     summed = {
         "raw_records": "source_row", "normalized": "amount_usd_cents", "groups": "n_rows", "invoices": "amount_usd_cents",
-        "record_verdicts": "source_row", "quarantine": "alternative_net_revenue_max_cents",
+        "record_verdicts": "source_row", "invoice_sources": "source_row",
+        "quarantine": "alternative_net_revenue_max_cents", "quarantine_rows": "source_row",
         "account_marks": "mrr_usd_cents", "accounts": "net_revenue_usd_cents", "quality_issues": "source_row",
         "report": "accepted_subtotal_cents",
     }
@@ -400,6 +409,7 @@ QUERIES: dict[str, Query] = {
     "account_ranking": account_ranking,
     "period_revenue_by_region": period_revenue_by_region,
     "invoice_audit": invoice_audit,
+    "invoice_audit_ids": invoice_audit_ids,
     "constraint_violations": constraint_violations,
     "violations_without_dedup": violations_without_dedup,
     "curated_invoices": curated_invoices,

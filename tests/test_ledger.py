@@ -1,5 +1,7 @@
 """End-to-end results over the golden ledger, whose records and answers are fixed values."""
 
+import json
+
 import pytest
 from conftest import golden_records, record
 from pyspark.sql import functions as F
@@ -103,12 +105,23 @@ def test_no_violations_after_dedup(ledger):
 
 def test_audit(ledger, spark):
     wanted = spark.createDataFrame([("I9",), ("I3",)], "invoice_id string")
-    got = rows(audit.invoice_audit(ledger.rows, ledger.groups, wanted), "source_row", "kind")
+    found = audit.invoice_audit(ledger.rows, ledger.groups, ledger.raw, wanted)
+    got = rows(found.drop("detail", "min_cents", "max_cents"), "source_row", "kind")
     assert got == [
-        ("I3", 5, None, "issue", "price_fx_mismatch"), ("I3", 5, None, "record", None),
-        ("I9", 11, "conflicting_variants", "record", None), ("I9", 12, "conflicting_variants", "record", None),
+        ("I3", 5, None, "issue"), ("I3", 5, None, "record"),
+        ("I9", 11, "conflicting_variants", "record"), ("I9", 12, "conflicting_variants", "record"),
     ]
-    assert [r[1] for r in rows(audit.invoice_audit(ledger.rows, ledger.groups), "source_row")] == [11, 12]
+    raw = {r["source_row"]: r.asDict() for r in ledger.raw.drop("record_id").collect()}
+    bounds = {g["invoice_group"]: (g["min_cents"], g["max_cents"]) for g in ledger.groups.collect()}
+    for r in found.collect():
+        assert (r["min_cents"], r["max_cents"]) == bounds[r["invoice_id"]]
+        detail = json.loads(r["detail"])
+        if r["kind"] == "record":
+            assert {"source_row": r["source_row"], **detail} == raw[r["source_row"]]
+        else:
+            assert detail["code"] == "price_fx_mismatch" and detail["field"] == "amount" and detail["difference_usd_cents"]
+    every = audit.invoice_audit(ledger.rows, ledger.groups, ledger.raw)
+    assert [r[1] for r in rows(every, "source_row")] == [11, 12]
 
 
 def test_changed_identity_is_marked(make_raw):
