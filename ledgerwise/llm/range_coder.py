@@ -1,7 +1,8 @@
 """Token-id files compressed by an adaptive range coder that mixes contexts of order 0, 1 and 2.
 
 A file is a run of blocks of ``BLOCK`` ids. Every block starts from an empty model and has the crc32 of
-its ids, so a block can be read alone and damage is found. Blocks of one file are coded side by
+its ids, so a block can be read alone and damage is found; a last block beside whole ones is filled up with
+zeros. Blocks of one file are coded side by
 side in arrays, one id of each block per step; that is only how the work is done, the blocks stay independent.
 
 Model of one block: the id that followed the last two ids when they were last seen (order 2), the

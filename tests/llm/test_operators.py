@@ -114,6 +114,26 @@ def test_range_coder(docs, empty):
     assert range_coder.read_ids(*range_coder.write_ids(empty, WORDS, parts=2)).count() == 0
 
 
+def test_words_looked_up_apart_encode_as_in_whole_texts(monkeypatch):
+    """Ids against the library on texts where a cut between words and marks could go wrong."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(range_coder, "CHUNK_LIMIT", 20)
+    encoder = range_coder.WordEncoder(WORDS)
+    assert encoder.plain
+    texts = [
+        "it's <|endoftext|> x<|startoftext|>y <|endof", "a's b'T c'll?? d,' 'e", "x!'s 's! a!b !!'re ''ll a_b_ a` ~^", "", "  ",
+        "\u0130stanbul! \u01c5? e\u0301! \u00e9! na\u00efve-- \ufb01.. \u03a3\u03b1\u03c2. \u00df$ x\u00f7y \u00d7! \u00aa.",
+        "\n\n a\n\tb c!\x1cd", "word<|endoftext|> <!", "\u65e5\u672c! 9! \u00bd, a9!", "\u00c0\u00c9\u00df \u00d1and\u00fa! \u00ff? Word word WORD!",
+    ]
+    wanted = [np.array(e.ids, dtype="<u2").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(pa.array([None, "x", *texts])) == [b"", encoder.known["x"], *wanted]
+    assert encoder.encode(pa.array(["x", *texts]).slice(1)) == wanted
+    encoder.plain = False
+    encoder.known.clear()
+    assert encoder.encode(pa.array(texts)) == wanted and encoder.encode(pa.array([], pa.string())) == []
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 2048, 5000])
 def test_coded_blocks(n):
     rng = np.random.default_rng(n)
