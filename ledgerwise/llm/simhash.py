@@ -21,8 +21,7 @@ components.
 
 Edge cases: a null or blank text has fingerprint zero and links like any other; texts of one or two words are one
 shingle; repeated rows are copies; rows with a null id take part and get the component's smallest id,
-null if it has none; an empty table gives an empty table. Other columns are not read by ``near_duplicates``
-and are kept by ``representatives``.
+null if it has none; an empty table gives an empty table. Other columns are not read by ``near_duplicates``.
 """
 
 from collections.abc import Iterator
@@ -307,16 +306,8 @@ def near_duplicates(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
-    """One document of each component, that with the smallest id; columns as they were.
+def representatives(docs: DataFrame) -> DataFrame:
+    """One document of each group of near copies; for stages, whose rule is that of ``near_copies``, not the query's bits."""
+    from . import near_copies
 
-    Of repeated rows of that id one stays; of a component without any id, one row stays."""
-    name, group = "_simhash_fp", "_simhash_group"
-    rows = written(with_fingerprints(docs.withColumn("text", F.col("text").cast("string")), name), "simhash")
-    found = groups(rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(name).alias("fp")), bits)
-    kept = found.filter("fp = kept_fp").select(F.col("fp").alias("_simhash_key"), F.col("component_id").alias(group))
-    own, least = F.col("doc_id").cast("bigint"), F.col(group)
-    # The ids are compared by a condition that is no join key: with the fingerprint as the only key both
-    # steps are dealt by it, and the texts move once.
-    same = (rows[name] == kept["_simhash_key"]) & ((own == least) | (own.isNull() & least.isNull()))
-    return rows.join(kept, same).dropDuplicates([name, "doc_id"]).select(*docs.columns)
+    return near_copies.representatives(docs)

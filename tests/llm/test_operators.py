@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerwise.llm import (
-    byte_bpe, chat_format, components, decontaminate, elias_fano, language_id, ngram_lm, prefix_counts, quality_rules,
+    byte_bpe, chat_format, components, decontaminate, elias_fano, language_id, near_copies, ngram_lm, prefix_counts, quality_rules,
     range_coder, secret_scan, simhash,
 )
 
@@ -333,6 +333,31 @@ def test_dense_group_of_fingerprints(spark):
     assert simhash.links(df.select("fp")).count() < 80 * len(values)
 
 
+def test_near_copies_kept_once(spark):
+    """Edited copies between 0.8 and 1, more than three bits apart, go; texts below 0.8 stay; chains are one component."""
+    rng = random.Random(8)
+    texts = [prose(7000 + i, rng.choice([20, 60, 300])) for i in range(25)]
+    for text in texts[:20]:
+        for edits in (1, 2, 5):
+            words = text.upper().split() if edits == 1 else text.split()
+            for _ in range(edits):
+                words[rng.randrange(len(words))] = f"edit{rng.random()}"
+            texts.append(" ".join(words))
+    texts += [None, " ", "one two", "One  two", "one two three"]
+    sets = [set(zip(*[(w := (t or "").lower().split())[i:] for i in range(5)])) or {tuple(w)} for t in texts]
+    close = [[a and b and len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]
+    roots = list(range(len(texts)))
+    while True:
+        following = [min(roots[j] for j in range(len(texts)) if close[i][j]) for i in range(len(texts))]
+        if following == roots:
+            break
+        roots = following
+    prints = [simhash.fingerprint(t) for t in texts]
+    assert sum((prints[i] ^ prints[j]).bit_count() > 3 for i in range(len(texts)) for j in range(i) if close[i][j]) > 10
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert sorted(r["doc_id"] for r in near_copies.representatives(df).collect()) == sorted(set(roots))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 100), (5, 5), (300, 301), (301, 302), (302, 300)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
