@@ -1,7 +1,7 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is any run of sixteen or more characters that keys, tokens and hashes are written in, or
-what is assigned to a name that speaks of a secret. The forest judges it by its length, the classes
+A candidate is what is assigned to a name that speaks of a secret, wherever in the name, or any other run of
+sixteen or more characters that keys, tokens and hashes are written in. The forest judges it by its length, the classes
 of its characters and the transitions between them, how far words of a dictionary cover it, whether
 it or the document's path looks like a path or a test, and the words around it.
 
@@ -38,9 +38,13 @@ TREES = 40
 THRESHOLD = 0.5
 MASK = "[SECRET]"
 NEAR = 60
-CANDIDATE = re.compile(
-    r"(?i:(?:password|passwd|pwd|secret|token|api_?key|access_?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)([^\s\"'<>]{8,})"
-    r"|([A-Za-z0-9+/_=~.\-]{16,})")
+_KEYWORD = r"(?:password|passwd|pwd|secret|token|api_?key|access_?key)"
+#: From the last keyword of a name to the value. A name goes on to the next keyword at most, so a long run is read once.
+_SIGN = rf"(?i:{_KEYWORD}(?:(?!{_KEYWORD})[a-z0-9_.\-])*+[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)"
+ASSIGNED = re.compile(_SIGN + r"([^\s\"'<>]{8,})")
+RUN = re.compile(r"[A-Za-z0-9+/_=~.\-]{16,}")
+_NAMED = re.compile(_SIGN + r"\Z")
+_NAME = frozenset(string.ascii_letters + string.digits + "_.-")
 #: Fixed words and formats that speak for or against a secret.
 SECRET_WORDS = {"token", "key", "apikey", "api", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential", "credentials",
                 "private", "access"}
@@ -107,7 +111,7 @@ def describe(candidate: str, before: str, after: str, path: str, words: Language
         -sum(c / n * log2(c / n) for c in counts.values()), sum(a != b for a, b in zip(kinds, kinds[1:])) / n,
         words.transition(lower), covered, longest, candidate.count("/"), candidate.count("."),
         float(re.search(r"\.[a-z]{2,4}$", candidate) is not None), float(_TEST_PATH.search(path) is not None),
-        float(any(w in SECRET_WORDS for w in near)), float(any(w in BENIGN_WORDS for w in near)),
+        float(any(w in SECRET_WORDS for w in near) or _NAMED.search(before) is not None), float(any(w in BENIGN_WORDS for w in near)),
         float(head[-1:] in ("=", ":")), float(before[-1:] in ("'", '"') and after[:1] in ("'", '"')),
         float(_HEX.match(candidate) is not None), float(KNOWN.match(candidate) is not None), len(counts) / n,
         float(PLACEHOLDERS.search(candidate) is not None), sum(c in "aeiou" for c in lower) / n,
@@ -115,8 +119,16 @@ def describe(candidate: str, before: str, after: str, path: str, words: Language
 
 
 def candidates(text: str | None) -> list[tuple[int, int]]:
-    """Spans of all candidates of a whole text, in characters."""
-    return [m.span(m.lastindex) for m in CANDIDATE.finditer(text)] if text else []
+    """Spans of all candidates of a whole text, in characters: assigned values, and runs outside of them and their names."""
+    spans, done = [], 0
+    for m in ASSIGNED.finditer(text or ""):
+        name = m.start()
+        while name > done and text[name - 1] in _NAME:
+            name -= 1
+        spans += [r.span() for r in RUN.finditer(text, done, name)]
+        spans.append(m.span(1))
+        done = m.end()
+    return spans + [r.span() for r in RUN.finditer(text or "", done)]
 
 
 def around(text: str, start: int, end: int) -> tuple[str, str, str]:
@@ -128,7 +140,7 @@ def sure_label(candidate: str, before: str, after: str, words: Language) -> int
     near = {w.lower() for w in _WORD.findall(before)[-2:]}
     form = dict(zip(FEATURES, describe(candidate, before, after, "", words)))
     random_like = form["digits"] > 0.1 and form["coverage"] < 0.6 and form["distinct"] * form["length"] >= 8
-    if near & SECRET_WORDS and form["assigned"] and random_like and not form["placeholder"]:
+    if (near & SECRET_WORDS or _NAMED.search(before)) and form["assigned"] and random_like and not form["placeholder"]:
         return 1
     if form["digits"] == 0 and form["switches"] < 0.2 or form["digits"] == 1 or form["extension"] or near & BENIGN_WORDS:
         return 0
@@ -146,12 +158,16 @@ def made_findings(n: int = MADE_FINDINGS, seed: int = 5) -> list[tuple[str, str,
     rows = []
     for i in range(n):
         before, after, path = prose() + " ", " " + prose(), rng.choice(["src0", "app/config.py", "settings.yaml", "notes.md", ""])
-        name = rng.choice(["token", "api_key", "secret", "password", "access_key", "auth_token", "TOKEN", "Secret key"])
+        name = rng.choice(["token", "api_key", "secret", "password", "access_key", "auth_token", "TOKEN", "Secret key",
+                           "SPRING_DATASOURCE_PASSWORD", "DATABASE_PASSWORD", "GITHUB_TOKEN", "dbPassword", "aws.secret.key", "API_KEY_" + word(3).upper(),
+                           word(4).upper() + "_" + rng.choice(["PASSWORD", "TOKEN", "SECRET"])])
         sign, quote = rng.choice([" = ", "=", ": ", ":"]), rng.choice(['"', "'", ""])
         if i % 2:
             value = rng.choice([
                 lambda: draw(hexes, rng.choice([32, 40, 64])), lambda: draw(hexes.upper(), 40), lambda: draw(letters, rng.randint(16, 48)),
                 lambda: "AKIA" + draw(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + draw(letters, 36),
+                lambda: draw(letters + "!#$%*?@", rng.randint(8, 15)) + rng.choice("0123456789") + rng.choice("!#$%*?@"),
+                lambda: word(3) + rng.choice("0123456789") + rng.choice("!#$%*?@") + draw(letters, rng.randint(1, 4)),
                 lambda: "sk_live_" + draw(letters, 24), lambda: draw(letters + "+/", rng.randint(24, 44)) + "="])()
             bare = KNOWN.match(value) and rng.random() < 0.5
             rows.append((value, before if bare else before + name + sign + quote, after if bare else quote + after, path, 1))
@@ -165,6 +181,7 @@ def made_findings(n: int = MADE_FINDINGS, seed: int = 5) -> list[tuple[str, str,
                 lambda: ("/".join(word(3) for _ in range(5)) + ".py", ""), lambda: (f"mail{i}.example.com", f"{i}@"),
                 lambda: ("-".join(word(2) for _ in range(6)), ""), lambda: ("your_api_key_here_xxxx", "api_key = "),
                 lambda: ("_".join(word(3) for _ in range(4)), ""), lambda: ("example-token-placeholder", 'token = "'),
+                lambda: (word(rng.randint(4, 7)), name + sign), lambda: (draw(string.digits, rng.randint(8, 12)), "max_tokens" + sign),
                 lambda: ("=" * rng.randint(16, 40), ""), lambda: ("-" * rng.randint(16, 40), "")])()
             rows.append((value, before + lead, after, path, 0))
     return rows

@@ -432,6 +432,22 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.findings(empty, RANKS).count() == 0 and secret_scan.redact(empty, RANKS).count() == 0
 
 
+def test_secrets_assigned_to_long_names(spark):
+    key = "ghp_" + "".join(random.Random(4).choices("abcdefghijkXYZ0123456789", k=36))
+    lines = {0: ('SPRING_DATASOURCE_PASSWORD: "', "hunter2!x"), 1: ("DATABASE_PASSWORD=", "hunter2!x"), 2: ("GITHUB_TOKEN=", key),
+             3: ("spring.datasource.dbPassword = '", "hunter2!x"), 4: ("etc/app/SERVICE_TOKEN_PROD=", "q7#Zk29!mA"), 5: ("AB_PASSWORD_TOKEN: ", key)}
+    for before, value in lines.values():
+        text = f"see {before}{value}\nthe end"
+        assert [text[a:b] for a, b in secret_scan.candidates(text)] == [value]
+    run = "x9" * 10
+    assert secret_scan.candidates(f"{run} A_TOKEN={key} {run}") == [(0, 20), (29, 69), (70, 90)]
+    assert len(secret_scan.candidates("token" * 40_000)) == 1
+    df = spark.createDataFrame([(i, f"{prose(i)} {b}{v}\n{prose(i + 50)}", "src") for i, (b, v) in lines.items()], "doc_id long, text string, source string")
+    for row in secret_scan.redact(df, RANKS).collect():
+        before, value = lines[row["doc_id"]]
+        assert value not in row["text"] and before + secret_scan.MASK in row["text"]
+
+
 def test_secret_forest_on_held_out_findings(spark):
     from ledgerwise.llm import forest
 
