@@ -72,7 +72,62 @@ joined AS (
   FROM said GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM joined"""
 
+
+def _clusters(rounds: int = 3) -> str:
+    """Assignment of every vector to every centroid, written out per round."""
+    def nearest(name: str, centroids: str) -> str:
+        distance = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT"
+        return f"""{name} AS (
+  SELECT rid, vec_id, v, cid, d FROM (SELECT rid, vec_id, v, cid, {distance} AS d FROM vectors CROSS JOIN {centroids})
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, cid) = 1)"""
+
+    steps = []
+    for r in range(rounds):
+        steps.append(nearest(f"a{r}", f"c{r}"))
+        steps.append(f"""s{r} AS (
+  SELECT cid, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS moved
+  FROM (SELECT cid, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, 65) r(i) GROUP BY cid, i) GROUP BY cid)""")
+        steps.append(f"c{r + 1} AS (SELECT cid, coalesce(moved, c) AS c FROM c{r} LEFT JOIN s{r} USING (cid))")
+    steps.append(nearest("a", f"c{rounds}"))
+    return f"""
+WITH vectors AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS cid, v AS c FROM (SELECT sha256('1:' || vec_id) AS h, v FROM vectors ORDER BY h, v LIMIT 16)),
+{", ".join(steps)}
+SELECT vec_id, cid::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY cid))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a JOIN c{rounds} USING (cid)"""
+
+
+FILL_IN_MIDDLE = r"""
+WITH lines AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS ls, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents),
+drawn AS (
+  SELECT *, len(ls) AS n, ('0x' || h[1:8])::UBIGINT % (len(ls) + 1) AS x, ('0x' || h[9:16])::UBIGINT % (len(ls) + 1) AS y,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::UBIGINT % 100 >= 100 THEN 'plain'
+         WHEN ('0x' || h[25:32])::UBIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM lines),
+parts AS (
+  SELECT *, array_to_string(ls[1:least(x, y)::BIGINT], '') AS p, array_to_string(ls[least(x, y)::BIGINT + 1:greatest(x, y)::BIGINT], '') AS m,
+    array_to_string(ls[greatest(x, y)::BIGINT + 1:], '') AS s
+  FROM drawn)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts"""
+
+COPIES = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW same AS (PARTITION BY t)"""
+
 ORACLE = {
     "op4_adaptive_quality": _quality(),
     "op6_prefix_target_chat": CHAT,
+    "op11_orchard_clusters": _clusters(),
+    "op12_exception_index_fim": FILL_IN_MIDDLE,
+    "op13_chunk_recipe_dedup": COPIES,
 }

@@ -4,7 +4,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, language_id, ngram_lm, prefix_counts, quality_rules, range_coder, secret_scan, simhash
+from . import (
+    byte_bpe, chat_format, chunk_recipes, decontaminate, fill_middle, language_id, ngram_lm, orchard, prefix_counts, quality_rules,
+    range_coder, secret_scan, simhash,
+)
 from .common import documents, written
 from .oracle import ORACLE  # noqa: F401
 
@@ -55,6 +58,18 @@ def op10_hierarchical_language_id(spark: SparkSession, folder: str) -> DataFrame
     return language_id.identify(documents(spark, folder))
 
 
+def op11_orchard_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return orchard.clusters(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def op12_exception_index_fim(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.fill_in_middle(documents(spark, folder)))
+
+
+def op13_chunk_recipe_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return chunk_recipes.exact_duplicates(documents(spark, folder))
+
+
 QUERIES = {
     "op1_elias_fano_lm": op1_elias_fano_lm,
     "op2_prefix_token_counts": op2_prefix_token_counts,
@@ -66,4 +81,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_array_decontamination": op9_suffix_array_decontamination,
     "op10_hierarchical_language_id": op10_hierarchical_language_id,
+    "op11_orchard_clusters": op11_orchard_clusters,
+    "op12_exception_index_fim": op12_exception_index_fim,
+    "op13_chunk_recipe_dedup": op13_chunk_recipe_dedup,
 }
