@@ -26,24 +26,33 @@ ALIASED = {
 MISSING_GROUP = "__missing_row_"
 
 
+LONG = ["seats", "csat_score", "support_tickets", "discount_pct", "amount"]
+
+
+def _part(name: str, part: str) -> Column:
+    """A part of a number beyond the short form; NULL for a short one."""
+    return F.get(F.col("_parts"), F.lit(LONG.index(name)))[part]
+
+
 @cache
 def financial_layers() -> list[dict[str, Column]]:
-    """Layers ending in currency, status, amount_usd_cents and financial_error.
+    """Layers ending in currency, status, amount_local, amount_usd_cents and financial_error.
 
-    The values are NULL together when the error is set. The wide local amount is read from
-    ``_digits`` where it is needed, which is cheaper than to carry it through the layers.
+    The values are NULL together when the error is set.
     """
     amount, code, body, digits = (F.col(f"_{n}") for n in ("amount", "code", "body", "digits"))
     currency, status, cents = (F.col(f"_{n}") for n in ("currency", "status", "cents"))
-    value = money.local_amount(digits)
+    short, long = F.col("_amount_short"), F.col("_amount_long")
     coded = amount.rlike(r"[A-Za-z]{3}\z")
     symbol = None
     for name, mark in P.CURRENCY_SYMBOL.items():
         hit = currency == name
         symbol = F.when(hit, F.lit(mark)) if symbol is None else symbol.when(hit, F.lit(mark))
     # The sign is read from the text: an amount below half a cent rounds to zero.
-    negative = F.startswith(digits, F.lit("-")) & digits.rlike("[1-9]")
+    minus = F.startswith(digits, F.lit("-"))
+    negative = minus & digits.rlike("[1-9]")
     sign_error = (status == "refunded") != negative
+    zero = F.when(minus, F.lit("-0")).otherwise(F.lit("0"))
     usable = F.col("financial_error").isNull()
     return [
         {
@@ -57,10 +66,14 @@ def financial_layers() -> list[dict[str, Column]]:
             "_body": F.when(coded, strip(F.substring(amount, F.lit(1), F.length(amount) - 3))).otherwise(amount),
         },
         {"_digits": F.when(F.startswith(body, symbol), strip(F.substring(body, 2, 2**31 - 1))).otherwise(body)},
+        {"_amount_long": money.long_amount(digits)},
+        {"_amount_short": F.when(long.isNull(), money.local_amount(digits)), "_parts": money.parts([F.col(f"_{n}_long") for n in LONG])},
         {
-            "_cents": money.to_usd_cents(value, currency),
-            "_in_range": F.abs(value) <= F.lit(Decimal(P.MAX_AMOUNT)),
+            "_amount_text": _part("amount", "text"),
+            "_in_range": F.when(long.isNull(), F.abs(short) <= F.lit(Decimal(P.MAX_AMOUNT))).otherwise(
+                ~money.beyond_range(*(_part("amount", p) for p in ("sig", "scale", "kept")))),
         },
+        {"_cents": F.when(F.col("_in_range"), money.to_usd_cents(short, F.col("_amount_text"), currency))},
         {
             "financial_error": F.when(status.isNull(), F.lit(P.ERR_UNKNOWN.format("status"))).otherwise(
                 F.coalesce(
@@ -74,6 +87,7 @@ def financial_layers() -> list[dict[str, Column]]:
             "currency": F.when(usable, currency),
             "status": F.when(usable, status),
             "amount_usd_cents": F.when(usable, cents),
+            "amount_local": F.when(usable, F.coalesce("_amount_text", F.when(short == 0, zero).otherwise(money.short_text(short)))),
         },
     ]
 
@@ -85,25 +99,37 @@ def number_layers() -> list[dict[str, Column]]:
     text = {n: F.col(f"_{n}_text") for n in (*whole, "discount_pct")}
     value = {n: F.col(f"_{n}_value") for n in text}
 
+    def apart(name: str) -> tuple[Column, Column, Column]:
+        return F.col(f"_{name}_long"), _part(name, "sig"), _part(name, "scale")
+
     def bad(name: str) -> Column:
-        error = money.whole_number_error(text[name], value[name], whole[name])
+        error = money.whole_number_error(text[name], value[name], whole[name], *apart(name))
         return (text[name] != "") & error.isNotNull()
 
+    discount = F.coalesce(_part("discount_pct", "text"), money.short_text(value["discount_pct"]))
+    # Two empty layers: all long numbers are taken apart in the amount's fifth.
     return [
+        {},
+        {},
         {f"_{n}_text": strip(F.col(n)) for n in text},
         {
-            **{f"_{n}_value": money.whole_number(text[n]) for n in whole},
-            "_discount_pct_value": money.percentage(text["discount_pct"]),
+            **{f"_{n}_long": money.long_integer(text[n]) for n in whole},
+            "_discount_pct_long": money.long_percentage(text["discount_pct"]),
+        },
+        {},
+        {
+            **{f"_{n}_value": money.whole_number(text[n], *apart(n)) for n in whole},
+            "_discount_pct_value": money.short_percentage(text["discount_pct"]),
         },
         {
-            "_seats_error": money.whole_number_error(text["seats"], value["seats"], whole["seats"]),
-            "_discount_error": money.percentage_error(text["discount_pct"], value["discount_pct"]),
+            "_seats_error": money.whole_number_error(text["seats"], value["seats"], whole["seats"], *apart("seats")),
+            "_discount_error": money.percentage_error(text["discount_pct"], value["discount_pct"], *apart("discount_pct")),
             "_csat_bad": bad("csat_score") | F.coalesce(value["csat_score"] > 5, F.lit(False)),
             "_tickets_bad": bad("support_tickets"),
         },
         {
             "seats": F.when(F.col("_seats_error").isNull(), value["seats"]),
-            "discount_pct": F.when(F.col("_discount_error").isNull(), value["discount_pct"]),
+            "discount_pct": F.when(F.col("_discount_error").isNull(), discount),
             "csat_score": F.when(~F.col("_csat_bad"), value["csat_score"]),
             "support_tickets": F.when(~F.col("_tickets_bad"), value["support_tickets"]),
             "_terms_error": F.coalesce("_seats_error", "_discount_error"),
@@ -176,13 +202,11 @@ def _result_columns() -> list:
     # A record without an id is a group of its own.
     own_group = F.concat(F.lit(MISSING_GROUP), F.col("source_row").cast("string"))
     group = F.when(F.col("invoice_id") == "", own_group).otherwise(F.col("invoice_id"))
-    usable = F.col("financial_error").isNull()
-    amount_local = F.when(usable, money.local_amount(F.col("_digits"))).alias("amount_local")
     return [
         "source_row",
         group.alias("invoice_group"),
         "raw_invoice_id",
-        *[amount_local if c == "amount_local" else c for c in P.INVOICE_COLUMNS],
+        *P.INVOICE_COLUMNS,
         "financial_error",
         "errors",
         collect_where(issues, ISSUE_TYPE).alias("issues"),

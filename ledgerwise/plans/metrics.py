@@ -50,9 +50,10 @@ def open_exposure(invoices: DataFrame) -> DataFrame:
 
 
 def local_currency_totals(invoices: DataFrame) -> DataFrame:
-    """Local amounts are never added across currencies."""
+    """Local amounts are never added across currencies; each counts with its first 15 decimal places."""
+    amount = F.col("amount_local").cast("decimal(38,15)")
     return invoices.groupBy("currency").agg(
-        F.sum("amount_local").alias("amount_local"), F.count("*").alias("invoices")
+        F.sum(amount).alias("amount_local"), F.count("*").alias("invoices")
     )
 
 

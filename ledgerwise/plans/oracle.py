@@ -1,7 +1,8 @@
 """The registered queries in SQL for an independent engine, written apart from the Spark code.
 
 Every text is a chain of common table expressions from the given tables to the answer. Money is
-computed in whole hundredths, dates by format strings, groups by distinct counts.
+computed in wide decimals, dates by format strings, groups by distinct counts. Domains, messages and
+patterns are fixed values, stated again here so that the texts stand on their own.
 """
 
 AS_OF = "1998-06-30"
@@ -13,10 +14,15 @@ base AS (
          c_name, c_mktsegment, c_nationkey AS nk, n_regionkey AS rk
   FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
 ),
-copies AS (
+copied AS (
   SELECT *, unnest(CASE WHEN k % 970 = 0 THEN [0, 1, 2] WHEN k % 10 = 0 THEN [0, 1]
                         WHEN k % 97 = 0 THEN [0, 2] ELSE [0] END) AS cp FROM base
 ),
+copies AS (
+  SELECT * REPLACE (total || CASE k % 131 WHEN 6 THEN '9999999999998' WHEN 7 THEN repeat('0', 20)
+      WHEN 8 THEN repeat('0', 18) || CASE WHEN cp = 1 THEN '1' ELSE '2' END WHEN 9 THEN '4' || repeat('9', 40) ELSE '' END AS total)
+  FROM copied
+),
 raw_ledger AS (
   SELECT k * 3 + cp + 2 AS source_row,
     CASE WHEN k % 997 = 5 THEN '' WHEN cp = 1 THEN 'I' || k || ' ' ELSE 'I' || k END AS invoice_id,
@@ -31,7 +37,8 @@ raw_ledger AS (
       WHEN 1 THEN CASE k % 3 WHEN 0 THEN 'Pro' WHEN 1 THEN 'professional' ELSE 'Tier 2' END
       ELSE CASE k % 3 WHEN 0 THEN 'ENTERPRISE' WHEN 1 THEN 'ent' ELSE 'tier 3' END END AS plan,
     CASE WHEN c % 4 <> 0 THEN 'Monthly' WHEN k % 2 = 0 THEN 'annual' ELSE 'Yearly' END AS billing_cycle,
-    CASE WHEN k % 401 = 9 THEN '0' WHEN k % 2 = 0 THEN (1 + c % 20) || '.0'
+    CASE WHEN k % 401 = 9 THEN '0' WHEN k % 401 = 10 THEN '0e99999'
+         WHEN k % 401 = 11 THEN (1 + c % 20) || '.' || repeat('0', 21) WHEN k % 2 = 0 THEN (1 + c % 20) || '.0'
          ELSE CAST(1 + c % 20 AS VARCHAR) END AS seats,
     CASE nk % 3
       WHEN 0 THEN CASE k % 2 WHEN 0 THEN 'USD' ELSE 'usd' END
@@ -42,7 +49,9 @@ raw_ledger AS (
          WHEN k % 4 = 1 THEN total || CASE nk % 3 WHEN 0 THEN ' usd' WHEN 1 THEN ' eur' ELSE ' gbp' END
          WHEN k % 509 = 2 THEN CASE WHEN k % 40 = 7 THEN '-' ELSE '' END || total || ' CAD'
          WHEN k % 40 = 7 THEN '-' || total ELSE total END AS amount,
-    CASE c % 4 WHEN 0 THEN '0' WHEN 1 THEN '5' WHEN 2 THEN '12.50' ELSE '1e1' END AS discount_pct,
+    CASE WHEN c % 28 = 0 THEN '0e99999' WHEN c % 52 = 1 THEN '33.33333333333333' WHEN c % 44 = 2 THEN '1e-99999'
+         WHEN c % 60 = 3 THEN '5.' || repeat('0', 33) || '1'
+         ELSE CASE c % 4 WHEN 0 THEN '0' WHEN 1 THEN '5' WHEN 2 THEN '12.50' ELSE '1e1' END END AS discount_pct,
     CASE WHEN cp = 2 THEN 'void' WHEN k % 40 = 7 THEN 'charged_back'
          WHEN os = 'F' THEN CASE k % 3 WHEN 0 THEN 'Paid' WHEN 1 THEN 'complete' ELSE ' SUCCESS' END
          WHEN os = 'O' THEN CASE k % 2 WHEN 0 THEN 'in_review' ELSE 'pending' END
@@ -123,20 +132,20 @@ money_parts AS (
 ),
 money_values AS (
   SELECT *, CASE WHEN regexp_full_match(num, '[+-]?([0-9]+|[0-9]{1,3}(,[0-9]{3})+)([.][0-9]+)?')
-                 THEN CAST(CAST(replace(num, ',', '') AS DECIMAL(18,2)) * 100 AS BIGINT) END AS hundredths
+                 THEN CAST(replace(num, ',', '') AS DECIMAL(38,21)) END AS local
   FROM money_parts
 ),
 money AS (
-  SELECT source_row, cur, st, hundredths,
+  SELECT source_row, cur, st, local,
     CASE WHEN st IS NULL THEN 'unknown status'
          WHEN cur NOT IN ('USD', 'EUR', 'GBP') THEN 'unknown currency'
          WHEN code <> '' AND upper(code) <> cur THEN 'currency marker conflicts with currency column'
          WHEN regexp_matches(num, '[$€£]') THEN 'invalid currency symbol'
-         WHEN hundredths IS NULL THEN 'invalid amount format'
-         WHEN (st = 'refunded' AND hundredths >= 0) OR (st <> 'refunded' AND hundredths < 0)
+         WHEN local IS NULL THEN 'invalid amount format'
+         WHEN (st = 'refunded' AND local >= 0) OR (st <> 'refunded' AND local < 0)
            THEN 'amount sign contradicts status' END AS err,
     CASE WHEN err IS NULL THEN
-      sign(hundredths) * ((abs(hundredths) * CASE cur WHEN 'USD' THEN 100 WHEN 'EUR' THEN 108 ELSE 127 END + 50) // 100)
+      CAST(round(CAST(local AS DECIMAL(34,21)) * CAST(CASE cur WHEN 'USD' THEN 100 WHEN 'EUR' THEN 108 ELSE 127 END AS DECIMAL(3,0))) AS BIGINT)
     END AS cents
   FROM money_values
 ),
@@ -152,9 +161,11 @@ typed AS (
     CAST(CAST(seats AS DOUBLE) AS BIGINT) AS seats_all,
     CASE WHEN seats_all >= 1 THEN seats_all END AS seats,
     CASE WHEN m.err IS NULL THEN m.cur END AS currency,
-    CASE WHEN m.err IS NULL THEN m.hundredths END AS local_hundredths,
+    CASE WHEN m.err IS NULL THEN m.local END AS local_value,
+    rtrim(rtrim(CAST(local_value AS VARCHAR), '0'), '.') AS local_text,
     CAST(m.cents AS BIGINT) AS amount_usd_cents,
-    CAST(round(CAST(discount_pct AS DOUBLE) * 100) AS BIGINT) AS discount_hundredths,
+    CAST(CASE discount_pct WHEN '0e99999' THEN '0' WHEN '1e-99999' THEN '0' WHEN '1e1' THEN '10' ELSE discount_pct END AS DECIMAL(24,21)) AS discount,
+    CASE WHEN discount_pct = '1e-99999' THEN '1E-99999' ELSE rtrim(rtrim(CAST(discount AS VARCHAR), '0'), '.') END AS discount_text,
     CASE WHEN m.err IS NULL THEN m.st END AS status,
     d.invoice_date, d.signup_date,
     CASE WHEN lower(trim(churned)) IN ('true', 'yes', '1', 'y') THEN 1 ELSE 0 END AS churned,
@@ -185,7 +196,7 @@ rows_all AS (
   SELECT t.*, b.source_row IS NULL AS clean,
     CASE WHEN invoice_id = '' THEN '__missing_row_' || t.source_row ELSE invoice_id END AS grp,
     CASE plan WHEN 'starter' THEN 49 WHEN 'pro' THEN 99 ELSE 299 END AS price,
-    (price * seats * (10000 - discount_hundredths) * CASE billing_cycle WHEN 'annual' THEN 10 ELSE 1 END + 50) // 100 AS expected,
+    CAST(round(CAST(price * seats * CASE billing_cycle WHEN 'annual' THEN 10 ELSE 1 END AS DECIMAL(13,0)) * CAST(100 - discount AS DECIMAL(24,21))) AS BIGINT) AS expected,
     CASE WHEN b.source_row IS NULL THEN abs(amount_usd_cents) - expected END AS difference,
     CASE WHEN money_error IS NULL THEN CASE WHEN status IN ('paid', 'refunded') THEN amount_usd_cents ELSE 0 END END AS contribution
   FROM typed t LEFT JOIN bad_rows b ON b.source_row = t.source_row
@@ -193,8 +204,8 @@ rows_all AS (
 
 RESOLVED = """
 canon AS (
-  SELECT *, concat_ws('|', account_id, account_name, region, plan, billing_cycle, seats, currency, local_hundredths,
-      discount_hundredths, status, invoice_date, coalesce(CAST(signup_date AS VARCHAR), '-'), churned,
+  SELECT *, concat_ws('|', account_id, account_name, region, plan, billing_cycle, seats, currency, local_text,
+      discount_text, status, invoice_date, coalesce(CAST(signup_date AS VARCHAR), '-'), churned,
       coalesce(CAST(csat_score AS VARCHAR), '-'), coalesce(industry, '-'), coalesce(contact_email, '-'),
       coalesce(payment_method, '-'), coalesce(CAST(support_tickets AS VARCHAR), '-')) AS variant
   FROM rows_all
@@ -222,7 +233,7 @@ def _accounts(as_of: str | None) -> str:
         f"CASE WHEN count(DISTINCT {column}) > 1 THEN '{name},' ELSE '' END"
         for name, column in [
             ("account_name", "account_name"), ("churned", "churned"),
-            ("discount_pct", "discount_hundredths"), ("plan", "plan"), ("region", "region"), ("seats", "seats"),
+            ("discount_pct", "discount_text"), ("plan", "plan"), ("region", "region"), ("seats", "seats"),
         ]
     )
     return f"""
@@ -239,9 +250,9 @@ acc_facts AS (
 ),
 acc AS (
   SELECT h.account_id, h.account_name, h.region, h.plan, CAST(h.seats AS INTEGER) AS seats,
-    h.discount_hundredths, h.churned, h.csat_score, h.invoice_id AS snapshot_invoice_id,
+    h.discount_text, h.churned, h.csat_score, h.invoice_id AS snapshot_invoice_id,
     h.invoice_date AS snapshot_date, {day} AS as_of,
-    CAST(CASE WHEN h.churned = 1 THEN 0 ELSE (h.price * h.seats * (10000 - h.discount_hundredths) + 50) // 100 END AS BIGINT) AS mrr_usd_cents,
+    CAST(CASE WHEN h.churned = 1 THEN 0 ELSE round(CAST(h.price * h.seats AS DECIMAL(13,0)) * CAST(100 - h.discount AS DECIMAL(24,21))) END AS BIGINT) AS mrr_usd_cents,
     f.net AS net_revenue_usd_cents, f.changed_fields, f.tie,
     CAST(q.account_id IS NOT NULL AS INTEGER) AS quarantined,
     CAST(f.changed_fields <> '' OR f.tie = 1 OR q.account_id IS NOT NULL AS INTEGER) AS snapshot_uncertain,
@@ -274,14 +285,6 @@ all_issues AS (
   UNION ALL SELECT source_row, NULL, 'account_snapshot_uncertain', NULL, NULL, NULL, NULL, NULL FROM acc WHERE snapshot_uncertain = 1
 )"""
 
-# A number of hundredths as shortest decimal text.
-def _plain(hundredths: str) -> str:
-    fraction = f"lpad(CAST(abs({hundredths}) % 100 AS VARCHAR), 2, '0')"
-    sign = f"CASE WHEN {hundredths} < 0 THEN '-' ELSE '' END"
-    whole = f"CAST(abs({hundredths}) // 100 AS VARCHAR)"
-    return f"{sign} || {whole} || rtrim(rtrim('.' || {fraction}, '0'), '.')"
-
-
 def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts) + "\n"
 
@@ -292,11 +295,11 @@ _ACC = (*_INV, _accounts(None))
 _ACC_ASOF = (*_INV, _accounts(AS_OF))
 
 _INVOICE_COLUMNS = f"""invoice_id, account_id, account_name, region, plan, billing_cycle,
- CAST(seats AS INTEGER) AS seats, currency, {_plain('local_hundredths')} AS amount_local, amount_usd_cents,
- {_plain('discount_hundredths')} AS discount_pct, status, invoice_date, signup_date, churned, csat_score,
+ CAST(seats AS INTEGER) AS seats, currency, local_text AS amount_local, amount_usd_cents,
+ discount_text AS discount_pct, status, invoice_date, signup_date, churned, csat_score,
  industry, payment_method, support_tickets, source_row"""
 
-_ACCOUNT_COLUMNS = f"""account_id, account_name, region, plan, seats, {_plain('discount_hundredths')} AS discount_pct,
+_ACCOUNT_COLUMNS = f"""account_id, account_name, region, plan, seats, discount_text AS discount_pct,
  churned, csat_score, snapshot_invoice_id, snapshot_date, as_of, mrr_usd_cents, net_revenue_usd_cents, snapshot_uncertain"""
 
 
@@ -344,9 +347,9 @@ _RULES = {
     "invoices.support_tickets": "support_tickets IS NULL OR support_tickets >= 0",
     "invoices.account_id required": "account_id IS NOT NULL",
     "invoices.account_name required": "account_name IS NOT NULL",
-    "invoices.amount_local required": "local_hundredths IS NOT NULL",
+    "invoices.amount_local required": "local_text IS NOT NULL",
     "invoices.amount_usd_cents required": "amount_usd_cents IS NOT NULL",
-    "invoices.discount_pct required": "discount_hundredths IS NOT NULL",
+    "invoices.discount_pct required": "discount_text IS NOT NULL",
     "invoices.invoice_date required": "invoice_date IS NOT NULL",
     "invoices.source_row required": "source_row IS NOT NULL",
 }
@@ -367,7 +370,7 @@ _SOURCES = "srcs AS (SELECT invoice_id, source_row FROM judged WHERE accepted)"
 _VIOLATIONS = " UNION ALL ".join([
     _rules("inv"),
     *[
-        f"SELECT 'accounts.{c} required', count(*) FROM acc WHERE {c.replace('pct', 'hundredths')} IS NULL"
+        f"SELECT 'accounts.{c} required', count(*) FROM acc WHERE {c.replace('pct', 'text')} IS NULL"
         for c in ("account_name", "region", "plan", "seats", "discount_pct", "snapshot_date", "as_of", "net_revenue_usd_cents")
     ],
     "SELECT 'accounts.churned', count(*) FROM acc WHERE churned NOT IN (0, 1)",
@@ -476,7 +479,7 @@ ORACLE: dict[str, str] = {
     "canonical_categories": _with(*_ROWS)
     + "SELECT source_row, region, plan, billing_cycle, status, payment_method FROM typed",
     "normalized_terms": _with(*_ROWS)
-    + f"SELECT source_row, CAST(seats AS INTEGER) AS seats, {_plain('discount_hundredths')} AS discount_pct, "
+    + f"SELECT source_row, CAST(seats AS INTEGER) AS seats, discount_text AS discount_pct, "
     "csat_score, support_tickets, churned, contact_email, industry FROM typed",
     "date_evidence": _with(LEDGER, DATES) + "SELECT field, sep, orders FROM evidence",
     "dates_resolved": _with(LEDGER, DATES) + "SELECT source_row, signup_date, invoice_date FROM dates",
@@ -512,9 +515,9 @@ ORACLE: dict[str, str] = {
     + "SELECT count(*) AS invoices, CAST(coalesce(sum(amount_usd_cents), 0) AS BIGINT) AS exposure_cents "
     "FROM inv WHERE status IN ('pending', 'failed')",
     "local_currency_totals": _with(
-        *_INV, "sums AS (SELECT currency, CAST(sum(local_hundredths) AS BIGINT) AS h, count(*) AS invoices FROM inv GROUP BY currency)"
+        *_INV, "sums AS (SELECT currency, sum(CAST(local_value AS DECIMAL(38,15))) AS h, count(*) AS invoices FROM inv GROUP BY currency)"
     )
-    + f"SELECT currency, {_plain('h')} AS amount_local, invoices FROM sums",
+    + "SELECT currency, rtrim(rtrim(CAST(h AS VARCHAR), '0'), '.') AS amount_local, invoices FROM sums",
     "region_mean_mrr": _with(*_ACC) + _MEAN_MRR,
     "top_region": _with(*_ACC)
     + f"SELECT region, mean_mrr_cents, accounts FROM ({_MEAN_MRR} ORDER BY sum(mrr_usd_cents) / count(*) DESC, region LIMIT 1)",

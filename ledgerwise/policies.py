@@ -86,7 +86,6 @@ ERR_SIGN = "amount sign contradicts status"
 ERR_CENTS = "amount exceeds supported integer-cent range"
 ERR_DISCOUNT = "discount outside 0..100"
 # This engine's own limit: money is DECIMAL(30,12).
-ERR_PRECISION = "more than 12 fraction digits"
 
 # Evidence texts of inferred dates.
 EVIDENCE_FORMAT = "column/separator evidence: "

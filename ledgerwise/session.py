@@ -27,11 +27,12 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
 def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings the plans rely on.
 
-    Normalization is one long chain of projections. Fused into a single generated method it passes
-    the 8000 bytecodes above which the JVM no longer compiles it, and runs interpreted. With the
-    limit set here Spark compiles such a stage projection by projection; all other stages stay
-    fused.
+    Normalization is one long chain of wide projections. Fused into a single generated method it
+    passes the 8000 bytecodes above which the JVM no longer compiles it, and runs interpreted. Two
+    limits keep it apart: steps of more than 48 columns are compiled projection by projection at
+    once, and so is any other stage whose method grows too long. All others stay fused.
     """
+    spark.conf.set("spark.sql.codegen.maxFields", "48")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 

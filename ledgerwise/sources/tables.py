@@ -26,7 +26,16 @@ def _derivation() -> tuple[Column, dict[str, Column]]:
         F.array(F.lit(0), F.when(k % 10 == 0, F.lit(1)), F.when(k % 97 == 0, F.lit(2)))
     )
     copy, seats = F.col("copy"), (1 + c % 20).cast("string")
-    total = F.when(k % 40 == 7, F.concat(F.lit("-"), "total")).otherwise(F.col("total"))
+    # Long fractions: of a binary number, of zeros only, of copies that differ in the last digit, and one that rounds up.
+    fraction = (
+        F.when(k % 131 == 6, F.lit("9999999999998"))
+        .when(k % 131 == 7, F.lit("0" * 20))
+        .when(k % 131 == 8, F.concat(F.lit("0" * 18), F.when(copy == 1, "1").otherwise("2")))
+        .when(k % 131 == 9, F.lit("4" + "9" * 40))
+        .otherwise("")
+    )
+    sign = F.when(k % 40 == 7, "-").otherwise("")
+    total = F.concat(sign, F.col("total"), fraction)
     signup = F.date_sub(d, (c % 400).cast("int"))
     columns = {
         "invoice_id": F.when(k % 997 == 5, "").otherwise(
@@ -43,14 +52,21 @@ def _derivation() -> tuple[Column, dict[str, Column]]:
         .when(c % 3 == 1, _pick(k, ["Pro", "professional", "Tier 2"]))
         .otherwise(_pick(k, ["ENTERPRISE", "ent", "tier 3"])),
         "billing_cycle": F.when(c % 4 == 0, _pick(k, ["annual", "Yearly"])).otherwise("Monthly"),
-        "seats": F.when(k % 401 == 9, "0").when(k % 2 == 0, F.concat(seats, F.lit(".0"))).otherwise(seats),
+        "seats": F.when(k % 401 == 9, "0")
+        .when(k % 401 == 10, "0e99999")
+        .when(k % 401 == 11, F.concat(seats, F.lit("." + "0" * 21)))
+        .when(k % 2 == 0, F.concat(seats, F.lit(".0"))).otherwise(seats),
         "currency": F.when(k % 2 == 1, _pick(nk, ["usd", "eur", "gbp"])).otherwise(_pick(nk, ["USD", "EUR", "GBP"])),
         "amount": F.when(k % 307 == 4, "unknown")
         .when(k % 4 == 0, F.concat(_pick(nk, ["$", "€", "£"]), total))
         .when(k % 4 == 1, F.concat(total, F.lit(" "), _pick(nk, ["usd", "eur", "gbp"])))
         .when(k % 509 == 2, F.concat(total, F.lit(" CAD")))
         .otherwise(total),
-        "discount_pct": _pick(c, ["0", "5", "12.50", "1e1"]),
+        "discount_pct": F.when(c % 28 == 0, "0e99999")
+        .when(c % 52 == 1, "33.33333333333333")
+        .when(c % 44 == 2, "1e-99999")
+        .when(c % 60 == 3, "5." + "0" * 33 + "1")
+        .otherwise(_pick(c, ["0", "5", "12.50", "1e1"])),
         "status": F.when(copy == 2, "void")
         .when(k % 40 == 7, "charged_back")
         .when(F.col("o_orderstatus") == "F", _pick(k, ["Paid", "complete", " SUCCESS"]))

@@ -2,12 +2,13 @@
 
 import random
 from datetime import date, datetime
-from decimal import Decimal, InvalidOperation
+from decimal import ROUND_HALF_UP, Decimal, InvalidOperation
 
 import pytest
 from conftest import record
 
 from ledgerwise.operators.date_resolution import evidence_table, resolve_dates
+from ledgerwise.operators.dedup import invoice_groups
 from ledgerwise.operators.normalize import normalize
 
 
@@ -115,7 +116,7 @@ def test_amounts(make_raw):
         if expected is None:
             assert row["errors"] == ["amount sign contradicts status"], amount
         else:
-            assert row["errors"] == [] and row["amount_local"] == Decimal(expected), amount
+            assert row["errors"] == [] and row["amount_local"] == format(Decimal(expected).normalize(), "f"), amount
     bad = {
         ("1,20.00", "USD"): "invalid amount format", ("£49", "USD"): "invalid currency symbol",
         ("NaN", "USD"): "currency marker conflicts with currency column", ("100", "CAD"): "unknown currency",
@@ -123,7 +124,8 @@ def test_amounts(make_raw):
         ("$€5", "USD"): "invalid currency symbol", ("1e3", "USD"): "invalid amount format", ("", "USD"): "invalid amount format",
         ("5.", "USD"): "invalid amount format", ("1000000000001", "USD"): "non-finite or out-of-range decimal",
         ("9" * 40, "USD"): "non-finite or out-of-range decimal", ("100 EUR", "USD"): "currency marker conflicts with currency column",
-        ("0.1234567890123", "USD"): "more than 12 fraction digits", ("1,0000", "USD"): "invalid amount format",
+        ("1,0000", "USD"): "invalid amount format", ("1000000000000.1", "USD"): "non-finite or out-of-range decimal",
+        ("1_000", "USD"): "invalid amount format",
     }
     for (case, expected), row in zip(bad.items(), many(make_raw, [{"amount": a, "currency": c} for a, c in bad])):
         assert row["errors"] == [expected] and row["amount_usd_cents"] is None, case
@@ -155,28 +157,89 @@ def test_one_error_from_the_shared_block_in_fixed_order(make_raw):
     ]
 
 
+def python_decimal(text):
+    """A finite number within the limits, or None; only sizes are compared with 28 digits."""
+    try:
+        value = Decimal(text.strip())
+    except InvalidOperation:
+        return None
+    return value if value.is_finite() and abs(value) <= 10**12 else None
+
+
+def python_text(value):
+    text = format(value.normalize(), "f")
+    if len(text.partition(".")[2]) <= 60:
+        return text
+    sign, digits, exponent = value.normalize().as_tuple()
+    return ("-" if sign else "") + "".join(map(str, digits)) + f"E-{-exponent}"
+
+
+NUMBERS = [
+    "1", "10.0", "1e1", " 7 ", "2.5", "0", "-1", "NaN", "inf", "", "1.", ".5", "5e-1", "1e400", "1e-400", "abc",
+    "2147483647", "2147483648", "1e99999", "1E+2", "0x1", "--1", "1e", "12.50", "100", "100.0000000000001",
+    "0e99999", "-0", "-0.0", "0e-99999", "1e-99999", "33.33333333333333", "19.989999999999998", "1_0", "_5_", "_", "1e1_0",
+    "0.1234567890123456789012345678901234567890", "9.9999999999999999999999999999999999", "99.99999999999999999999999999999",
+    "0" * 50 + "7", "5." + "0" * 40, "5." + "0" * 40 + "1", "1" + "0" * 12, "1" + "0" * 12 + "." + "0" * 30 + "1", "1" + "0" * 30 + "e-30",
+    "0." + "0" * 59 + "7", "0." + "0" * 60 + "7", "12345678901234567890e-18", "1234567890123456789012345678.5e-27",
+    "1234567890123456789012345677.5e-27", "1e0000000000000000000001", "1e00000000000000000000000000000000000000000000000000002",
+]
+
+
 def test_plain_numbers_against_decimal(make_raw):
-    texts = ["1", "10.0", "1e1", " 7 ", "2.5", "0", "-1", "NaN", "inf", "", "1.", ".5", "5e-1", "1e400", "1e-400", "abc",
-             "2147483647", "2147483648", "1e99999", "1E+2", "0x1", "--1", "1e", "12.50", "100", "100.0000000000001"]
-    got = many(make_raw, [{"seats": t} for t in texts])
-    for text, row in zip(texts, got):
-        try:
-            value = Decimal(text.strip())
-            fine = value.is_finite() and value == value.to_integral_value() and 1 <= value <= 2**31 - 1
-        except InvalidOperation:
-            fine = False
+    texts = NUMBERS
+    for text, row in zip(texts, many(make_raw, [{"seats": t} for t in texts])):
+        value = python_decimal(text)
+        fine = value is not None and value == value.to_integral_value() and 1 <= value <= 2**31 - 1
         assert (row["errors"] == []) == fine, text
         assert row["seats"] == (int(value) if fine else None), text
-    got = many(make_raw, [{"discount_pct": t} for t in texts])
-    for text, row in zip(texts, got):
-        try:
-            value = Decimal(text.strip())
-            fine = value.is_finite() and 0 <= value <= 100 and value.as_tuple().exponent >= -12
-        except InvalidOperation:
-            fine = False
+    for text, row in zip(texts, many(make_raw, [{"support_tickets": t} for t in texts])):
+        value = python_decimal(text)
+        fine = value is not None and value == value.to_integral_value() and 0 <= value <= 2**31 - 1
+        assert row["support_tickets"] == (int(value) if fine else None), text
+    for text, row in zip(texts, many(make_raw, [{"discount_pct": t, "amount": "1"} for t in texts])):
+        value = python_decimal(text)
+        fine = value is not None and 0 <= value <= 100
         assert (row["errors"] == []) == fine, text
-        if fine:
-            assert row["discount_pct"] == value, text
+        assert row["discount_pct"] == (python_text(value) if fine else None), text
+
+
+def python_cents(value):
+    return int((value * 100).quantize(Decimal(1), rounding=ROUND_HALF_UP))
+
+
+def test_amounts_of_any_length(make_raw):
+    rng = random.Random(5)
+    texts = ["0.005", "0.00499999999999999999999999999999999999999", "0.005" + "0" * 40, "0.005" + "0" * 20 + "1", "-0.005" + "0" * 20 + "1",
+             "0" * 40 + "12.5", "-0.00", "0." + "0" * 70 + "1", "19.989999999999998", "1" * 12 + "." + "4" * 40, "999999999999." + "9" * 30]
+    texts += ["".join(rng.choice("0123456789") for _ in range(rng.randrange(1, 12))) + "." +
+              "".join(rng.choice("0123456789") for _ in range(rng.randrange(1, 45))) for _ in range(60)]
+    for currency, rate in [("USD", Decimal(1)), ("EUR", Decimal("1.08")), ("GBP", Decimal("1.27"))]:
+        cases = [{"amount": t, "currency": currency, "status": "refund" if Decimal(t) < 0 else "paid"} for t in texts]
+        for text, row in zip(texts, many(make_raw, cases)):
+            value = Decimal(text)
+            assert row["errors"] == [], text
+            assert row["amount_local"] == python_text(value), text
+            assert row["amount_usd_cents"] == python_cents(value * rate), (text, currency)
+
+
+def test_list_price_with_long_discounts(make_raw):
+    texts = ["33.33333333333333", "12.345678901234567890123", "0." + "0" * 30 + "1", "99.99999999999999999999", "50", "1e-99999"]
+    cases = [{"discount_pct": t, "amount": "5000", "seats": s} for t in texts for s in ("1", "999999")]
+    for case, row in zip(cases, many(make_raw, cases)):
+        want = python_cents(Decimal(49) * int(case["seats"]) * (1 - Decimal(case["discount_pct"]) / 100))
+        assert [i["difference_usd_cents"] for i in row["issues"] if i["code"] == "price_fx_mismatch"] == [500000 - want], case
+
+
+def test_variants_differ_in_any_digit(make_raw):
+    def verdict(first, second):
+        rows = normalize(make_raw([record("I1", amount=first), record("I1", amount=second)]))
+        return invoice_groups(rows).head()["accepted"]
+
+    assert verdict("490.00", "490." + "0" * 30)
+    assert verdict("1.5", "1.5" + "0" * 20 + "0")
+    assert not verdict("1.50000000000000000001", "1.50000000000000000002")
+    assert not verdict("0", "-0")
+    assert verdict("1.5" + "0" * 26 + "4", "1.5" + "0" * 26 + "3")
 
 
 def test_optional_fields_become_null_with_an_issue(make_raw):
