@@ -553,7 +553,8 @@ ORACLE: dict[str, str] = {
     f"FROM (SELECT account_id, net_revenue_usd_cents AS n, {_FLAG} FROM acc)",
     "answer_regression": _with(*_ACC) + _REGRESSION,
     "ledger_csv_rows": _with(LEDGER)
-    + "SELECT row_number() OVER (ORDER BY source_row) + 1 AS source_row, invoice_id, account_id, amount, status, invoice_date FROM raw_ledger",
+    + "SELECT row_number() OVER (ORDER BY source_row) + 1 AS source_row, invoice_id, account_id, amount, "
+    "CASE WHEN source_row % 29 = 0 THEN 'said \"a\",' || chr(10) || chr(10) || status ELSE status END AS status, invoice_date FROM raw_ledger",
     "published_tables": _with(*_ACC, ISSUES, _coverage(None)) + _PUBLISHED_COUNTS,
     "screened_turns": _with(_PROMPTS)
     + "SELECT *, CAST(bad_length + control_chars + override_attempt + secret_request + data_change = 0 AS INTEGER) AS admitted FROM flags",

@@ -55,13 +55,11 @@ def _check(ledger: Ledger, as_of: str | None) -> None:
     ledger.report
 
 
-def import_csv(
-    spark: SparkSession, path: str, folder: str, as_of: str | None = None, multi_line: bool = True
-) -> Ledger:
+def import_csv(spark: SparkSession, path: str, folder: str, as_of: str | None = None) -> Ledger:
     """Import ledger CSV files and publish the result."""
     if folder.rstrip("/") == path.rstrip("/"):
         raise ValueError("output must not overwrite the source CSV")
-    raw = read_ledger(spark, path, multi_line)
+    raw = read_ledger(spark, path)
     sha256 = source_sha256(source_files(spark, path)).head()[0]
     return publish(spark, raw, folder, as_of, sha256)
 

@@ -1,5 +1,6 @@
 """Ledger CSV files: header check, landing with stable row numbers, and fingerprints."""
 
+import csv
 import hashlib
 from collections.abc import Iterator
 
@@ -9,46 +10,49 @@ from pyspark.sql import functions as F
 
 from ..policies import LEDGER_COLUMNS
 from ..session import stage
+from .csv_frames import BROKEN, IN, framed, joined_pieces, lines, split_states
 
 FIRST_SOURCE_ROW = 2
 
 
 def ledger_header(spark: SparkSession, path: str) -> list[str]:
-    """The header of the first file: the 19 columns, once each, in any order."""
-    first = spark.read.csv(path, header=False, quote='"', escape='"').head()
-    header = list(first) if first else []
+    """The header of a file: the 19 columns, once each, in any order. All files must have the same."""
+    first = lines(spark, path).select("value").head()
+    header = next(csv.reader([first["value"].removeprefix("\ufeff")]), []) if first else []
     if len(header) != len(LEDGER_COLUMNS) or set(header) != set(LEDGER_COLUMNS):
         raise ValueError("the ledger header must name each of the 19 columns once")
     return header
 
 
-def scan_ledger(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """All-text records as written. A record of the wrong width fails the load.
-
-    Line breaks inside quotes need ``multi_line``, which reads each file in one task: give many
-    files, or turn it off where no field holds a line break, so that large files are split.
-    """
-    header = ledger_header(spark, path)
-    # Without all columns the parser would not notice a record of the wrong width.
-    return spark.read.option("columnPruning", False).csv(
-        path,
-        schema=", ".join(f"{c} string" for c in header),
-        header=True,
-        enforceSchema=False,
-        mode="FAILFAST",
-        multiLine=multi_line,
-        quote='"',
-        escape='"',
-    )
+def _refuse_first(problems: DataFrame) -> None:
+    """Fail on the first problem, if there is one. ``problems`` has _file, _block, _seq and _error."""
+    first = problems.filter(F.col("_error").isNotNull()).agg(F.min(F.struct("_file", "_block", "_seq", "_error")).alias("p")).head()["p"]
+    if first is not None:
+        raise ValueError(f"{first['_error']} in {first['_file']}, split at byte {first['_block']}")
 
 
-def refuse_invalid_utf8(spark: SparkSession, path: str) -> None:
-    """Fail on bytes that are not UTF-8: the CSV reader would replace them, and different names could become equal.
+def scan_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """All-text records as written, with ``_file``, ``_block`` and ``_seq``, landed as Parquet.
 
-    Lines are split at single bytes, which never part a character. Ends at the first bad line.
+    Files of any size are read by splits, line breaks in quotes or not. Malformed quoting, a record of the wrong width and
+    bytes that are not UTF-8 fail the load; empty lines are skipped.
     """
-    if not spark.read.text(path).filter(~F.is_valid_utf8("value")).isEmpty():
-        raise ValueError("the ledger is not valid UTF-8")
+    header = ledger_header(spark, path)
+    given = lines(spark, path)
+    states = stage(split_states(given), "split-states")
+    open_end = states.groupBy("_file").agg(F.max("_block").alias("_block"), F.max_by("last", "_block").alias("last")).filter(F.col("last") == IN)
+    broken = states.filter(F.col("last") == BROKEN).select("_file", "_block")
+    _refuse_first(open_end.select("_file", "_block", F.lit(0).alias("_seq"), F.lit("malformed record: unexpected end of data").alias("_error")).unionByName(
+        broken.select("_file", "_block", F.lit(0).alias("_seq"), F.lit("malformed record: a quote inside a quoted field").alias("_error"))))
+    landed = stage(framed(given, states, header), "landed")
+    _refuse_first(landed)
+    records, pieces = landed.filter(F.col("_piece").isNull()), landed.filter(F.col("_piece").isNotNull())
+    if not pieces.isEmpty():
+        joined = stage(joined_pieces(pieces, len(header)), "joined")
+        _refuse_first(joined)
+        records = records.unionByName(joined)
+    fields = [F.col(f"c{i}").alias(name) for i, name in enumerate(header)]
+    return records.select("_file", "_block", "_seq", *fields)
 
 
 def natural_order(path: Column) -> Column:
@@ -81,23 +85,9 @@ def number_rows(landed: DataFrame) -> DataFrame:
     return numbered.select(source_row.alias("source_row"), *LEDGER_COLUMNS)
 
 
-def read_ledger(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Land the records once as Parquet, then number them from what was landed.
-
-    Row positions depend on how the input was split, so they are fixed by the landing write and
-    never computed again.
-    """
-    records = scan_ledger(spark, path, multi_line)
-    refuse_invalid_utf8(spark, path)
-    landed = stage(
-        records.select(
-            *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in LEDGER_COLUMNS],
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_seq"),
-        ),
-        "landed",
-    )
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The records, numbered from what was landed: positions depend on how the input was split, so they are never computed again."""
+    landed = scan_ledger(spark, path)
     if landed.isEmpty():
         raise ValueError("the ledger has no records")
     return number_rows(landed)

@@ -2,6 +2,8 @@
 
 import csv
 import hashlib
+import io
+import random
 
 import pytest
 from conftest import golden_records, record
@@ -44,19 +46,73 @@ def test_broken_files_fail(spark, tmp_path, text):
 
 def test_invalid_utf8_is_refused(spark, tmp_path):
     path = write(tmp_path / "c.csv", [record("I1", account_name="Caf\u00e9")], encoding="latin-1")
-    for multi_line in (True, False):
-        with pytest.raises(ValueError, match="UTF-8"):
-            ledger_csv.read_ledger(spark, path, multi_line)
+    with pytest.raises(ValueError, match="UTF-8"):
+        ledger_csv.read_ledger(spark, path)
     path = write(tmp_path / "d.csv", [record("I1", account_name="Caf\u00e9")])
     assert ledger_csv.read_ledger(spark, path).head()["account_name"] == "Caf\u00e9"
 
 
+HEADER = ",".join(LEDGER_COLUMNS)
+LAST = "," * (len(LEDGER_COLUMNS) - 2)
+
+
+@pytest.mark.parametrize(
+    "lines",
+    [
+        f'"Al"pha,x{LAST}', "   ", f'x,"open{LAST}', f'"a\nb" ,x{LAST}', f"a\rb,x{LAST}", f'ok,"line\nbreak"{LAST},more', f'"a""b,x{LAST}\nc,d{LAST}',
+    ],
+)
+def test_strict_records(spark, tmp_path, lines):
+    """What a strict reader refuses is refused."""
+    text = f"{HEADER}\nfine,x{LAST}\n{lines}\nfine,x{LAST}\n"
+    (tmp_path / "b.csv").write_text(text, newline="")
+    with pytest.raises((csv.Error, AssertionError)):
+        rows = [r for r in csv.reader(io.StringIO(text, newline="\n"), strict=True) if r]
+        assert {len(r) for r in rows} == {len(LEDGER_COLUMNS)}
+    with pytest.raises(ValueError, match="record"):
+        ledger_csv.read_ledger(spark, str(tmp_path / "b.csv"))
+
+
+def test_files_are_split_anywhere(spark, tmp_path):
+    """Quotes, commas and line breaks at random, in splits of a few hundred bytes, against the library's strict reader."""
+    rng = random.Random(8)
+    want = []
+    for part, name in enumerate(["a1.csv", "a2.csv", "a10.csv"]):
+        with open(tmp_path / name, "w", newline="", encoding="utf-8-sig") as out:
+            out.write(HEADER + ("\r\n" if part else "\n"))
+            for _ in range(150):
+                fields = []
+                for _ in LEDGER_COLUMNS:
+                    text = "".join(rng.choice(["a", "b ", "é", ",", '"', "\n", "\r\n", "x" * 9]) for _ in range(rng.choice([0, 1, 1, 2, 6])))
+                    if rng.random() < 0.02:
+                        text = '",' * rng.randrange(60) + "\n" * rng.randrange(90)
+                    plain = not set(text) & set(',"\n\r')
+                    middle = text[:1] != '"' and not set(text) & set(",\n\r")
+                    quoted = '"' + text.replace('"', '""') + '"'
+                    fields.append(text if (plain or middle) and rng.random() < 0.8 else quoted)
+                out.write(",".join(fields) + rng.choice(["\n", "\r\n", "\n\n", "\n\r\n"]))
+            out.write(f"last,x{LAST}")
+    for name in ["a1.csv", "a2.csv", "a10.csv"]:
+        text = (tmp_path / name).read_bytes().decode("utf-8-sig")
+        want += [r for r in csv.reader(io.StringIO(text, newline="\n"), strict=True) if r][1:]
+    assert len(want) == 453 and {len(r) for r in want} == {len(LEDGER_COLUMNS)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = ledger_csv.read_ledger(spark, str(tmp_path)).orderBy("source_row").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r["source_row"] for r in got] == list(range(2, 455))
+    assert [[r[c] for c in LEDGER_COLUMNS] for r in got] == want
+
+
 def test_numbers_run_over_splits_and_files(spark, tmp_path):
     for part in range(3):
         write(tmp_path / f"p{part}.csv", [record(f"I{part * 5000 + n}") for n in range(5000)])
     spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
     try:
-        got = ledger_csv.read_ledger(spark, str(tmp_path), multi_line=False)
+        got = ledger_csv.read_ledger(spark, str(tmp_path))
         pairs = {(r["source_row"], r["invoice_id"]) for r in got.select("source_row", "invoice_id").collect()}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
