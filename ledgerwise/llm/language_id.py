@@ -4,7 +4,7 @@ Texts become vectors of hashed byte trigrams over the whole text. A linear suppo
 per family separates it from the others; within the chosen family every pair of languages has one
 of its own, and the language with most wins (then the largest summed margin) is taken. Each machine
 is trained in a task of its own by dual coordinate descent, on a bounded sample of labelled rows:
-at most ``ROWS_PER_LANGUAGE`` of each language, drawn by a hash of the id. Every row is predicted.
+at most ``ROWS_PER_LANGUAGE`` of each language and at least one, drawn by a hash of id and text. Every row is predicted.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; rows with a null label do
 not teach; languages outside ``FAMILIES`` are a family each; with one learned language, or none,
@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, id_and_text, remainder, written
@@ -56,7 +56,9 @@ def features(text: str) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether any character is a letter. The pattern also takes number signs, but no letter is missing from it."""
+    first = _LETTER.search(text) if text else None
+    return first is not None and (first.group().isalpha() or any(map(str.isalpha, text)))
 
 
 def train(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, cost: float = COST) -> np.ndarray:
@@ -84,9 +86,9 @@ def _vector_rows(rows: DataFrame) -> DataFrame:
         for batch in batches:
             vectors = [features(t or "").astype(np.float16).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), batch.column("draw"), pa.array(vectors, pa.binary())], names=["lang", "draw", "vector"])
+                [batch.column("lang"), batch.column("place"), pa.array(vectors, pa.binary())], names=["lang", "place", "vector"])
 
-    return rows.select("lang", "draw", "text").mapInArrow(run, "lang string, draw double, vector binary")
+    return rows.select("lang", "place", "text").mapInArrow(run, "lang string, place int, vector binary")
 
 
 def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> dict:
@@ -96,7 +98,9 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> dict
     """
     rows = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.select("lang", "text", draw.alias("draw"))
+    counts = {r["lang"]: (r["n"], r["least"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).collect()}
     langs = sorted(counts)
     families: dict[str, list[str]] = {}
     for lang in langs:
@@ -108,25 +112,26 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> dict
         jobs += [(a, b, [a], [b]) for a, b in combinations(own, 2)]
     models = {}
     if jobs:
-        # A share per language that leaves the bound on average, drawn by hash, then the bound itself.
+        # A share per language that leaves the bound on average, and the first draw whatever it is; then the bound itself by
+        # rank, which Spark applies in each task before it deals out what is left.
         share: Column = F.lit(0.0)
-        for lang, n in counts.items():
-            share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.2 * rows_per_language / n))).otherwise(share)
-        draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
-        drawn = rows.withColumn("draw", draw / share).filter("draw < 1")
+        for lang, (n, least) in counts.items():
+            share = F.when(F.col("lang") == lang, F.lit(max(least, 1.2 * rows_per_language / n))).otherwise(share)
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+        drawn = rows.filter(F.col("draw") <= share).withColumn("place", place).filter(F.col("place") <= rows_per_language)
         sample = written(_vector_rows(drawn), "language-sample")
-        # A side of many languages takes a smaller part of each, so a machine's rows stay bounded.
-        sides = [(i, lang, sign, 2.0 / len(names)) for i, j in enumerate(jobs)
+        # A side of many languages takes fewer of each, so a machine's rows stay bounded, but one at least.
+        sides = [(i, lang, sign, max(1, int(rows_per_language * min(1.0, 2.0 / len(names))))) for i, j in enumerate(jobs)
                  for sign, names in ((1, j[2]), (-1, j[3])) for lang in names]
-        pairs = sample.sparkSession.createDataFrame(sides, "job int, lang string, sign int, portion double")
+        pairs = sample.sparkSession.createDataFrame(sides, "job int, lang string, sign int, most int")
 
         def learn(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(["lang", "vector"]).groupby("lang").head(rows_per_language)
+            rows = rows.sort_values(["lang", "place"])
             x = np.frombuffer(b"".join(rows["vector"]), dtype=np.float16).reshape(len(rows), -1).astype(np.float32)
             weights = train(x, rows["sign"].to_numpy().astype(np.float64))
             return pd.DataFrame({"job": [key[0]], "weights": [weights.tobytes()]})
 
-        learned = sample.join(pairs, "lang").filter("draw < portion").groupBy("job").applyInPandas(learn, "job int, weights binary")
+        learned = sample.join(pairs, "lang").filter("place <= most").groupBy("job").applyInPandas(learn, "job int, weights binary")
         for row in learned.collect():
             models[jobs[row["job"]][:2]] = np.frombuffer(row["weights"], dtype=np.float32)
     return {"langs": langs, "families": families, "models": models}

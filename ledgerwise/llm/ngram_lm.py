@@ -69,6 +69,16 @@ def squeeze(columns: list[np.ndarray]) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
+def halves(counts: np.ndarray) -> list[np.ndarray]:
+    """64-bit counts as two 32-bit columns."""
+    wide = counts.astype(np.int64)
+    return [wide & 0xFFFFFFFF, wide >> 32]
+
+
+def joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.int64) | high.astype(np.int64) << 32
+
+
 def unsqueeze(blob: bytes, columns: int) -> list[np.ndarray]:
     import zstandard
 
@@ -348,8 +358,8 @@ def write_bigrams(blocks: DataFrame, facts: dict) -> dict:
             arrays["p"] = code(np.log10((pair + mu * vocabulary.unigram(vocabulary.counts(second))) / (own + mu)))
             arrays["weight"] = code(np.log10(mu / (pair + mu)))
             write_arrays(f"{folder}/bigrams-{shard}", arrays, low=low, contexts=int(first[-1]) - low + 1, levels=levels)
-            block = np.frombuffer(squeeze([c[real], n[real]]), dtype=np.uint8)
-            heads_block = np.frombuffer(squeeze([second, children, np.minimum(pair, 2**32 - 1)]), dtype=np.uint8)
+            block = np.frombuffer(squeeze([c[real], *halves(n[real])]), dtype=np.uint8)
+            heads_block = np.frombuffer(squeeze([second, children, *halves(pair)]), dtype=np.uint8)
             write_arrays(f"{folder}/trigram-counts-{shard}", {"trigrams": block, "bigrams": heads_block})
             last = int(len(first) - words[-1])
             yield pa.RecordBatch.from_pylist([{
@@ -459,8 +469,9 @@ def write_trigrams(spark: SparkSession, facts: dict) -> None:
         for batch in batches:
             for shard in batch.column("shard").to_pylist():
                 given = mapped(f"{folder}/trigram-counts-{shard}")
-                third, n = unsqueeze(given["trigrams"].tobytes(), 2)
-                second, children, pair = unsqueeze(given["bigrams"].tobytes(), 3)
+                third, *n = unsqueeze(given["trigrams"].tobytes(), 3)
+                second, children, *pair = unsqueeze(given["bigrams"].tobytes(), 4)
+                n, pair = joined(*n), joined(*pair)
                 context = np.repeat(np.arange(len(second)), children)
                 tail = np.repeat(second.astype(np.int64), children) << 32 | third
                 distinct, back = np.unique(tail, return_inverse=True)

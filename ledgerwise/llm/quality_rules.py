@@ -147,20 +147,30 @@ def bounds(sketch: DataFrame) -> DataFrame:
     return wide.groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(*columns)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column has it; Spark does not tell cases apart."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def judge(measured: DataFrame, name: str = "quality", verdict: str = "kept") -> DataFrame:
     """``measured`` with the verdict: base rule passed and every measure within its group's bounds.
 
     The bounds are written first, so that Spark knows their size: it broadcasts them while they are
-    small, without dealing out the texts, and else splits the partitions of a hot source.
+    small, without dealing out the texts, and else splits the partitions of a hot source. They are one
+    struct beside the documents' columns, whatever those are called.
     """
-    limits = written(bounds(sketches(measured, name)), "quality-bounds")
-    q = F.col(name)
-    on = (q["lang"] == limits["_lang"]) & (q["source"] == limits["_source"])
+    limits = free_name(measured, f"{name}_bounds")
+    found = written(bounds(sketches(measured, name)), "quality-bounds").select(F.struct("*").alias(limits))
+    q, least = F.col(name), F.col(limits)
+    on = (q["lang"] == least["_lang"]) & (q["source"] == least["_source"])
     inside = ~q["base_failed"]
     for m in SLACK:
-        inside = inside & F.coalesce(q[m].between(limits[f"min_{m}"], limits[f"max_{m}"]), F.lit(True))
+        inside = inside & F.coalesce(q[m].between(least[f"min_{m}"], least[f"max_{m}"]), F.lit(True))
     # Bounds belong to documents that passed, so a failed one may have no partner.
-    return measured.join(limits, on, "left").select(*[F.col(c) for c in measured.columns], inside.alias(verdict))
+    return measured.join(found, on, "left").select(*[F.col(f"`{c}`") for c in measured.columns], inside.alias(verdict))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
@@ -174,6 +184,6 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their columns as they were."""
-    name, verdict = "_quality_measures", "_quality_kept"
+    name, verdict = free_name(docs, "_quality_measures"), free_name(docs, "_quality_kept")
     measured = written(measure(docs, name), "quality")
     return judge(measured, name, verdict).filter(verdict).select(*docs.columns)

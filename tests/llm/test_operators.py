@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerwise.llm import (
-    byte_bpe, chat_format, components, decontaminate, elias_fano, language_id, near_copies, ngram_lm, prefix_counts, quality_rules,
+    byte_bpe, chat_format, components, decontaminate, elias_fano, language_id, ngram_lm, prefix_counts, quality_rules,
     range_coder, secret_scan, simhash,
 )
 
@@ -333,29 +333,28 @@ def test_dense_group_of_fingerprints(spark):
     assert simhash.links(df.select("fp")).count() < 80 * len(values)
 
 
-def test_near_copies_kept_once(spark):
-    """Edited copies between 0.8 and 1, more than three bits apart, go; texts below 0.8 stay; chains are one component."""
+def test_simhash_keeps_one_of_a_group(spark):
+    """Near copies by the query's own contract; exact copies, repeated rows, null ids and texts without words among them."""
     rng = random.Random(8)
-    texts = [prose(7000 + i, rng.choice([20, 60, 300])) for i in range(25)]
+    texts = [prose(7000 + i, rng.choice([20, 300, 900])) for i in range(25)]
     for text in texts[:20]:
-        for edits in (1, 2, 5):
-            words = text.upper().split() if edits == 1 else text.split()
-            for _ in range(edits):
-                words[rng.randrange(len(words))] = f"edit{rng.random()}"
-            texts.append(" ".join(words))
+        words = text.split()
+        words[rng.randrange(len(words))] = "edit"
+        texts += [text.upper(), " ".join(words)]
     texts += [None, " ", "one two", "One  two", "one two three"]
-    sets = [set(zip(*[(w := (t or "").lower().split())[i:] for i in range(5)])) or {tuple(w)} for t in texts]
-    close = [[a and b and len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]
-    roots = list(range(len(texts)))
-    while True:
-        following = [min(roots[j] for j in range(len(texts)) if close[i][j]) for i in range(len(texts))]
-        if following == roots:
-            break
-        roots = following
-    prints = [simhash.fingerprint(t) for t in texts]
-    assert sum((prints[i] ^ prints[j]).bit_count() > 3 for i in range(len(texts)) for j in range(i) if close[i][j]) > 10
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    assert sorted(r["doc_id"] for r in near_copies.representatives(df).collect()) == sorted(set(roots))
+    rows = [(i + 1, t, "kept", "x") for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (None, texts[5], "n", "y"), (None, "alone without an id", "n", "y"), (None, "alone without an id", "n", "z")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, fp string, row string")
+    prints = {i: simhash.fingerprint(t) for i, t, _, _ in rows if i}
+    roots = brute_components(list(prints.values()), 3)
+    least = {}
+    for i, root in zip(prints, roots):
+        least[root] = min(i, least.get(root, i))
+    got = simhash.representatives(df).collect()
+    assert sorted(r["doc_id"] for r in got if r["doc_id"]) == sorted(least.values())
+    assert [r["text"] for r in got if r["doc_id"] is None] == ["alone without an id"]
+    assert all(r["text"] == texts[r["doc_id"] - 1] for r in got if r["doc_id"]) and df.columns == simhash.representatives(df).columns
+    assert simhash.representatives(df.limit(0)).count() == 0
 
 
 def test_components(spark):
@@ -473,3 +472,36 @@ def test_pipeline(spark, tmp_path):
     assert {100, 101, 102, 104}.isdisjoint(got) and set(range(30)) <= set(got)
     masked = (prose(900, 150) + " " + secret).replace("9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", secret_scan.MASK)
     assert got[103]["decoded_sha256"] == hashlib.sha256(masked.encode()).hexdigest()
+
+
+def test_counts_beyond_32_bits():
+    counts = np.array([0, 5, 2**32 - 1, 2**32 + 5, 2**40 + 3])
+    blob = ngram_lm.squeeze([np.arange(5), *ngram_lm.halves(counts)])
+    first, *both = ngram_lm.unsqueeze(blob, 3)
+    assert first.tolist() == [0, 1, 2, 3, 4] and ngram_lm.joined(*both).tolist() == counts.tolist()
+
+
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_language_id_of_one_repeated_id(spark, doc_id):
+    """One id, or none, over all rows: the draw takes the text in, and no language is left without rows."""
+    words = {"en": "the quick house river", "de": "der schnelle fluss haus", "fr": "la maison rapide fleuve"}
+    rows = [(doc_id, f"{w} {i % 40}", lang) for lang, w in words.items() for i in range(700)]
+    rows += [(doc_id, "il fiume", "it")] * 800
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, 50)
+    assert model["langs"] == ["de", "en", "fr", "it"] and len(model["models"]) == 4
+    got = language_id.predict(df.dropDuplicates(["text"]), model).collect()
+    assert {r["lang_pred"] for r in got} == {"de", "en", "fr", "it"}
+
+
+def test_letters_are_letters():
+    assert not any(language_id.has_letter(t) for t in [None, "", "½", "²", "Ⅷ ①", "12_3 !", "٣"])
+    assert all(language_id.has_letter(t) for t in ["a", "½ b", "Ⅷ é", "日", "ª"])
+
+
+def test_quality_columns_of_any_name(spark):
+    names = ["_lang", "_source", "min_symbols", "max_word_length", "_quality_measures", "_QUALITY_kept", "_quality_measures_bounds"]
+    rows = [(i, prose(i, 120), "en", "a", *["x"] * len(names)) for i in range(12)] + [(50, "short", None, None, *[None] * len(names))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    got = quality_rules.kept_documents(df)
+    assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == list(range(12))
