@@ -8,7 +8,7 @@ Parquet in the shared folder and reads it again for the next one.
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerwise.llm import byte_bpe, decontaminate, near_copies, quality_rules, secret_scan
+from ledgerwise.llm import byte_bpe, decontaminate, quality_rules, secret_scan, simhash
 from ledgerwise.llm.common import drop_written, written
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays: five-word shingles, similarity of 0.8 or more."""
-    return near_copies.representatives(docs)
+    """One document of each SimHash component stays: three-word shingles, links at three bits or fewer."""
+    return simhash.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ STAGES = [
     ("secret_scan", secrets),
     ("byte_bpe", token_ids),
 ]
-#: Near copies, the forest and byte-pair merges are beyond SQL; tests hold the stages against brute force.
+#: Fingerprints, the forest and byte-pair merges are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
