@@ -21,7 +21,8 @@ components.
 
 Edge cases: a null or blank text has fingerprint zero and links like any other; texts of one or two words are one
 shingle; repeated rows are copies; rows with a null id take part and get the component's smallest id,
-null if it has none; an empty table gives an empty table. Other columns are not read by ``near_duplicates``.
+null if it has none; an empty table gives an empty table. Other columns are not read by ``near_duplicates``
+and are kept by ``representatives``.
 """
 
 from collections.abc import Iterator
@@ -306,8 +307,17 @@ def near_duplicates(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies; for stages, whose rule is that of ``near_copies``, not the query's bits."""
-    from . import near_copies
-
-    return near_copies.representatives(docs)
+def representatives(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+    """One document of each component, one with the smallest id; columns as they were.
+
+    Of repeated rows of that id one stays; of a component without any id, one row stays. Rows are numbered when they are
+    written, so what stays is a list of numbers and texts move once."""
+    fp, row = "_simhash_fp", "_simhash_row"
+    marked = with_fingerprints(docs.withColumn("text", F.col("text").cast("string")), fp)
+    rows = written(marked.withColumn(row, F.monotonically_increasing_id()), "simhash")
+    narrow = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(fp).alias("fp"), row)
+    found = groups(narrow, bits).filter("fp = kept_fp").select("fp")
+    first = narrow.groupBy("fp").agg(F.min_by(row, F.coalesce("doc_id", F.lit(2**63 - 1))).alias(row))
+    kept = written(found.join(first, "fp").select(row), "simhash-kept")
+    # The list grows with the documents, so it is dealt out at every size and never broadcast.
+    return rows.join(kept.hint("shuffle_hash"), row, "left_semi").select(*docs.columns)
