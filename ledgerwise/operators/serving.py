@@ -146,6 +146,18 @@ def answer(df: DataFrame, evidence: DataFrame, max_rows: int = P.MAX_ANSWER_ROWS
     return Answer(df.columns, bounded_rows(df, max_rows), evidence.head().asDict(recursive=True))
 
 
+def capped(df: DataFrame, max_rows: int = P.MAX_ANSWER_ROWS) -> DataFrame:
+    """The answer as a table that fails as a whole, whenever it is read, if it has a row too many.
+
+    Spark gathers one row beyond the ceiling at most; in that one partition rows are numbered as they come, and the
+    number after the last admitted one is an error.
+    """
+    name = "_answer_row"
+    numbered = df.limit(max_rows + 1).coalesce(1).withColumn(name, F.monotonically_increasing_id())
+    too_many = F.raise_error(F.lit(f"the answer has over {max_rows} rows; ask for fewer"))
+    return numbered.filter(F.when(F.col(name) < max_rows, F.lit(True)).otherwise(too_many.cast("boolean"))).drop(name)
+
+
 def with_coverage(df: DataFrame, evidence: DataFrame) -> DataFrame:
     """The answer rows with the coverage fields on each, for answers that stay tables."""
     fields = evidence.select(F.struct("*")).scalar()

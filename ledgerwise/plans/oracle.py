@@ -329,6 +329,13 @@ totals AS (
 )"""
 
 
+# The policy texts of the report, joined by spaces.
+_POLICIES = (
+    "The recorded amount converted at the stated rate wins over the list price. "
+    "An account is described by its latest accepted invoice on or before the as-of date. "
+    "An account counts as active unless that invoice says churned. "
+    "Mean recurring revenue and churn are taken over all modeled accounts, churned ones included."
+)
 _MEAN_MRR = """SELECT region, CAST(sum(mrr_usd_cents) AS BIGINT) AS mrr_cents, count(*) AS accounts,
  CAST((2 * sum(mrr_usd_cents) + count(*)) // (2 * count(*)) AS BIGINT) AS mean_mrr_cents FROM acc GROUP BY region"""
 _CHURN = """SELECT plan, CAST(sum(churned) AS BIGINT) AS churned_accounts, count(*) AS accounts,
@@ -386,8 +393,39 @@ _VIOLATIONS = " UNION ALL ".join([
     "SELECT 'accounts.snapshot_invoice_id known', count(*) FROM acc WHERE snapshot_invoice_id NOT IN (SELECT invoice_id FROM inv)",
 ])
 
+def _digest(source: str, columns: list[str]) -> str:
+    """A sum of row hashes; columns by name, unit separators between them, a record separator for NULL."""
+    row = "concat_ws(chr(31), " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(30))" for c in sorted(columns)) + ")"
+    return f"(SELECT CAST(coalesce(sum(CAST('0x' || md5({row})[1:15] AS HUGEINT)), 0) AS VARCHAR) FROM ({source}))"
+
+
+_LEDGER_COLUMNS = ("invoice_id account_id account_name contact_email region industry plan billing_cycle seats currency amount "
+                   "discount_pct status payment_method signup_date invoice_date churned csat_score support_tickets").split()
+_DIGESTS = {
+    "raw_records": _digest("SELECT *, trim(invoice_id) AS record_id FROM raw_ledger", ["source_row", "record_id", *_LEDGER_COLUMNS]),
+    "invoices": _digest(
+        f"SELECT {_INVOICE_COLUMNS}, contact_email FROM inv",
+        "invoice_id account_id account_name region plan billing_cycle seats currency amount_local amount_usd_cents discount_pct status "
+        "invoice_date signup_date churned csat_score industry contact_email payment_method support_tickets source_row".split()),
+    "accounts": _digest(
+        f"SELECT {_ACCOUNT_COLUMNS} FROM acc",
+        "account_id account_name region plan seats discount_pct churned csat_score snapshot_invoice_id snapshot_date as_of mrr_usd_cents "
+        "net_revenue_usd_cents snapshot_uncertain".split()),
+    "invoice_sources": _digest("SELECT invoice_id, source_row FROM judged WHERE accepted", ["invoice_id", "source_row"]),
+    "quarantine": _digest(
+        "SELECT grp AS invoice_id, CASE WHEN all_clean THEN 'conflicting_variants' ELSE 'invalid_variant' END AS reason, n_rows, "
+        "CAST(min_cents AS BIGINT) AS alternative_net_revenue_min_cents, CAST(max_cents AS BIGINT) AS alternative_net_revenue_max_cents "
+        "FROM grps WHERE NOT accepted",
+        ["invoice_id", "reason", "n_rows", "alternative_net_revenue_min_cents", "alternative_net_revenue_max_cents"]),
+    "record_verdicts": _digest(
+        "SELECT g.grp AS invoice_group, j.invoice_id, j.source_row, j.account_id, g.n_rows, g.accepted, CASE WHEN NOT g.accepted THEN j.reason END AS reason, "
+        "CAST(g.min_cents AS BIGINT) AS min_cents, CAST(g.max_cents AS BIGINT) AS max_cents FROM judged j JOIN grps g ON g.grp = j.grp",
+        ["invoice_group", "invoice_id", "source_row", "account_id", "n_rows", "accepted", "reason", "min_cents", "max_cents"]),
+    "quarantine_rows": _digest(
+        "SELECT grp AS invoice_id, source_row, account_id, reason FROM judged WHERE NOT accepted", ["invoice_id", "source_row", "account_id", "reason"]),
+}
 _PUBLISHED_COUNTS = " UNION ALL ".join(
-    f"SELECT '{name}' AS table_name, count(*) AS n_rows, CAST(sum({value}) AS BIGINT) AS content FROM {source}"
+    f"SELECT '{name}' AS table_name, count(*) AS n_rows, CAST(sum({value}) AS BIGINT) AS content, {_DIGESTS.get(name, 'NULL')} AS digest FROM {source}"
     for name, value, source in [
         ("raw_records", "source_row", "raw_ledger"), ("normalized", "amount_usd_cents", "typed"), ("groups", "n_rows", "grps"),
         ("invoices", "amount_usd_cents", "inv"), ("record_verdicts", "source_row", "judged"),
@@ -546,6 +584,11 @@ ORACLE: dict[str, str] = {
     + f"SELECT m.*, as_of AS coverage_as_of, accepted_invoices AS coverage_accepted_invoices, "
     "modeled_accounts AS coverage_modeled_accounts, quarantined_invoice_groups AS coverage_quarantined_invoice_groups "
     f"FROM ({_MEAN_MRR}) m, coverage",
+    "capped_answer": _with(*_ACC, ISSUES, _coverage(None))
+    + "SELECT m.*, as_of AS coverage_as_of, accepted_invoices AS coverage_accepted_invoices, "
+    "modeled_accounts AS coverage_modeled_accounts, quarantined_invoice_groups AS coverage_quarantined_invoice_groups, "
+    "(SELECT string_agg(code || '=' || n, ',' ORDER BY code) FROM (SELECT code, count(*) AS n FROM all_issues GROUP BY code)) AS coverage_warning_counts, "
+    f"'{_POLICIES}' AS coverage_provisional_policies FROM ({_MEAN_MRR.replace('region', 'plan')}) m, coverage",
     "display_accounts": _with(*_ACC)
     + "SELECT account_id, '$' || CASE WHEN n < 0 THEN '-' ELSE '' END || format('{:,}', abs(n) // 100) || '.' "
     "|| lpad(CAST(abs(n) % 100 AS VARCHAR), 2, '0') AS net_revenue_usd, "

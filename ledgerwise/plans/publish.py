@@ -1,10 +1,15 @@
-"""Ledger import: build all tables in a new run folder, check them, then make the run current."""
+"""Ledger import: build all tables in a new run folder, check them, then make the run current.
+
+A run becomes current by entry n + 1 of the log, a file that is put there only if it is absent: of two imports that began
+at entry n one fails. With every run goes a manifest, rows and content digest of each table, by which a changed cell is found.
+"""
 
 import uuid
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from ..session import prepare, remove_folder
 from ..sources.ledger_csv import read_ledger, source_files, source_sha256
@@ -16,32 +21,95 @@ PUBLISHED = [
 ]
 
 
+_BETWEEN, _NOTHING = chr(31), chr(30)
+
+
+def _text(value: Column, kind: DataType) -> Column:
+    if isinstance(kind, ArrayType):
+        parts = F.transform(value, lambda x: _text(x, kind.elementType))
+        found = F.concat(F.lit("["), F.array_join(parts, _BETWEEN), F.lit("]"))
+    elif isinstance(kind, StructType):
+        parts = [_text(value[f.name], f.dataType) for f in kind.fields]
+        found = F.when(value.isNotNull(), F.concat(F.lit("("), F.concat_ws(_BETWEEN, *parts), F.lit(")")))
+    else:
+        found = value.cast("string")
+    return F.coalesce(found, F.lit(_NOTHING))
+
+
+def digest_of(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """An aggregate: a sum of row hashes over all columns by name, the same in any order of the rows."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    row = F.concat_ws(_BETWEEN, *[_text(F.col(c), kinds[c]) for c in sorted(columns or df.columns)])
+    hashed = F.conv(F.substring(F.md5(row.cast("binary")), 1, 15), 16, 10).cast("decimal(20,0)")
+    return F.coalesce(F.sum(hashed), F.lit(0)).cast("string").alias("digest")
+
+
+def manifest(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, n_rows and digest of each table."""
+    rows = [df.agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"), digest_of(df)) for name, df in sorted(tables.items())]
+    result = rows[0]
+    for row in rows[1:]:
+        result = result.unionByName(row)
+    return result
+
+
+def _entries(spark: SparkSession, folder: str) -> list[str]:
+    """The names in the log; they count up."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/log")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.listStatus(path) if files.exists(path) else []
+    return sorted(n for n in (entry.getPath().getName() for entry in found) if n.isdigit())
+
+
+def _append(spark: SparkSession, folder: str, run: str, number: int) -> None:
+    """Put entry ``number`` into the log unless it is there; the entry appears with its content or not at all."""
+    hadoop = spark._jvm.org.apache.hadoop
+    name, draft = f"{folder}/log/{number:020d}", f"{folder}/runs/{run}/entry"
+    spark.createDataFrame([(run,)], "run string").coalesce(1).write.text(draft)
+    written = hadoop.fs.Path(draft)
+    files = written.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(s.getPath() for s in files.listStatus(written) if s.getPath().getName().startswith("part-"))
+    files.mkdirs(hadoop.fs.Path(f"{folder}/log"))
+    keep = spark._sc._gateway.new_array(getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+    context = hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(files.makeQualified(part), files.makeQualified(hadoop.fs.Path(name)), keep)
+    except Exception as error:
+        if files.exists(hadoop.fs.Path(name)):
+            raise ValueError(f"another import became entry {number} of the log meanwhile") from error
+        raise
+
+
 def publish(
     spark: SparkSession, raw: DataFrame, folder: str, as_of: str | None = None, sha256: str | None = None
 ) -> Ledger:
-    """Write every table under a new run, check all constraints, then append the run to the log.
+    """Write every table under a new run, check all constraints, then put the run into the log.
 
-    The log append is one small file and the last step: a reader sees the previous run until then,
-    and an import that fails anywhere before leaves it current.
+    The log entry is one small file and the last step: a reader sees the previous run until then,
+    and an import that fails anywhere before, or is overtaken by another one, leaves it current.
     """
     if as_of is not None:
         as_of = date.fromisoformat(as_of).isoformat()
     prepare(spark)
+    entries = _entries(spark, folder)
+    number = int(entries[-1]) + 1 if entries else 1
     run = uuid.uuid4().hex
+    saved: dict[str, DataFrame] = {}
 
     def save(label: str, df: DataFrame) -> DataFrame:
         path = f"{folder}/runs/{run}/{label}"
         df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        saved[label] = spark.read.schema(df.schema).parquet(path)
+        return saved[label]
 
     ledger = Ledger(raw, as_of, save, None if sha256 is None else F.lit(sha256))
     try:
         _check(ledger, as_of)
+        manifest({name: saved[name] for name in PUBLISHED}).coalesce(1).write.parquet(f"{folder}/runs/{run}/manifest")
+        _append(spark, folder, run, number)
     except Exception:
         remove_folder(spark, f"{folder}/runs/{run}")
         raise
-    entry = spark.range(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("published_at"))
-    entry.coalesce(1).write.mode("append").parquet(f"{folder}/log")
     return ledger
 
 
@@ -65,11 +133,22 @@ def import_csv(spark: SparkSession, path: str, folder: str, as_of: str | None =
 
 
 def current_run(spark: SparkSession, folder: str) -> str:
-    latest = spark.read.parquet(f"{folder}/log").orderBy(F.desc("published_at"), F.desc("run")).head()
-    return f"{folder}/runs/{latest['run']}"
+    """The folder of the run that the last log entry names."""
+    entries = _entries(spark, folder)
+    if not entries:
+        raise ValueError("nothing has been published here")
+    return f"{folder}/runs/{spark.read.text(f'{folder}/log/{entries[-1]}').head()['value']}"
 
 
-def read_published(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """All tables of the current run."""
+def read_published(spark: SparkSession, folder: str, verify: bool = False) -> dict[str, DataFrame]:
+    """All tables of the current run. ``verify`` reads them once and fails if one is not what was published."""
     run = current_run(spark, folder)
-    return {name: spark.read.parquet(f"{run}/{name}") for name in PUBLISHED}
+    tables = {name: spark.read.parquet(f"{run}/{name}") for name in PUBLISHED}
+    if verify:
+        found = manifest(tables).select("table_name", F.struct("n_rows", "digest").alias("found"))
+        given = spark.read.parquet(f"{run}/manifest").select("table_name", F.struct("n_rows", "digest").alias("given"))
+        changed = found.join(given, "table_name", "full_outer").filter(~F.col("found").eqNullSafe(F.col("given")))
+        names = [r["table_name"] for r in changed.orderBy("table_name").collect()]
+        if names:
+            raise ValueError("published tables have changed: " + ", ".join(names))
+    return tables

@@ -17,7 +17,7 @@ from ..sources import ledger_csv
 from ..sources.tables import derived_ledger, derived_prompts, table
 from . import metrics as M
 from .ledger import Ledger, stage_shared
-from .publish import PUBLISHED, current_run, publish, read_published
+from .publish import PUBLISHED, current_run, digest_of, publish, read_published
 
 AS_OF = "1998-06-30"
 PERIOD = ("1997-01-01", "1998-01-01")
@@ -246,6 +246,18 @@ def answer_with_coverage(spark, folder):
     return serving.with_coverage(M.mean_mrr(ledger.snapshots), evidence)
 
 
+def capped_answer(spark, folder):
+    """An answer under the ceiling on rows, with the six coverage fields on each row."""
+    ledger = _staged(spark, folder)
+    evidence = quality.coverage_evidence(ledger.report)
+    shown = serving.with_coverage(serving.capped(M.mean_mrr(ledger.snapshots, "plan")), evidence)
+    counts = F.transform(F.array_sort(F.map_entries("coverage_warning_counts")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return shown.withColumns({
+        "coverage_warning_counts": F.array_join(counts, ","),
+        "coverage_provisional_policies": F.array_join("coverage_provisional_policies", " "),
+    })
+
+
 def display_accounts(spark, folder):
     shown = M.account_ranking(_lazy(spark, folder).snapshots).select(
         "account_id",
@@ -347,8 +359,16 @@ def ledger_csv_rows(spark, folder):
     )
 
 
+# The columns a digest covers, where it is not all: those of nested type are left to the manifest.
+DIGESTED = {
+    "raw_records": None, "invoices": None, "accounts": None, "invoice_sources": None, "quarantine": None,
+    "record_verdicts": ["invoice_group", "invoice_id", "source_row", "account_id", "n_rows", "accepted", "reason", "min_cents", "max_cents"],
+    "quarantine_rows": ["invoice_id", "source_row", "account_id", "reason"],
+}
+
+
 def published_tables(spark, folder):
-    """Publish the ledger, read the current run back; per table its rows and the sum of one telling column."""
+    """Publish the ledger and read the current run back; per table its rows, a sum and a digest of the content."""
     tables = read_published(spark, _published(spark, folder))
     summed = {
         "raw_records": "source_row", "normalized": "amount_usd_cents", "groups": "n_rows", "invoices": "amount_usd_cents",
@@ -357,12 +377,11 @@ def published_tables(spark, folder):
         "account_marks": "mrr_usd_cents", "accounts": "net_revenue_usd_cents", "quality_issues": "source_row",
         "report": "accepted_subtotal_cents",
     }
-    counts = [
-        tables[name].agg(
-            F.lit(name).alias("table_name"), F.count("*").alias("n_rows"), F.sum(summed[name]).cast("bigint").alias("content")
-        )
-        for name in PUBLISHED
-    ]
+    counts = []
+    for name in PUBLISHED:
+        digest = digest_of(tables[name], DIGESTED[name]) if name in DIGESTED else F.lit(None).cast("string").alias("digest")
+        counts.append(tables[name].agg(
+            F.lit(name).alias("table_name"), F.count("*").alias("n_rows"), F.sum(summed[name]).cast("bigint").alias("content"), digest))
     result = counts[0]
     for count in counts[1:]:
         result = result.unionByName(count)
@@ -417,6 +436,7 @@ QUERIES: dict[str, Query] = {
     "curated_invoices": curated_invoices,
     "curated_accounts": curated_accounts,
     "answer_with_coverage": answer_with_coverage,
+    "capped_answer": capped_answer,
     "display_accounts": display_accounts,
     "answer_regression": answer_regression,
     "ledger_csv_rows": ledger_csv_rows,

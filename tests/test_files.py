@@ -10,6 +10,7 @@ from conftest import golden_records, record
 from pyspark.sql import functions as F
 
 from ledgerwise.operators import serving
+from ledgerwise.plans import publish as publishing
 from ledgerwise.plans.publish import import_csv, read_published
 from ledgerwise.policies import LEDGER_COLUMNS
 from ledgerwise.sources import ledger_csv
@@ -150,6 +151,42 @@ def test_import_and_failed_import(spark, tmp_path):
     assert read_published(spark, audit_only)["accounts"].count() == 0
 
 
+def test_changed_cells_and_overtaken_imports_are_found(spark, tmp_path, monkeypatch):
+    good, out = write(tmp_path / "good.csv", golden_records()), str(tmp_path / "out")
+    import_csv(spark, good, out)
+    first = publishing.current_run(spark, out)
+    assert publishing.read_published(spark, out, verify=True)["invoices"].count() == 8
+    check = publishing._check
+
+    def overtaken(ledger, as_of):
+        check(ledger, as_of)
+        monkeypatch.setattr(publishing, "_check", check)
+        import_csv(spark, good, out, as_of="2024-01-31")
+
+    monkeypatch.setattr(publishing, "_check", overtaken)
+    with pytest.raises(ValueError, match="another import"):
+        import_csv(spark, good, out)
+    second = publishing.current_run(spark, out)
+    assert second != first and len(list((tmp_path / "out" / "log").glob("0*"))) == 2
+    assert len(list((tmp_path / "out" / "runs").iterdir())) == 2
+    table = spark.read.parquet(f"{second}/invoices")
+    changed = table.withColumn("csat_score", F.when(F.col("invoice_id") == "I2", 5).otherwise(F.col("csat_score")))
+    moved = changed.orderBy(F.desc("invoice_id")).collect()
+    spark.createDataFrame(moved, table.schema).write.mode("overwrite").parquet(f"{second}/invoices")
+    with pytest.raises(ValueError, match="changed: invoices"):
+        publishing.read_published(spark, out, verify=True)
+
+
+def test_capped_answers_fail_as_a_whole(spark):
+    rows = spark.range(0, 1000, 1, 8)
+    assert serving.capped(rows.limit(100)).count() == 100
+    assert [r["id"] for r in serving.capped(rows.orderBy(F.desc("id")).limit(3), 3).collect()] == [999, 998, 997]
+    assert serving.capped(rows.limit(0)).count() == 0
+    for answer in (serving.capped(rows), serving.capped(rows.limit(101)), serving.capped(rows.orderBy("id"), 0)):
+        with pytest.raises(Exception, match="ask for fewer"):
+            answer.write.format("noop").mode("overwrite").save()
+
+
 @pytest.fixture(scope="module")
 def curated(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("curated")
