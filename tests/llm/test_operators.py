@@ -257,6 +257,22 @@ def test_chat(spark):
     assert chat_format.digests(chat_format.format_conversations(df.limit(0))).count() == 0
 
 
+def test_chat_with_one_turn_number(spark, tmp_path):
+    """One conversation whose turns all have no number, many of them equal: rows stay small, nothing is lost."""
+    rows = [(5, None, ["user", "assistant"][i % 2], f"say {i % 700}" if i % 3 else "same") for i in range(9000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    chat_format.format_conversations(df).write.parquet(str(tmp_path / "prefixes"))
+    formatted = spark.read.parquet(str(tmp_path / "prefixes"))
+    chat_format.examples(formatted).write.parquet(str(tmp_path / "examples"))
+    expanded = spark.read.parquet(str(tmp_path / "examples"))
+    assert formatted.agg(F.max(F.size("segments"))).head()[0] <= chat_format.BLOCK and expanded.count() == 4500
+    got = chat_format.digests(formatted, expanded).head()
+    turns = sorted((r[2], r[3]) for r in rows)
+    said, loss = "".join(f"{r}\n{t}\n" for r, t in turns), "".join(t for r, t in turns if r == "assistant")
+    assert (got["n_turns"], got["turns_sha256"]) == (9000, hashlib.sha256(said.encode()).hexdigest())
+    assert (got["loss_chars"], got["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 def brute_components(values, bits):
     parent = list(range(len(values)))
 
