@@ -17,7 +17,10 @@ sorting, and candidates are verified on the whole fingerprints.
 Only different fingerprints take part: copies meet in the aggregation before. Candidates under one
 key are compared in arrays inside a task and merged there at once, so a key that holds a large group
 leaves edges in proportion to its fingerprints, not to their pairs, while no link is lost for the
-components.
+components. A key with more than ``LARGE_GROUP`` rows is not compared in its task, nor held there: its rows go
+to a further round under finer keys. Of four parts of the bits that are not known to be equal yet, one is
+equal wherever three bits differ at most, so a row gets four keys, and three quarters of those bits go on.
+Sixteen such bits are left after five rounds at most, which leaves 65,536 fingerprints a group.
 
 Edge cases: a null or blank text has fingerprint zero and links like any other; texts of one or two words are one
 shingle; repeated rows are copies; rows with a null id take part and get the component's smallest id,
@@ -46,6 +49,9 @@ SEGMENTS = [(42, 22), (21, 21), (0, 21)]
 GENERATOR = 0b101011100011
 RADIUS = 4
 SMALL_GROUP = 64
+LARGE_GROUP = 1 << 15
+#: Bits not known to be equal at which a group is compared whatever its size.
+FEW_BITS = 16
 _FLIP = np.uint64(1 << 63)
 
 
@@ -257,33 +263,112 @@ def links_of(key: np.ndarray, fp: np.ndarray, near: np.ndarray, bits: int, fores
         shift += 1
 
 
-def links(fingerprints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
-    """a, b: edges whose components are those of all links between fingerprints."""
-    if bits > MAX_BITS:
-        raise ValueError("the keys are complete for up to three differing bits")
-    keyed = fuzzy_keys(fingerprints).repartition("key").sortWithinPartitions("key")
+def _mixed(*parts: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of several 64-bit arrays."""
+    value = np.zeros(len(parts[-1]), dtype=np.uint64)
+    for part in parts:
+        value = (value ^ part.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        value ^= value >> np.uint64(29)
+    return value.view(np.int64)
+
+
+def finer_keys(large: DataFrame) -> DataFrame:
+    """key, fp, near, mask: rows of large groups under four keys each, ``mask`` with the bits that may still differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest()
-        held: list[list[np.ndarray]] = [[], [], []]
         for batch in batches:
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "near")]
+            fp, key, near, masks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "near", "mask"))
+            for mask in np.unique(masks).tolist():
+                rows = np.flatnonzero(masks == mask)
+                places = [bit for bit in range(64) if mask >> bit & 1]
+                for part in np.array_split(places, MAX_BITS + 1):
+                    equal = np.array([sum(1 << int(bit) for bit in part)], dtype=np.uint64).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(_mixed(key[rows], equal.repeat(len(rows)), fp[rows] & equal)), pa.array(fp[rows]),
+                        pa.array(near[rows]), pa.array((mask & ~equal).repeat(len(rows))),
+                    ], names=["key", "fp", "near", "mask"])
+
+    return large.mapInArrow(run, "key bigint, fp bigint, near boolean, mask bigint")
+
+
+def _compared(keyed: DataFrame, bits: int, limit: int) -> DataFrame:
+    """Edges a, b with a null ``mask``, and the rows of large groups: a is the fingerprint, b the key."""
+    schema, names = "a bigint, b bigint, near boolean, mask bigint", keyed.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, held, passed = Forest(), [], None
+
+        def rows(key, fp, near, mask) -> Iterator[pa.RecordBatch]:
+            if len(key):
+                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(key), pa.array(near), pa.array(mask)], names=["a", "b", "near", "mask"])
+
+        def finish(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """Link the whole groups given; rows of large ones are passed on."""
+            key = columns[0]
+            if len(key):
+                starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                sizes = np.diff(np.append(starts, len(key)))
+                large = np.repeat(sizes > limit, sizes) & (np.bitwise_count(columns[3].view(np.uint64)) > FEW_BITS)
+                yield from rows(*[c[large] for c in columns])
+                links_of(*[c[~large] for c in columns[:3]], bits, forest)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            if len(columns) == 3:
+                columns.append(np.full(batch.num_rows, -1, dtype=np.int64))
+            if passed is not None:
+                # The key of a large group goes on.
+                cut = int(np.searchsorted(columns[0], passed, side="right"))
+                yield from rows(*[c[:cut] for c in columns])
+                columns = [c[cut:] for c in columns]
+                if not len(columns[0]):
+                    continue
+                passed = None
             # The last key of a batch may go on in the next one.
-            cut = int(np.searchsorted(columns[0], columns[0][-1], side="left")) if batch.num_rows else 0
+            cut = int(np.searchsorted(columns[0], columns[0][-1], side="left"))
             if cut:
-                links_of(*[np.concatenate(h + [c[:cut]]) for h, c in zip(held, columns)], bits, forest)
-                held = [[c[cut:]] for c in columns]
+                yield from finish([np.concatenate(c) for c in zip(*held, [c[:cut] for c in columns])])
+                held = [[c[cut:] for c in columns]]
             else:
-                held = [h + [c] for h, c in zip(held, columns)]
-        if held[0]:
-            links_of(*[np.concatenate(h) for h in held], bits, forest)
+                held.append(columns)
+            if sum(len(h[0]) for h in held) > limit:
+                columns = [np.concatenate(c) for c in zip(*held)]
+                cut = int(np.searchsorted(columns[0], columns[0][-1], side="left"))
+                yield from finish([c[:cut] for c in columns])
+                held = [[c[cut:] for c in columns]]
+                if len(columns[0]) - cut > limit and int(np.bitwise_count(columns[3][-1:].view(np.uint64))[0]) > FEW_BITS:
+                    yield from rows(*held.pop())
+                    passed = columns[0][-1]
+        if held:
+            yield from finish([np.concatenate(c) for c in zip(*held)])
         found = [(x, forest.root(x)) for x in list(forest.parent)]
         found = [(x, r) for x, r in found if x != r]
         for start in range(0, len(found), 100_000):
             a, b = zip(*found[start : start + 100_000])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.bool_()), pa.nulls(len(a), pa.int64())],
+                names=["a", "b", "near", "mask"])
+
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+
 
-    return keyed.mapInArrow(run, "a bigint, b bigint")
+def links(fingerprints: DataFrame, bits: int = MAX_BITS, limit: int = LARGE_GROUP) -> DataFrame:
+    """a, b: edges whose components are those of all links between fingerprints.
+
+    Groups of over ``limit`` rows go to finer keys, in at most five further rounds; each round ends in a table.
+    """
+    if bits > MAX_BITS:
+        raise ValueError("the keys are complete for up to three differing bits")
+    found = written(_compared(fuzzy_keys(fingerprints), bits, limit), "links")
+    edges = found.filter("mask IS NULL").select("a", "b")
+    large = found.filter("mask IS NOT NULL")
+    while not large.isEmpty():
+        found = written(_compared(finer_keys(large), bits, limit), "links")
+        edges = edges.unionByName(found.filter("mask IS NULL").select("a", "b"))
+        large = found.filter("mask IS NOT NULL")
+    return edges
 
 
 def groups(rows: DataFrame, bits: int = MAX_BITS) -> DataFrame:

@@ -289,6 +289,27 @@ def brute_components(values, bits):
     return [root(i) for i in range(len(values))]
 
 
+@pytest.mark.parametrize("limit", [300, 6000, 1 << 15])
+def test_simhash_large_group(spark, limit):
+    """Fingerprints of one key, sparsely linked: finer keys give the components of a brute-force search."""
+    rng = np.random.default_rng(4)
+    n = 20_000
+    second = np.uint64(int(simhash.nearest(np.array([0]))[0]))
+    flip = np.uint64(1) << rng.integers(0, 21, n).astype(np.uint64)
+    second = np.where(rng.random(n) < 0.9, flip ^ second, second).astype(np.uint64)
+    fps = np.unique(np.uint64(77) << np.uint64(42) | second << np.uint64(21) | rng.integers(0, 1 << 21, n).astype(np.uint64))
+    forest = simhash.Forest()
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 3).tolist():
+            forest.join(int(fps[i]), int(fps[i + 1 + j]))
+    df = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp bigint")
+    found = simhash.Forest()
+    for row in simhash.links(df, limit=limit).collect():
+        found.join(row["a"], row["b"])
+    want = [forest.root(int(f)) for f in fps]
+    assert len(set(want)) > 100 and [found.root(int(f)) for f in fps] == want
+
+
 def test_simhash_fingerprints():
     import xxhash
 
