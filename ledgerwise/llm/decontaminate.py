@@ -97,6 +97,22 @@ class Suffixes:
             high[rows[~right]] = middle[~right]
 
 
+class Shard:
+    """Documents as word numbers, each with a zero behind it; words are held once, as keys of ``number``."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self.documents: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, words: list[bytes]) -> None:
+        number = self.number
+        ids = np.zeros(len(words) + 1, dtype=np.int32)
+        ids[:-1] = [number.setdefault(w, len(number) + 1) for w in words]
+        self.documents.append(ids)
+        self.size += len(ids)
+
+
 class Benchmark:
     """A slice of the benchmark: its items' words, and where each window begins."""
 
@@ -117,14 +133,10 @@ class Benchmark:
         self.place = np.array(self.place, dtype=np.int64)
         self.length = np.array([len(w) for w in words], dtype=np.int64)
 
-    def matches(self, documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def matches(self, shard: "Shard") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places in the shard, their windows, and the ends of the documents in it."""
-        number: dict[bytes, int] = {}
-        parts = [np.fromiter((number.setdefault(w, len(number) + 1) for w in words + [b""]), np.int32, len(words) + 1)
-                 for words in documents]
-        # The empty word ends a document; words can't be empty, so its number is free to become zero.
+        number, parts = shard.number, shard.documents
         ids = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
-        ids[ids == number.get(b"", 0)] = 0
         ends = np.cumsum([len(p) for p in parts])
         # A word that no document has sorts after all of theirs and is equal to none.
         unseen = len(number) + 2
@@ -140,13 +152,13 @@ class Benchmark:
         within = np.arange(len(windows)) - np.repeat(np.cumsum(counts[hit]) - counts[hit], counts[hit])
         return suffixes.order[first + within], windows, ends
 
-    def judge(self, documents: list[list[bytes]]) -> list[dict]:
+    def judge(self, shard: "Shard") -> list[dict]:
         """Per document: words, words hit, items found, and its longest verbatim matches."""
-        places, windows, ends = self.matches(documents)
-        result = [{"n_words": len(words), "n_hit": 0, "items": [], "matches": []} for words in documents]
+        places, windows, ends = self.matches(shard)
+        result = [{"n_words": len(ids) - 1, "n_hit": 0, "items": [], "matches": []} for ids in shard.documents]
         if not len(places):
             return result
-        starts = ends - np.array([len(words) + 1 for words in documents])
+        starts = ends - np.array([len(ids) for ids in shard.documents])
         change = np.zeros(int(ends[-1]) + 1, dtype=np.int64)
         np.add.at(change, places, 1)
         np.add.at(change, places + self.length[windows], -1)
@@ -201,26 +213,25 @@ def _annotate(docs: DataFrame, items: list, name: str, window: int, shard_words:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = Benchmark(sent.value, window)
 
-        def judged(held: list[pa.RecordBatch], words: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
-            found, at = test.judge(words), 0
+        def judged(held: list[pa.RecordBatch], shard: Shard) -> Iterator[pa.RecordBatch]:
+            found, at = test.judge(shard), 0
             for batch in held:
                 yield with_columns(batch, **{name: pa.array(found[at : at + batch.num_rows], _ARROW)})
                 at += batch.num_rows
 
-        held, words, size = [], [], 0
+        held, shard = [], Shard()
         for batch in batches:
             # A batch is cut where a shard is full, so a shard has one document beyond its size at most.
             first = 0
             for i, text in enumerate(batch.column("text").to_pylist()):
-                words.append(words_of(text))
-                size += len(words[-1]) + 1
-                if size >= shard_words:
-                    yield from judged(held + [batch.slice(first, i + 1 - first)], words)
-                    held, words, size, first = [], [], 0, i + 1
+                shard.add(words_of(text))
+                if shard.size >= shard_words:
+                    yield from judged(held + [batch.slice(first, i + 1 - first)], shard)
+                    held, shard, first = [], Shard(), i + 1
             if first < batch.num_rows:
                 held.append(batch.slice(first))
         if held:
-            yield from judged(held, words)
+            yield from judged(held, shard)
 
     return append_columns(docs, f"`{name}` {RESULT}", run)
 
