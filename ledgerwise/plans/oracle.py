@@ -227,15 +227,23 @@ judged AS (
 )"""
 
 
-def _accounts(as_of: str | None) -> str:
-    day = "(SELECT max(invoice_date) FROM inv)" if as_of is None else f"DATE '{as_of}'"
-    changed = " || ".join(
+def _changed() -> str:
+    return " || ".join(
         f"CASE WHEN count(DISTINCT {column}) > 1 THEN '{name},' ELSE '' END"
         for name, column in [
             ("account_name", "account_name"), ("churned", "churned"),
             ("discount_pct", "discount_text"), ("plan", "plan"), ("region", "region"), ("seats", "seats"),
         ]
     )
+
+
+_MRR = (
+    "CAST(CASE WHEN h.churned = 1 THEN 0 ELSE round(CAST(h.price * h.seats AS DECIMAL(13,0)) * CAST(100 - h.discount AS DECIMAL(24,21))) END AS BIGINT)"
+)
+
+
+def _accounts(as_of: str | None) -> str:
+    day = "(SELECT max(invoice_date) FROM inv)" if as_of is None else f"DATE '{as_of}'"
     return f"""
 hist AS (
   SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY invoice_date DESC, invoice_id) AS rn,
@@ -244,7 +252,7 @@ hist AS (
 ),
 acc_facts AS (
   SELECT account_id, CAST(sum(contribution) AS BIGINT) AS net,
-    rtrim({changed}, ',') AS changed_fields,
+    rtrim({_changed()}, ',') AS changed_fields,
     CAST(count(*) FILTER (WHERE invoice_date = last_date) > 1 AS INTEGER) AS tie
   FROM hist GROUP BY account_id
 ),
@@ -252,7 +260,7 @@ acc AS (
   SELECT h.account_id, h.account_name, h.region, h.plan, CAST(h.seats AS INTEGER) AS seats,
     h.discount_text, h.churned, h.csat_score, h.invoice_id AS snapshot_invoice_id,
     h.invoice_date AS snapshot_date, {day} AS as_of,
-    CAST(CASE WHEN h.churned = 1 THEN 0 ELSE round(CAST(h.price * h.seats AS DECIMAL(13,0)) * CAST(100 - h.discount AS DECIMAL(24,21))) END AS BIGINT) AS mrr_usd_cents,
+    {_MRR} AS mrr_usd_cents,
     f.net AS net_revenue_usd_cents, f.changed_fields, f.tie,
     CAST(q.account_id IS NOT NULL AS INTEGER) AS quarantined,
     CAST(f.changed_fields <> '' OR f.tie = 1 OR q.account_id IS NOT NULL AS INTEGER) AS snapshot_uncertain,
@@ -263,6 +271,24 @@ acc AS (
 )"""
 
 
+# One model per month's end, each over all invoices up to it.
+_MONTHLY = f"""
+month_ends AS (
+  SELECT CAST(last_day(unnest(generate_series(
+    (SELECT date_trunc('month', min(invoice_date)) FROM inv), (SELECT date_trunc('month', max(invoice_date)) FROM inv), INTERVAL 1 MONTH))) AS DATE) AS as_of
+),
+month_hist AS (
+  SELECT m.as_of, i.*, row_number() OVER (PARTITION BY m.as_of, account_id ORDER BY invoice_date DESC, invoice_id) AS rn,
+    max(invoice_date) OVER (PARTITION BY m.as_of, account_id) AS last_date
+  FROM month_ends m JOIN inv i ON i.invoice_date <= m.as_of
+),
+month_facts AS (
+  SELECT as_of, account_id, CAST(sum(contribution) AS BIGINT) AS net, rtrim({_changed()}, ',') AS changed_fields,
+    CAST(count(*) FILTER (WHERE invoice_date = last_date) > 1 AS INTEGER) AS tie
+  FROM month_hist GROUP BY as_of, account_id
+)"""
+
+
 ISSUES = """
 issues AS (
   SELECT p.source_row, p.field,
@@ -536,6 +562,10 @@ ORACLE: dict[str, str] = {
     "FROM judged j LEFT JOIN errors e ON e.source_row = j.source_row WHERE NOT accepted GROUP BY ALL",
     "account_snapshots": _with(*_ACC) + f"SELECT {_ACCOUNT_COLUMNS} FROM acc",
     "account_snapshots_asof": _with(*_ACC_ASOF) + f"SELECT {_ACCOUNT_COLUMNS} FROM acc",
+    "account_snapshot_history": _with(*_INV, _MONTHLY)
+    + "SELECT h.as_of, h.account_id, h.account_name, h.region, h.plan, CAST(h.seats AS INTEGER) AS seats, h.discount_text AS discount_pct, h.churned, "
+    f"h.csat_score, h.invoice_id AS snapshot_invoice_id, h.invoice_date AS snapshot_date, {_MRR} AS mrr_usd_cents, f.net AS net_revenue_usd_cents, "
+    "f.changed_fields, f.tie FROM month_hist h JOIN month_facts f ON f.as_of = h.as_of AND f.account_id = h.account_id WHERE h.rn = 1",
     "account_uncertainty": _with(*_ACC)
     + "SELECT account_id, changed_fields, tie, quarantined, snapshot_uncertain FROM acc",
     "coverage_report": _with(*_INV, _coverage(None)) + "SELECT * FROM totals",

@@ -125,6 +125,13 @@ def account_snapshots_asof(spark, folder):
     return _texts(_staged(spark, folder, AS_OF).accounts)
 
 
+def account_snapshot_history(spark, folder):
+    """The snapshots of all accounts at every month's end, from one pass over the invoices."""
+    invoices = _staged(spark, folder).invoices
+    history = A.snapshots_at(A.snapshot_intervals(invoices), A.month_ends(invoices))
+    return _accounts(history.withColumn("tie", F.col("latest_date_tie").cast("int")).drop("latest_date_tie"))
+
+
 def account_uncertainty(spark, folder):
     marked = _staged(spark, folder).marked
     return _accounts(marked).select(
@@ -413,6 +420,7 @@ QUERIES: dict[str, Query] = {
     "quarantine_rows": quarantine_rows,
     "account_snapshots": account_snapshots,
     "account_snapshots_asof": account_snapshots_asof,
+    "account_snapshot_history": account_snapshot_history,
     "account_uncertainty": account_uncertainty,
     "coverage_report": coverage_report,
     "coverage_report_asof": coverage_report_asof,

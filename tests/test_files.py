@@ -197,8 +197,10 @@ def curated(spark, tmp_path_factory):
 
 def test_curated_answers(curated):
     session, ledger = curated
-    sql = "WITH x AS (SELECT amount_usd_cents FROM invoices WHERE status = 'paid') SELECT sum(amount_usd_cents) AS c FROM x"
-    assert serving.bounded_rows(serving.curated_query(session, sql)) == [(271000,)]
+    sql = """WITH per_status AS (SELECT status, count(*) AS n, sum(amount_usd_cents) AS cents FROM invoices GROUP BY status),
+             waiting AS (SELECT n, cents FROM per_status WHERE status IN ('pending', 'failed'))
+             SELECT sum(w.n) AS invoices, sum(w.cents) AS exposure, (SELECT cents FROM per_status WHERE status = 'refunded') AS refunds FROM waiting w"""
+    assert serving.bounded_rows(serving.curated_query(session, sql)) == [(2, 24700, -4900)]
     sql = "SELECT strftime('%Y-%m', invoice_date) AS m, count(*) AS n FROM invoices GROUP BY 1 ORDER BY 1"
     assert serving.bounded_rows(serving.curated_query(session, sql)) == [("2024-01", 6), ("2024-02", 1), ("2024-03", 1)]
     evidence = ledger.report.select("as_of", "accepted_invoices")
@@ -215,8 +217,9 @@ def test_curated_answers(curated):
         "SELECT (WITH t AS (SELECT 1 AS a) SELECT max(a) FROM t) AS m FROM t", "SELECT * FROM IDENTIFIER('invoices')",
         "TRUNCATE TABLE accounts", "SET spark.sql.ansi.enabled=false", "CACHE TABLE invoices", "EXPLAIN SELECT 1", "SHOW TABLES",
         "INSERT INTO accounts SELECT * FROM accounts", "SELECT contact_email FROM invoices", "SELECT 1; SELECT 2", " ",
-        "SELECT 2 " + "-" * 12000, "SELECT transform(array(1), x -> x) AS y", "SELECT total(seats) FROM accounts", "SELECT version()",
-        "WITH RECURSIVE r(k) AS (SELECT 1 UNION ALL SELECT k + 1 FROM r WHERE k < 3) SELECT k FROM r",
+        "SELECT '" + "long text " * 1300 + "' AS t", "SELECT transform(array(1), x -> x) AS y", "SELECT total(seats) FROM accounts", "SELECT version()",
+        "WITH RECURSIVE chain(account_id, step) AS (SELECT account_id, 0 FROM accounts UNION ALL "
+        "SELECT a.account_id, step + 1 FROM chain c JOIN accounts a ON a.account_id > c.account_id) SELECT max(step) AS longest FROM chain",
     ],
 )
 def test_rejected_statements(curated, sql):

@@ -6,6 +6,7 @@ import pytest
 from conftest import golden_records, record
 from pyspark.sql import functions as F
 
+from ledgerwise.operators import accounts as A
 from ledgerwise.operators import audit, dedup, quality
 from ledgerwise.plans import metrics as M
 from ledgerwise.plans.ledger import Ledger
@@ -93,6 +94,15 @@ def test_as_of_snapshot(ledger):
     assert earlier.coverage.head()["invoices_after_as_of"] == 2
 
 
+def test_snapshot_history_equals_the_model_of_each_day(ledger):
+    days = ["2023-12-31", "2024-01-14", "2024-01-15", "2024-01-31", "2024-02-29", "2024-03-31", "2030-01-01"]
+    found = A.snapshots_at(A.snapshot_intervals(ledger.invoices), F.array(*[F.to_date(F.lit(d)) for d in days]))
+    columns = [c for c in found.columns if c != "changed_fields"] + ["changed_fields"]
+    got = sorted(map(tuple, found.select(*columns).collect()), key=str)
+    want = [tuple(r) for d in days for r in Ledger(ledger.raw, d).snapshots.select(*columns).collect()]
+    assert len(got) > 15 and got == sorted(want, key=str)
+
+
 def test_annual_billing_does_not_change_mrr(ledger):
     assert ledger.accounts.filter("account_id = 'A6'").head()["mrr_usd_cents"] == 13230
 
