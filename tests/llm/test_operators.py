@@ -273,6 +273,36 @@ def test_chat_with_one_turn_number(spark, tmp_path):
     assert (got["loss_chars"], got["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_chat_examples_hold_their_contexts(spark, tmp_path, monkeypatch):
+    """Every example read back from the output holds all turns before it, in long conversations all those of its row."""
+    monkeypatch.setattr(chat_format, "WHOLE_CHARS", 4000)
+    rows = [(c, t, ["user", "assistant"][(c + t) % 2], f"say [{c}] {t}") for c in range(40) for t in range(c % 9)]
+    rows += [(50, t, ["user", "assistant"][t % 2], f"long {t}") for t in range(300)]
+    rows += [(60, t, "assistant", "x" * 1500) for t in range(4)] + [(70, t, "assistant", "far") for t in (None, 3, 64, 200, 900)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    chat_format.format_conversations(df).write.parquet(str(tmp_path / "prefixes"))
+    formatted = spark.read.parquet(str(tmp_path / "prefixes"))
+    chat_format.examples(formatted).write.parquet(str(tmp_path / "examples"))
+    found = {}
+    for r in spark.read.parquet(str(tmp_path / "examples")).orderBy(F.col("block").asc_nulls_first(), "part", "position").collect():
+        found.setdefault(r["conv_id"], []).append(r)
+    for conv in {r[0] for r in rows}:
+        turns = sorted((r for r in rows if r[0] == conv), key=lambda r: -1 if r[1] is None else r[1])
+        formed = [f"[{role}]{text.replace('[', chr(92) + 'b').replace(']', chr(92) + 'c')}</s>" for _, _, role, text in turns]
+        said = [i for i, r in enumerate(turns) if r[2] == "assistant"]
+        got = found.get(conv, [])
+        assert len(got) == len(said) and all(r["whole"] == (conv not in (50, 60)) for r in got)
+        for i, r in zip(said, got):
+            before = "".join(formed[:i + 1])
+            assert r["text"] == before if r["whole"] else before.endswith(r["text"]) and r["text"].endswith(formed[i])
+            assert len(r["text"]) - len("</s>") == r["loss_start"] - 1 + r["loss_chars"]
+            if conv == 50:
+                assert r["text"].count("</s>") == r["position"] + 1
+    whole = {(r["conv_id"], r["block"], r["part"], r["position"]): r["context"] + r["target"] for r in chat_format.example_texts(formatted).collect()}
+    last = found[50][-1]
+    assert whole[50, last["block"], last["part"], last["position"]].count("</s>") == 300
+
+
 def brute_components(values, bits):
     parent = list(range(len(values)))
 
