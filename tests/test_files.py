@@ -177,6 +177,33 @@ def test_changed_cells_and_overtaken_imports_are_found(spark, tmp_path, monkeypa
         publishing.read_published(spark, out, verify=True)
 
 
+def test_manifest_sums_hashes_of_whole_rows(spark, tmp_path):
+    """The manifest's digest: one hash a row over typed cells, no text of the row; every cell counts, the order of rows does not."""
+    schema = "a string, b string, n bigint, s struct<x: string, y: struct<z: date>>, e array<struct<p: string, q: string>>, m map<string, bigint>"
+    rows = [("u", None, i, ("x", (None,)), [("p", None)], {"k": 1, "j": i}) for i in range(300)] + [(None, None, None, None, None, None)]
+
+    def found(rows):
+        return publishing.manifest({"t": spark.createDataFrame(rows, schema).repartition(3)}).head()["digest"]
+
+    first = found(rows)
+    assert first.startswith("xxh64:") and found(rows[::-1]) == first
+    others = [(None, "u", 0, ("x", (None,)), [("p", None)], {"k": 1, "j": 0}), ("u", None, 0, (None, (None,)), [("p", None)], {"k": 1, "j": 0}),
+              ("u", None, 0, ("x", None), [("p", None)], {"k": 1, "j": 0}), ("u", None, 0, ("x", (None,)), [(None, "p")], {"k": 1, "j": 0}),
+              ("u", None, 0, ("x", (None,)), [], {"k": 1, "j": 0}), ("u", None, 0, ("x", (None,)), None, {"k": 1, "j": 0}),
+              ("u", None, 0, ("x", (None,)), [("p", None)], {"k": 1, "j": 5}), ("u", "", 0, ("x", (None,)), [("p", None)], {"k": 1, "j": 0})]
+    assert len({first, *[found([other, *rows[1:]]) for other in others]}) == len(others) + 1
+    assert found([]) == "xxh64:0"
+    text = spark.createDataFrame([(f"t{i}", i) for i in range(500)], "w string, n bigint")
+    digest = sum(int(hashlib.md5(f"{i}\x1ft{i}".encode()).hexdigest()[:15], 16) for i in range(500))
+    assert text.agg(publishing.digest_of(text)).head()[0] == str(digest)
+    # A run published with digests of the former kind can still be verified.
+    good, out = write(tmp_path / "good.csv", golden_records()), str(tmp_path / "out")
+    import_csv(spark, good, out)
+    run = publishing.current_run(spark, out)
+    publishing.manifest(read_published(spark, out), publishing.digest_of).write.mode("overwrite").parquet(f"{run}/manifest")
+    assert read_published(spark, out, verify=True)["invoices"].count() == 8
+
+
 def test_capped_answers_fail_as_a_whole(spark):
     rows = spark.range(0, 1000, 1, 8)
     assert serving.capped(rows.limit(100)).count() == 100
