@@ -9,7 +9,7 @@ from collections.abc import Callable
 from datetime import date
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
@@ -123,18 +123,20 @@ def publish(
     entries = _entries(spark, folder)
     number = int(entries[-1]) + 1 if entries else 1
     run = uuid.uuid4().hex
-    saved: dict[str, DataFrame] = {}
+    entry: dict[str, Observation] = {}
 
     def save(label: str, df: DataFrame) -> DataFrame:
-        path = f"{folder}/runs/{run}/{label}"
-        df.write.parquet(path)
-        saved[label] = spark.read.schema(df.schema).parquet(path)
-        return saved[label]
+        # The manifest's entry is summed over the rows as they are written, so no table is read again for it.
+        path, entry[label] = f"{folder}/runs/{run}/{label}", Observation()
+        df.observe(entry[label], F.count(F.lit(1)).alias("n_rows"), content_sum(df)).write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
 
     ledger = Ledger(raw, as_of, save, None if sha256 is None else F.lit(sha256))
     try:
         _check(ledger, as_of)
-        manifest({name: saved[name] for name in PUBLISHED}).coalesce(1).write.parquet(f"{folder}/runs/{run}/manifest")
+        found = [(name, entry[name].get["n_rows"], entry[name].get["digest"]) for name in sorted(PUBLISHED)]
+        made = spark.createDataFrame(found, "table_name string, n_rows bigint, digest string")
+        made.coalesce(1).write.parquet(f"{folder}/runs/{run}/manifest")
         _append(spark, folder, run, number)
     except Exception:
         remove_folder(spark, f"{folder}/runs/{run}")
