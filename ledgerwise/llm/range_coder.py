@@ -101,21 +101,23 @@ def _guesses(ids: np.ndarray, slots: np.ndarray) -> np.ndarray:
     """For every position the entry a decoder would find in the slot: the id that followed last time,
     and above 16 bits how often in a row the slot was right. Found by sorting, all positions at once."""
     n, size = ids.shape
-    key = np.sort((slots << _BLOCK_BITS | np.arange(size)).astype(np.uint32), axis=1)
-    place = ((key & BLOCK - 1) + np.arange(n, dtype=np.int64)[:, None] * size).ravel()
-    value = ids.ravel()[place]
+    key = np.sort(slots << _BLOCK_BITS | np.arange(size, dtype=np.int32), axis=1)
+    place = ((key & BLOCK - 1) + np.arange(0, n * size, size)[:, None]).ravel()
+    value = ids.ravel().take(place)
     group = key >> _BLOCK_BITS
     follows = np.zeros((n, size), dtype=bool)
-    follows[:, 1:] = group[:, 1:] == group[:, :-1]
+    np.equal(group[:, 1:], group[:, :-1], out=follows[:, 1:])
     follows = follows.ravel()[1:]
-    guess = np.zeros(len(value), dtype=np.int64)
-    guess[1:] = value[:-1] * follows
+    found = np.zeros(len(value), dtype=np.int32)
+    np.multiply(value[:-1], follows, out=found[1:])
     once, twice, often = (np.zeros(len(value), dtype=bool) for _ in range(_SURE))
-    once[1:] = follows & (value == guess)[:-1]
-    twice[1:] = once[1:] & once[:-1]
-    often[1:] = twice[1:] & twice[:-1]
-    entry = np.empty(len(value), dtype=np.int64)
-    entry[place] = guess + ((once.astype(np.int64) + twice + often) << 16)
+    np.logical_and(follows, (value == found)[:-1], out=once[1:])
+    np.logical_and(once[1:], once[:-1], out=twice[1:])
+    np.logical_and(twice[1:], twice[:-1], out=often[1:])
+    sure = once.view(np.int8) + twice.view(np.int8) + often.view(np.int8)
+    found += sure.astype(np.int32) << 16
+    entry = np.empty(len(value), dtype=np.int32)
+    entry[place] = found
     return entry.reshape(n, size)
 
 
@@ -124,59 +126,64 @@ class _Earlier:
 
     def __init__(self, ids: np.ndarray):
         n, size = ids.shape
-        key = np.sort((ids << _BLOCK_BITS | np.arange(size)).astype(np.uint32), axis=1)
-        self.position = (key & BLOCK - 1).ravel()
-        place = (self.position + np.arange(n, dtype=np.int64)[:, None].repeat(size, 1).ravel() * size)
+        key = np.sort((ids.astype(np.uint32) << _BLOCK_BITS) | np.arange(size, dtype=np.uint32), axis=1)
+        position = key & BLOCK - 1
+        place = (position + np.arange(0, n * size, size)[:, None]).ravel()
+        self.position = position.astype(np.int16).ravel()
         value = key >> _BLOCK_BITS
         new = np.ones((n, size), dtype=bool)
-        new[:, 1:] = value[:, 1:] != value[:, :-1]
+        np.not_equal(value[:, 1:], value[:, :-1], out=new[:, 1:])
         starts = np.flatnonzero(new)
-        group = np.empty(n * size, dtype=np.int64)
-        group[place] = np.cumsum(new.ravel()) - 1
-        self.group, self.bounds = group.reshape(n, size), np.append(starts, n * size)
+        self.group = np.empty(n * size, dtype=np.int64)
+        self.group[place] = np.cumsum(new.ravel()) - 1
+        self.bounds = np.append(starts, n * size)
 
-    def find(self, seen: int, row: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First place and number of places among the ``seen`` first ids, in ascending order, of the ids at the given positions."""
-        upto = np.zeros(len(self.position) + 1, dtype=np.int64)
+    def find(self, seen: int, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First place and number of places among the ``seen`` first ids, in ascending order, of the ids at the given places."""
+        upto = np.zeros(len(self.position) + 1, dtype=np.int32)
         np.cumsum(self.position < seen, out=upto[1:])
-        upto = upto[self.bounds]
-        group = self.group[row, position]
-        first = upto[group]
-        return first - row * seen, upto[group + 1] - first
+        upto = upto.take(self.bounds)
+        count = np.diff(upto)
+        group = self.group.take(at)
+        return upto.take(group) - row * seen, count.take(group)
 
 
 def _plan(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begin and width of every id's interval, one row per position. All ids are known here, so a whole
     chunk between two renewals is looked up at once."""
     n, size = ids.shape
-    wide = ids.astype(np.int64)
-    last = np.zeros((n, size + 2), dtype=np.int64)
+    wide = ids.astype(np.int32)
+    last = np.zeros((n, size + 2), dtype=np.int32)
     last[:, 2:] = wide
     slots1, slots2 = _slots(last[:, 1:-1], last[:, :-2])
     entry1, entry2 = _guesses(wide, slots1), _guesses(wide, slots2)
     guess1, guess2 = entry1 & 0xFFFF, entry2 & 0xFFFF
-    state = (entry2 >> 14 & 12) + (entry1 >> 16) + ((guess1 == guess2) << 4) + (np.arange(n) * _STATES)[:, None]
-    kind12 = np.where(wide == guess2, 0, np.where(wide == guess1, 1, 3))
-    earlier = _Earlier(wide)
+    state = ((entry2 >> 14 & 12) + (entry1 >> 16) + ((guess1 == guess2).view(np.int8) << 4)).astype(np.int64)
+    state += np.arange(0, n * _STATES, _STATES)[:, None]
+    not2 = wide != guess2
+    kinds = not2.view(np.int8) * (1 + 2 * (wide != guess1).view(np.int8))
+    earlier, wide = _Earlier(ids), wide.ravel()
     begin, width = np.empty((n, size), dtype=np.int64), np.empty((n, size), dtype=np.int64)
     shares = Shares(n)
     for start, end in _chunks(size):
-        kind = kind12[:, start:end]
-        missed = np.nonzero(kind == 3)
-        first, count = earlier.find(start, missed[0], missed[1] + start)
-        known = count > 0
-        kind[missed] = 3 - known
-        packed = shares.table(start)[state[:, start:end]]
+        kind, states = np.ascontiguousarray(kinds[:, start:end]), np.ascontiguousarray(state[:, start:end])
+        packed = shares.table(start).take(states)
         end2, end1 = (packed & 8191) << _UNIT_BITS, (packed >> 13 & 8191) << _UNIT_BITS
-        begin[:, start:end] = np.where(kind == 0, 0, end2)
-        width[:, start:end] = np.where(kind == 0, end2, end1 - end2)
-        packed = packed[missed]
+        miss2 = not2[:, start:end]
+        chunk_begin, chunk_width = end2 * miss2, np.where(miss2, end1 - end2, end2)
+        missed = np.flatnonzero(kind == 3)
+        row = missed // (end - start)
+        at = missed + row * (size - end + start) + start
+        first, count = earlier.find(start, row, at)
+        known = count > 0
+        kind.ravel()[missed] = 3 - known
+        packed = packed.ravel().take(missed)
         end0 = packed >> 26 & 8191
         unit = np.where(known, packed >> 39, _SHARES - end0)
-        at = missed[0], missed[1] + start
-        begin[at] = np.where(known, end1[missed], end0 << _UNIT_BITS) + unit * np.where(known, first, wide[at])
-        width[at] = unit * np.where(known, count, 1)
-        shares.add(state[:, start:end], kind)
+        chunk_begin.ravel()[missed] = np.where(known, end1.ravel().take(missed), end0 << _UNIT_BITS) + unit * np.where(known, first, wide.take(at))
+        chunk_width.ravel()[missed] = unit * np.where(known, count, 1)
+        begin[:, start:end], width[:, start:end] = chunk_begin, chunk_width
+        shares.add(states, kind)
     return begin.T, width.T
 
 
@@ -357,7 +364,8 @@ class WordEncoder:
     """
 
     # Letters that neither normal forms nor lower-casing turn into anything else, then marks that start no ending.
-    _WORD_AND_MARKS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@[-`{-~]*)")
+    _WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+    _MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
     # The steps of such a tokenizer, and the end of the pattern it cuts by.
     _STEPS = ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
     _CUTS = "|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -389,10 +397,18 @@ class WordEncoder:
     def _learn(self, chunks: list[str]) -> None:
         """Add new chunks to the known ones."""
         known = self.known
-        parts = {c: found.groups() for c in chunks if (found := self._WORD_AND_MARKS.fullmatch(c))} if self.plain else {}
-        self._ask(list({*(c for c in chunks if c not in parts), *(marks for _, marks in parts.values())}.difference(known)))
-        for chunk, (word, marks) in parts.items():
-            word = word.lower()
+        parts, others, marks_of, plain_word = [], set(), self._MARKS, self._WORD.fullmatch
+        for chunk in chunks:
+            word = chunk.rstrip(marks_of)
+            # The pattern is only asked about words with letters beyond ASCII.
+            if self.plain and (word.isalpha() if word.isascii() else plain_word(word)):
+                marks = chunk[len(word) :]
+                parts.append((chunk, word.lower(), marks))
+                others.add(marks)
+            else:
+                others.add(chunk)
+        self._ask(list(others.difference(known)))
+        for chunk, word, marks in parts:
             ids = known.get(word)
             if ids is None:
                 ids = known[word] = self._word(word)

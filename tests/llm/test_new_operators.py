@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerwise.llm import chunk_recipes, fill_middle, orchard
+from ledgerwise.llm import chunk_recipes, fill_middle, orchard, range_coder
 
 SCHEMA = "doc_id bigint, text string, n string, form string, row string, recipe string"
 TEXTS = [None, "", "\n", "\n\n\n", "one line", "a\nb\nc\n", "a\nb\nc", "é\n日本\n🙂🙃\nx\n", "日本語 テキスト", "with <P> inside\nand more\n",
@@ -202,3 +202,18 @@ def test_search_skips_centroids():
     every = ((points[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
     assert (at == every.argmin(axis=1)).all() and (best == every.min(axis=1)).all()
     assert measured < 0.7 * every.size
+
+
+def test_slots_are_foreseen_as_a_decoder_fills_them():
+    """Entries of all positions at once, in 32 bits, are those a table holds that is filled one id after the other."""
+    numbers = np.random.default_rng(5)
+    for ids in (numbers.integers(0, 3, (4, 500)), numbers.integers(65530, 65536, (3, 300)), np.zeros((2, 40), np.int64), np.full((1, 1), 7)):
+        slots = numbers.integers(0, 5, ids.shape).astype(np.int32)
+        found = range_coder._guesses(ids.astype(np.int32), slots)
+        assert found.dtype == np.int32
+        for row, places, entries in zip(ids.tolist(), slots.tolist(), found.tolist()):
+            table = {}
+            for value, slot, entry in zip(row, places, entries):
+                assert entry == table.get(slot, 0)
+                guess, sure = entry & 0xFFFF, entry >> 16
+                table[slot] = value | min(sure + 1, 3) << 16 if value == guess else value
