@@ -16,7 +16,8 @@ batches of sorted n-grams.
 
 Jobs: count words (pre-aggregated in tasks), write the vocabulary; count trigrams (sorted and merged in
 tasks, shuffled as compressed blocks), write the bigram level; look up each trigram's tail there and
-write the trigram level; score. Everything grows with the corpus; nothing is capped. The driver holds one row
+write the trigram level; score. Arrow cuts the texts; each chunk of them looks every different word up once and
+sorts n-grams as packed places among its ids. Everything grows with the corpus; nothing is capped. The driver holds one row
 per shard.
 
 Edge cases: a null text is empty, and an empty text is its end token alone; unknown words have no
@@ -25,16 +26,16 @@ repeated rows count each time; without training texts every token is unknown; an
 empty table; other columns are not read.
 """
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_folder
-from .common import LOWER_BYTES, drop_written, id_and_text, remainder, remove_folder, written
+from .common import LOWER_BYTES, drop_written, id_and_text, remainder, remove_folder, slices, written
 from .elias_fano import EliasFano
 from .store import mapped, write_arrays
 
@@ -43,16 +44,55 @@ STEP = 1 / 4096
 SEED = 42
 SHARD_TOKENS = 1_500_000
 SHARD_WORDS = 1 << 19
-CHUNK_TOKENS = 750_000
-WORD_LIMIT = 300_000
+# Bytes of text handled at once: where words are counted, and where they are looked up.
+COUNTED_BYTES = 6_000_000
+CHUNK_BYTES = 3_000_000
+# Columns are sorted as one integer while they fit into so many bits.
+KEY_BITS = 63
 UNKNOWN, BEGIN, END, FIRST = 0, 1, 2, 3
 FOLDS, HELD_OUT = 5, 1
 
 
 def tokens(text: str | None) -> list[bytes]:
+    """The words of one text; ``Words`` cuts whole columns in the same way."""
     return text.encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split() if text else []
 
 
+class Words:
+    """The words of some texts, cut and told apart by Arrow: the different words, the number of each
+    token's word among them, and the tokens of each text."""
+
+    def __init__(self, texts: pa.Array):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary())
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        ends = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        # White space at the ends of a text leaves empty words.
+        empty = pc.index(words, pa.scalar(b"", pa.binary())).as_py()
+        if empty >= 0:
+            real = codes != empty
+            ends = np.append(0, np.cumsum(real))[ends]
+            codes = codes[real]
+            codes -= codes > empty
+            words = pa.concat_arrays([words[:empty], words[empty + 1 :]])
+        self.words, self.codes, self.sizes = words, codes, np.diff(ends)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``size`` bytes of text; a longer text goes alone."""
+    held, so_far = [], 0
+    for batch in batches:
+        for some in slices(batch, size):
+            held.append(some)
+            so_far += pc.sum(pc.binary_length(some.column("text"))).as_py() or 0
+            if so_far >= size // 2:
+                yield pa.concat_batches(held)
+                held, so_far = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def code(log10: np.ndarray) -> np.ndarray:
     return np.minimum(np.rint(-log10 / STEP), 65535).astype(np.uint16)
 
@@ -65,7 +105,7 @@ def squeeze(columns: list[np.ndarray]) -> bytes:
     """32-bit columns by byte planes, compressed."""
     import zstandard
 
-    planes = [np.ascontiguousarray(c, dtype="<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns]
+    planes = [np.ascontiguousarray(c, dtype="<u4").view(np.uint8)[k::4].copy() for c in columns for k in range(4)]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
@@ -99,22 +139,65 @@ def runs(*columns: np.ndarray) -> np.ndarray:
 
 def merge(a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     """Sorted different trigrams with their summed counts."""
-    known = np.unique(np.concatenate([a, b, c]))
-    bits = max(1, int(len(known)).bit_length())
-    if 3 * bits <= 63:
-        a, b, c = (np.searchsorted(known, x) for x in (a, b, c))
-        packed = a << (2 * bits) | b << bits | c
+    if not len(a):
+        return [a, b, c, n]
+    columns, known = [], []
+    for column in (a, b, c):
+        low = int(column.min())
+        columns.append(column - low)
+        known.append(low)
+    widths = [int(column.max()).bit_length() for column in columns]
+    # Ids of a column that is too wide for one key with the others become places among its different ids.
+    while sum(widths) > KEY_BITS and any(np.isscalar(k) for k in known):
+        widest = max((i for i in range(3) if np.isscalar(known[i])), key=widths.__getitem__)
+        ids, columns[widest] = np.unique(columns[widest], return_inverse=True)
+        known[widest] = ids + known[widest]
+        widths[widest] = (len(ids) - 1).bit_length()
+    if sum(widths) > KEY_BITS:
+        order = np.lexsort(columns[::-1])
+        heads = runs(*(column[order] for column in columns))
+        parts = [column[order[heads]] for column in columns]
+    else:
+        packed = columns.pop(0)
+        for width in widths[1:]:
+            packed <<= width
+            packed |= columns.pop(0)
         order = np.argsort(packed)
-        packed, n = packed[order], n[order]
+        packed = packed[order]
         heads = runs(packed)
-        kept, low = packed[heads], (1 << bits) - 1
-        parts = [known[kept >> (2 * bits)], known[kept >> bits & low], known[kept & low]]
-    else:
-        order = np.lexsort((c, b, a))
-        a, b, c, n = a[order], b[order], c[order], n[order]
-        heads = runs(a, b, c)
-        parts = [a[heads], b[heads], c[heads]]
-    return [*parts, np.add.reduceat(n, heads) if len(heads) else n]
+        kept = packed[heads]
+        parts = [kept >> widths[1] + widths[2], kept >> widths[2] & (1 << widths[1]) - 1, kept & (1 << widths[2]) - 1]
+    return [*(x + k if np.isscalar(k) else k[x] for x, k in zip(parts, known)), np.add.reduceat(n[order], heads, dtype=np.int64)]
+
+
+def count(known: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+    """Sorted different trigrams with their counts, from places in the sorted ids ``known``."""
+    bits = len(known).bit_length()
+    if 3 * bits > KEY_BITS:
+        return merge(known[a], known[b], known[c], np.ones(len(a), dtype=np.int64))
+    packed = a << (2 * bits)
+    packed |= b << bits
+    packed |= c
+    packed.sort()
+    heads = runs(packed)
+    n, kept, low = np.diff(heads, append=len(packed)), packed[heads], (1 << bits) - 1
+    return [known[kept >> (2 * bits)], known[kept >> bits & low], known[kept & low], n]
+
+
+def distinct(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys of up to ``bits`` bits, sorted, and the place of each key among them."""
+    place_bits = len(keys).bit_length()
+    if bits + place_bits > KEY_BITS:
+        return np.unique(keys, return_inverse=True)
+    ordered = keys << place_bits
+    ordered |= np.arange(len(keys))
+    ordered.sort()
+    place = ordered & (1 << place_bits) - 1
+    ordered >>= place_bits
+    heads = runs(ordered)
+    back = np.empty(len(keys), dtype=np.int64)
+    back[place] = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(keys)))
+    return ordered[heads], back
 
 
 class Vocabulary:
@@ -125,40 +208,43 @@ class Vocabulary:
         self.bases = np.array(facts["bases"], dtype=np.int64)
         self.files = [mapped(f"{facts['folder']}/vocabulary-{i}") for i in range(len(facts["bases"]))]
         self.spare = {bytes.fromhex(w): int(self.bases[i]) + at for i, f in enumerate(self.files) for w, at in f.facts["spare"]}
-        self.ids: dict[bytes, int] = {}
         self.texts, self.total, self.types = facts["texts"], facts["total"], facts["types"]
 
-    def find(self, words: list[bytes]) -> np.ndarray:
+    def find(self, words: pa.Array) -> np.ndarray:
         import xxhash
 
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
-        ids = np.zeros(len(words), dtype=np.int64)
+        names, hashed = words.to_numpy(zero_copy_only=False).tolist(), xxhash.xxh64_intdigest
+        hashes = np.fromiter([hashed(w, SEED) for w in names], np.uint64, len(names))
+        ids = np.zeros(len(names), dtype=np.int64)
+        # Shards are ranges of the hash; sorted, neighbours are found in the same pages.
+        order = np.argsort(hashes)
+        hashes = hashes[order]
         shard = shard_of_hash(hashes, len(self.files))
-        order = np.argsort(shard, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-            if len(rows):
-                file = self.files[shard[rows[0]]]
-                keys = file["hash"]
-                at = np.minimum(np.searchsorted(keys, hashes[rows]), max(0, len(keys) - 1))
-                hit = keys[at] == hashes[rows] if len(keys) else np.zeros(len(rows), dtype=bool)
-                ids[rows[hit]] = self.bases[shard[rows[0]]] + at[hit]
+        heads = runs(shard).tolist()
+        for head, tail in zip(heads, heads[1:] + [len(shard)]):
+            keys = self.files[shard[head]]["hash"]
+            if len(keys):
+                wanted = hashes[head:tail]
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                hit = keys[at] == wanted
+                ids[order[head:tail][hit]] = self.bases[shard[head]] + at[hit]
         if self.spare:
-            for i, w in enumerate(words):
+            for i, w in enumerate(names):
                 ids[i] = self.spare.get(w, ids[i])
         return ids
 
-    def of_texts(self, lists: list[list[bytes]]) -> list[np.ndarray]:
-        """Ids of the words of each text; a bounded cache keeps those met before."""
-        known = self.ids
-        missing = set().union(*lists).difference(known)
-        if missing:
-            if len(known) + len(missing) > WORD_LIMIT:
-                known.clear()
-                missing = set().union(*lists)
-            words = list(missing)
-            known.update(zip(words, self.find(words).tolist()))
-        get = known.__getitem__
-        return [np.fromiter(map(get, words), np.int64, len(words)) for words in lists]
+    def sequence(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all texts one after another, each between ``BEGIN`` and ``END``: the different ids, sorted,
+        every token's place among them, and the place of each text's beginning."""
+        found = np.concatenate([self.find(words.words), [BEGIN, END]])
+        known, rank = np.unique(found, return_inverse=True)
+        heads = np.cumsum(words.sizes + 2) - words.sizes - 2
+        inner = np.ones(len(words.codes) + 2 * len(heads), dtype=bool)
+        inner[heads] = inner[heads + words.sizes + 1] = False
+        ranks = np.empty(len(inner), dtype=np.int64)
+        ranks[inner] = rank[words.codes]
+        ranks[heads], ranks[heads + words.sizes + 1] = rank[-2:]
+        return known, ranks, heads
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         """Occurrences; of the end token the number of texts, of an unknown word none."""
@@ -187,18 +273,14 @@ def count_words(texts: DataFrame) -> DataFrame:
     """word, n: occurrences over all texts; the empty word counts the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(counts: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                counts.update(tokens(text))
-                counts[b""] += 1
-                if len(counts) >= WORD_LIMIT:
-                    yield rows(counts)
-                    counts = Counter()
-        yield rows(counts)
+        for batch in chunks(batches, COUNTED_BYTES):
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))
+            counted = lists.flatten().value_counts()
+            word, n = counted.field(0), counted.field(1)
+            real = pc.not_equal(word, "")
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([word.filter(real).cast(pa.binary()), pa.array([b""])]),
+                 pa.concat_arrays([n.filter(real), pa.array([len(batch)], pa.int64())])], names=["word", "n"])
 
     return texts.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -294,35 +376,26 @@ def count_trigrams(texts: DataFrame, facts: dict) -> DataFrame:
         vocabulary = Vocabulary(sent.value)
         bounds = np.array(sent.value["bounds"], dtype=np.int64)
 
-        def blocks(lists: list[list[bytes]]) -> pa.RecordBatch:
-            # Zero pads: it follows the end, so a bigram that ends a text has a trigram too.
-            parts = [np.concatenate([[BEGIN], ids, [END, 0]]) for ids in vocabulary.of_texts(lists)]
-            s = np.concatenate(parts)
-            inside = np.flatnonzero((s[:-2] != 0) & (s[1:-1] != 0))
-            a, b, c, n = merge(s[inside], s[inside + 1], s[inside + 2], np.ones(len(inside), dtype=np.int64))
-            shard = np.searchsorted(bounds, a << 32 | b, side="right") - 1
-            heads = runs(shard).tolist()
-            rows = [(int(shard[h]), squeeze([np.diff(a[h:t], prepend=0), b[h:t], c[h:t], n[h:t]]))
-                    for h, t in zip(heads, heads[1:] + [len(a)])]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "block"])
-
-        lists, size = [], 0
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                lists.append(tokens(text))
-                size += len(lists[-1]) + 3
-                if size >= CHUNK_TOKENS:
-                    yield blocks(lists)
-                    lists, size = [], 0
-        if lists:
-            yield blocks(lists)
+        for batch in chunks(batches, CHUNK_BYTES):
+            known, s, heads = vocabulary.sequence(Words(batch.column("text")))
+            # The end is followed by nothing, which has the id zero, so a bigram that ends a text has a trigram too.
+            first = np.ones(len(s), dtype=bool)
+            first[heads[1:] - 1] = first[-1] = False
+            known, s = np.append(0, known), s + 1
+            third = np.append(s[2:], [0, 0])
+            third[heads[1:] - 2] = 0
+            a, b, c, n = count(known, s[first], np.append(s[1:], 0)[first], third[first])
+            cuts = np.searchsorted(a << 32 | b, bounds).tolist() + [len(a)]
+            rows = [(shard, squeeze([np.diff(a[h:t], prepend=0), b[h:t], c[h:t], n[h:t]]))
+                    for shard, (h, t) in enumerate(zip(cuts, cuts[1:])) if t > h]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "block"])
 
     return texts.select("text").mapInArrow(run, "shard int, block binary")
 
 
 def _level(context: np.ndarray, contexts: int, ids: np.ndarray) -> tuple[dict, dict]:
     """Arrays of one level: pointers per context, and ids made monotone over the contexts."""
-    pointers = np.searchsorted(context, np.arange(contexts + 1))
+    pointers = np.append(0, np.cumsum(np.bincount(context, minlength=contexts)))
     heads = runs(context)
     tails = np.append(heads[1:], len(context)) - 1
     bases = np.append(0, np.cumsum(ids[tails])[:-1]) if len(heads) else np.zeros(0, dtype=np.int64)
@@ -343,9 +416,10 @@ def write_bigrams(blocks: DataFrame, facts: dict) -> dict:
         vocabulary, mu = Vocabulary(sent.value), sent.value["mu"]
         for shard, (parts,) in _by_shard(batches, ("block",)):
             columns = [unsqueeze(b, 4) for part in parts for b in part.to_pylist()]
-            a, b, c, n = merge(
-                np.concatenate([np.cumsum(x[0], dtype=np.int64) for x in columns]),
-                *[np.concatenate([x[i] for x in columns]).astype(np.int64) for i in (1, 2, 3)])
+            del parts
+            n = np.concatenate([x.pop() for x in columns])
+            c, b = (np.concatenate([x.pop() for x in columns], dtype=np.int64) for _ in range(2))
+            a, b, c, n = merge(np.concatenate([np.cumsum(x.pop(), dtype=np.int64) for x in columns]), b, c, n)
             del columns
             heads = runs(a, b)
             first, second, pair = a[heads], b[heads], np.add.reduceat(n, heads)
@@ -397,7 +471,7 @@ class Level:
         ``context`` is sorted."""
         heads = runs(context)
         wanted = context[heads]
-        first, end = self.pointers[wanted], self.pointers[wanted + 1]
+        first, end = self.pointers.with_next(wanted)
         base = np.zeros(len(heads), dtype=np.int64)
         base[first > 0] = self.ids[first[first > 0] - 1]
         repeat = np.diff(np.append(heads, len(context)))
@@ -474,10 +548,13 @@ def write_trigrams(spark: SparkSession, facts: dict) -> None:
                 n, pair = joined(*n), joined(*pair)
                 context = np.repeat(np.arange(len(second)), children)
                 tail = np.repeat(second.astype(np.int64), children) << 32 | third
-                distinct, back = np.unique(tail, return_inverse=True)
-                found = trie.bigrams(distinct >> 32, distinct & 0xFFFFFFFF)
+                del second, third, children
+                tails, back = np.unique(tail, return_inverse=True)
+                del tail
+                found = trie.bigrams(tails >> 32, tails & 0xFFFFFFFF)
                 place, p = found["place"][back], found["p"][back]
-                arrays, levels = _level(context, len(second), place + 1)
+                del tails, back, found
+                arrays, levels = _level(context, len(pair), place + 1)
                 arrays["p"] = code(np.log10((n + mu * 10.0**p) / (pair[context] + mu)))
                 write_arrays(f"{folder}/trigrams-{shard}", arrays, levels=levels)
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64())], names=["shard"])
@@ -504,38 +581,43 @@ class Scorer:
     def __init__(self, facts: dict):
         self.vocabulary, self.trie, self.mu = Vocabulary(facts), Trie(facts), facts["mu"]
 
-    def score(self, lists: list[list[bytes]]) -> dict[str, np.ndarray]:
+    def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
         """Per text: tokens, known tokens, unigram score, model score."""
-        sizes = np.array([len(words) + 1 for words in lists])
-        texts = np.repeat(np.arange(len(lists)), sizes)
-        third = np.concatenate([np.append(ids, END) for ids in self.vocabulary.of_texts(lists)])
-        head = np.append(0, np.cumsum(sizes)[:-1])
-        second = np.append(BEGIN, third[:-1])
-        second[head] = BEGIN
-        counts = self.vocabulary.counts(third)
-        unigram = np.log10(self.vocabulary.unigram(counts))
-        # The context of a token is the token before, or the beginning of the text.
-        own = np.append(self.vocabulary.texts, counts[:-1])
-        own[head] = self.vocabulary.texts
-        weight1 = np.log10(self.mu / (own + self.mu))
-        pairs, pair_of = np.unique(second << 32 | third, return_inverse=True)
-        found = self.trie.bigrams(pairs >> 32, pairs & 0xFFFFFFFF)
-        there = found["at"][pair_of] >= 0
-        score = np.where(there, found["p"][pair_of], unigram + weight1)
+        words = Words(texts)
+        known, ranks, heads = self.vocabulary.sequence(words)
+        bits = len(known).bit_length()
+        # Every token but the beginning is scored; its context is the token before.
+        scored = np.ones(len(ranks), dtype=bool)
+        scored[heads] = False
+        third = ranks[scored]
+        second = ranks[:-1][scored[1:]]
+        sizes = words.sizes + 1
+        head = np.cumsum(sizes) - sizes
+        counts = self.vocabulary.counts(known)
+        unigram_of = np.log10(self.vocabulary.unigram(counts))
+        unigram = unigram_of[third]
+        weight1 = np.log10(self.mu / (counts + self.mu))
+        pairs, pair_of = distinct(second << bits | third, 2 * bits)
+        left, right = pairs >> bits, pairs & (1 << bits) - 1
+        found = self.trie.bigrams(known[left], known[right])
+        there = found["at"] >= 0
+        # Of each pair: its probability where it was seen, else that of its second word with the first word's weight.
+        score = np.where(there, found["p"], unigram_of[right] + weight1[left])[pair_of]
         # The context of a trigram is the bigram of the token before.
         before = np.append(0, pair_of[:-1])
-        inner = np.ones(len(third), dtype=bool)
+        inner = there[before]
         inner[head] = False
-        inner &= found["at"][before] >= 0
-        score[inner] += found["weight"][before[inner]]
-        rows = np.flatnonzero(inner & there)
+        score += np.where(inner, found["weight"][before], 0)
+        inner &= there[pair_of]
+        rows = np.flatnonzero(inner)
         if len(rows):
-            asked, asked_of = np.unique(before[rows] << 32 | pair_of[rows], return_inverse=True)
-            left, right = asked >> 32, asked & 0xFFFFFFFF
+            bits = len(pairs).bit_length()
+            asked, asked_of = distinct(before[rows] << bits | pair_of[rows], 2 * bits)
+            left, right = asked >> bits, asked & (1 << bits) - 1
             hit, p = self.trie.trigrams(found["shard"][left], found["at"][left], found["place"][right])
             score[rows] = np.where(hit[asked_of], p[asked_of], score[rows])
-        total = lambda x: np.bincount(texts, weights=x, minlength=len(lists))
-        return {"n_tokens": sizes, "n_known": total(counts > 0).astype(np.int64), "base_score": total(unigram), "score": total(score)}
+        total = lambda x: np.add.reduceat(x, head)
+        return {"n_tokens": sizes, "n_known": total((counts > 0)[third].astype(np.int64)), "base_score": total(unigram), "score": total(score)}
 
 
 def score(docs: DataFrame, facts: dict) -> DataFrame:
@@ -545,26 +627,14 @@ def score(docs: DataFrame, facts: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
 
-        def rows(ids: list, lists: list) -> pa.RecordBatch:
-            found = scorer.score(lists)
-            total = np.full(len(lists), sent.value["total"], dtype=np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(found["n_tokens"], pa.int64()), pa.array(found["n_known"]), pa.array(total),
+        for batch in chunks(batches, CHUNK_BYTES):
+            found = scorer.score(batch.column("text"))
+            total = np.full(len(batch), sent.value["total"], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(found["n_tokens"], pa.int64()), pa.array(found["n_known"]), pa.array(total),
                  pa.array(found["base_score"]), pa.array(found["score"])],
                 names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-        ids, lists, size = [], [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids.append(doc_id)
-                lists.append(tokens(text))
-                size += len(lists[-1]) + 1
-                if size >= CHUNK_TOKENS:
-                    yield rows(ids, lists)
-                    ids, lists, size = [], [], 0
-        if lists:
-            yield rows(ids, lists)
-
     return id_and_text(docs).mapInArrow(
         run, "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import new_folder
-from .common import id_and_text
+from .common import id_and_text, slices
 from .store import Mapped, write_arrays
 
 BLOCK = 2048
@@ -460,16 +460,6 @@ def word_encoder(path: str) -> WordEncoder:
 _SLICE_BYTES = 1 << 23
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < batch.num_rows:
-        before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + _SLICE_BYTES, side="right")))
-        yield batch.slice(start, stop - start)
-        start = stop
-
-
 FILES = "part bigint, segment bigint, n_ids bigint, n_bytes bigint"
 
 
@@ -501,7 +491,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 1, parts: int | Non
             return pa.RecordBatch.from_pylist([{"part": part, "segment": segment, "n_ids": int(arrays["n_ids"][0]), "n_bytes": n_bytes}])
 
         for batch in batches:
-            for some in _slices(batch):
+            for some in slices(batch, _SLICE_BYTES):
                 for doc_id, found in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text"))):
                     found += end
                     first = True

@@ -572,3 +572,50 @@ def test_quality_columns_of_any_name(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
     got = quality_rules.kept_documents(df)
     assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == list(range(12))
+
+
+def test_words_of_columns_are_those_of_single_texts():
+    """Arrow cuts a whole column as ``tokens`` does one text, and lists every word once."""
+    import pyarrow as pa
+
+    texts = ["A bÀ a", None, "", " \t\n\x0b\x0c\r ", "  x\x1cy z  q\x85 ", "İı Σ KK", "a" * 9, "\x00 \x1f a", "B"]
+    for column in (pa.array(texts), pa.array(["no", *texts, "no"]).slice(1, len(texts)), pa.array(["b a"] * 3), pa.array([""])):
+        words = ngram_lm.Words(column)
+        wanted = [ngram_lm.tokens(t) for t in column.to_pylist()]
+        names = words.words.to_pylist()
+        assert [names[i] for i in words.codes] == [w for line in wanted for w in line]
+        assert words.sizes.tolist() == [len(line) for line in wanted] and len(set(names)) == len(names)
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    for size in (1, 8, 1000):
+        assert [t for part in ngram_lm.chunks(iter([batch, batch.slice(3)]), size) for t in part.column("text").to_pylist()] == texts + texts[3:]
+
+
+@pytest.mark.parametrize("bits", [63, 30, 12, 3])
+def test_trigrams_counted_in_keys_of_any_width(monkeypatch, bits):
+    """One packed key, ids replaced by places, or columns apart: the same trigrams and counts."""
+    monkeypatch.setattr(ngram_lm, "KEY_BITS", bits)
+    rng = np.random.default_rng(bits)
+    known = np.unique(rng.integers(0, 1 << 40, 60))
+    a, b, c = (rng.integers(0, len(known), 3000) for _ in range(3))
+    a[:2000], b[:2000] = a[0], b[0] % 7
+    wanted = Counter(zip(known[a].tolist(), known[b].tolist(), known[c].tolist()))
+    once = ngram_lm.count(known, a, b, c)
+    assert list(zip(*(x.tolist() for x in once))) == [(*k, n) for k, n in sorted(wanted.items())]
+    twice = ngram_lm.merge(*(np.concatenate([x, x[::-1]]) for x in once))
+    assert list(zip(*(x.tolist() for x in twice))) == [(*k, 2 * n) for k, n in sorted(wanted.items())]
+    keys, places = ngram_lm.distinct(known[a], 40)
+    assert (keys == np.unique(known[a])).all() and (keys[places] == known[a]).all()
+
+
+def test_elias_fano_runs_and_neighbours():
+    """Runs of one high part over several words, and a value together with the next one."""
+    rng = np.random.default_rng(7)
+    for values in (np.concatenate([rng.integers(10**6, 10**6 + 4000, 3000), rng.integers(0, 10**9, 500)]), np.zeros(300), np.arange(0, 10**7, 9973)):
+        values = np.sort(values.astype(np.int64))
+        arrays, facts = elias_fano.EliasFano.encode(values)
+        sequence = elias_fano.EliasFano(arrays, **facts)
+        here, after = sequence.with_next(np.arange(len(values) - 1))
+        assert (here == values[:-1]).all() and (after == values[1:]).all()
+        wanted = np.concatenate([values, values + 1, values // 2, [10**10]])
+        at, equal = sequence.successor(wanted)
+        assert (at == np.searchsorted(values, wanted)).all() and (equal == np.isin(wanted, values)).all()
