@@ -23,7 +23,7 @@ error; other columns are not read.
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -354,18 +354,18 @@ def _byte_characters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, equal chunks encoded once.
+    """Ids of whole texts by the tokenizers library, equal words encoded once.
 
     The tokenizer must drop white space and never join text across it; chunks between spaces and line ends then
     encode alone as they do in the text. New chunks go to the library many in one text, with a special token between
     them, at which it cuts a text before anything else; a chunk that might hold one is encoded alone.
-    Where the tokenizer file says that it lower-cases, cuts between letters and marks and works on bytes, a new
-    word of plain letters goes to the library's merge model at once, and marks behind it are looked up apart.
+    Where the tokenizer file says that it lower-cases, cuts between letters and marks and works on bytes, Arrow cuts
+    chunks into a word of plain letters and marks behind it; words and marks are then looked up and known apart, and
+    a new word goes to the library's merge model at once.
     """
 
     # Letters that neither normal forms nor lower-casing turn into anything else, then marks that start no ending.
-    _WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-    _MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+    _CHUNK = "^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[" + re.escape("!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~") + "]*)$"
     # The steps of such a tokenizer, and the end of the pattern it cuts by.
     _STEPS = ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
     _CUTS = "|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -378,7 +378,10 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.model, self.letters = self.tokenizer.model, _byte_characters()
+        self.model = self.tokenizer.model
+        # By character, the bytes of plain letters as the vocabulary writes them.
+        letters = _byte_characters()
+        self.spelled = [c if c < 128 else chr(c).encode().decode("latin-1").translate(letters) for c in range(256)]
         self.plain = self._is_plain(json.loads(self.tokenizer.to_str()))
         marks = [(i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()
                  if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
@@ -389,30 +392,26 @@ class WordEncoder:
         cuts = (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
         return [step["type"] for step in before + cuts] == self._STEPS and cuts[0]["pattern"].get("Regex", "").endswith(self._CUTS)
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a word of plain lower-case letters."""
-        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return b"".join([token.id.to_bytes(2, "little") for token in self.model.tokenize(spelled)])
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Add new chunks to the known ones."""
-        known = self.known
-        parts, others, marks_of, plain_word = [], set(), self._MARKS, self._WORD.fullmatch
-        for chunk in chunks:
-            word = chunk.rstrip(marks_of)
-            # The pattern is only asked about words with letters beyond ASCII.
-            if self.plain and (word.isalpha() if word.isascii() else plain_word(word)):
-                marks = chunk[len(word) :]
-                parts.append((chunk, word.lower(), marks))
-                others.add(marks)
-            else:
-                others.add(chunk)
-        self._ask(list(others.difference(known)))
-        for chunk, word, marks in parts:
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = self._word(word)
-            known[chunk] = ids + known[marks]
+    def _merge(self, words: list[str]) -> None:
+        """Learn words of plain lower-case letters."""
+        tokenize, spelled = self.model.tokenize, self.spelled
+        ids, ends = [], [0]
+        for word in words:
+            ids += [token.id for token in tokenize(word if word.isascii() else word.translate(spelled))]
+            ends.append(2 * len(ids))
+        raw = np.array(ids, dtype="<u2").tobytes()
+        self.known.update(zip(words, [raw[i:j] for i, j in zip(ends, ends[1:])]))
+
+    def _ids(self, parts: pa.Array, learn: Callable[[list[str]], None]) -> pa.Array:
+        """Ids of each part; of equal ones and of those known before none is looked at again."""
+        coded = parts.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, names))
+        places = [i for i, ids in enumerate(found) if ids is None]
+        learn([names[i] for i in places])
+        for i in places:
+            found[i] = self.known[names[i]]
+        return pa.array(found, pa.binary()).take(coded.indices)
 
     def _ask(self, chunks: list[str]) -> None:
         joined = [c for c in chunks if self.mark[0] not in c] if self.mark else []
@@ -430,22 +429,25 @@ class WordEncoder:
                 self.known[chunk] = np.array(found.ids, dtype="<u2").tobytes()
 
     def encode(self, texts: pa.Array) -> list[bytes]:
-        """Ids of each text. Arrow cuts the texts and finds the different chunks; only these are looked up one by one."""
+        """Ids of each text. Arrow cuts the texts and finds the different chunks; only these are looked at."""
         if not len(texts):
             return []
-        words = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
-        coded = words.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        chunks = coded.dictionary
         if len(self.known) > CHUNK_LIMIT:
             self.known.clear()
-        found = list(map(self.known.get, chunks))
-        places = [i for i, ids in enumerate(found) if ids is None]
-        self._learn([chunks[i] for i in places])
-        for i in places:
-            found[i] = self.known[chunks[i]]
-        all_ids = pa.array(found, pa.large_binary()).take(coded.indices)
+        if self.plain:
+            cut = pc.extract_regex(chunks, self._CHUNK)
+            words, marks = pc.utf8_lower(pc.struct_field(cut, [0])), pc.struct_field(cut, [1])
+            ids = pc.binary_join_element_wise(self._ids(words, self._merge), self._ids(marks, self._ask), b"")
+            other = pc.is_null(cut)
+            ids = pc.replace_with_mask(ids, other, self._ids(chunks.filter(other), self._ask))
+        else:
+            ids = self._ids(chunks, self._ask)
+        all_ids = ids.cast(pa.large_binary()).take(coded.indices)
         ends = np.frombuffer(all_ids.buffers()[1], dtype=np.int64, count=len(all_ids) + 1)
-        bounds = ends[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        bounds = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
         data = all_ids.buffers()[2]
         data = memoryview(data) if data is not None else memoryview(b"")
         return [bytes(data[i:j]) for i, j in zip(bounds, bounds[1:])]

@@ -619,3 +619,14 @@ def test_elias_fano_runs_and_neighbours():
         wanted = np.concatenate([values, values + 1, values // 2, [10**10]])
         at, equal = sequence.successor(wanted)
         assert (at == np.searchsorted(values, wanted)).all() and (equal == np.isin(wanted, values)).all()
+
+
+def test_words_and_marks_are_known_apart():
+    """A word is merged once, whatever its case and the marks behind it, and kept once."""
+    import pyarrow as pa
+
+    encoder = range_coder.WordEncoder(WORDS)
+    texts = ["Word word! WORD?! Été, étÉ été?! x1", "word, 's été. ÉTÉ! !"]
+    wanted = [np.array(e.ids, dtype="<u2").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(pa.array(texts)) == wanted
+    assert set(encoder.known) == {"word", "été", "", "!", "?!", ",", ".", "x1", "'s"}
