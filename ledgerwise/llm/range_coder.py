@@ -49,7 +49,16 @@ _WINDOW, _ONE, _TWO = (1 << _WINDOW_BITS) - 1, 1 << 32, 1 << 16
 _BITS1, _BITS2, _BLOCK_BITS = 10, 11, 11
 _SURE = 3
 _KINDS, _STATES = 4, 32
+# Numbers of a state in a table of shares: the ends of the shares, then one per kind.
+_PLACES = 1 + _KINDS
 _OBSERVED = 24
+# A kind's begin in shares, below its units in a table; a part that is a whole share has as many units as that.
+_BEGIN_BITS = 13
+_PART = _BEGIN_BITS + _UNIT_BITS
+# Fields of 14 bits for three ends: one in each, their uppermost bits, and where the product of such bits and ``_EACH`` has their sum.
+_FIELD = 14
+_EACH = 1 | 1 << _FIELD | 1 << 2 * _FIELD
+_REACHED, _SUM = _EACH << _FIELD - 1, 3 * _FIELD - 1
 
 
 def _slots(last, before) -> tuple[np.ndarray, np.ndarray]:
@@ -73,23 +82,35 @@ class Shares:
 
     def __init__(self, n: int):
         self.n = n
-        self.counts = np.tile(_first_counts(), (n, 1, 1))
+        self.counts = np.tile(_first_counts().T, (1, n)).astype(np.float64)
 
     def table(self, seen: int) -> np.ndarray:
-        """Per block and state, packed: ends of the shares of order 2, 1 and 0, and the units of one id seen in order 0."""
-        least = np.ones((_STATES, _KINDS), dtype=np.int64)
-        least[16:, 1] = 0
-        least[:, 2] = seen > 0
-        counts = self.counts * (least > 0)
-        shares = least + counts * (_SHARES - least.sum(axis=1))[:, None] // counts.sum(axis=2)[:, :, None]
-        ends = np.cumsum(shares[:, :, :3], axis=2)
-        unit = np.maximum((shares[:, :, 2] << _UNIT_BITS) // max(seen, 1), 1)
-        return (ends[:, :, 0] | ends[:, :, 1] << 13 | ends[:, :, 2] << 26 | unit << 39).ravel()
-
-    def add(self, state: np.ndarray, kind: np.ndarray) -> None:
-        """Count what was found; ``state`` has the block in its upper bits."""
-        found = np.bincount((state * _KINDS + kind).ravel(), minlength=self.n * _STATES * _KINDS)
-        self.counts += _OBSERVED * found.reshape(self.counts.shape)
+        """Per block and state ``_PLACES`` numbers: packed, the ends of the shares of order 2, 1 and 0; then for each kind,
+        packed, the begin of its share and the units of one part of it (order 2 and 1: the whole share; order 0: one id seen;
+        new: one id)."""
+        least = np.ones((_KINDS, 1, _STATES))
+        least[1, :, 16:] = 0
+        least[2] = seen > 0
+        counts = self.counts.reshape(_KINDS, self.n, _STATES) * (least > 0)
+        total = counts[0] + counts[1] + counts[2] + counts[3]
+        # Whole numbers far below 2 ** 53: the whole parts of these quotients are exact.
+        counts *= _SHARES - least.sum(axis=0)
+        counts /= total
+        two, one, zero, _ = counts.astype(np.int64) + least.astype(np.int64)
+        one += two
+        zero += one
+        found = np.empty((self.n, _STATES, _PLACES), dtype=np.int64)
+        found[:, :, 0] = two | one << _FIELD | zero << 2 * _FIELD
+        found[:, :, 1] = two << _PART
+        found[:, :, 2] = two | one - two << _PART
+        found[:, :, 3] = one | np.maximum((zero - one << _UNIT_BITS) // max(seen, 1), 1) << _BEGIN_BITS
+        found[:, :, 4] = zero | _SHARES - zero << _BEGIN_BITS
+        return found.ravel()
+
+    def add(self, places: np.ndarray) -> None:
+        """Count what was found, given as places in the table."""
+        found = np.bincount(places.ravel(), minlength=self.n * _STATES * _PLACES).reshape(-1, _PLACES)
+        self.counts += _OBSERVED * found[:, 1:].T
 
 
 def _chunks(size: int) -> list[tuple[int, int]]:
@@ -122,30 +143,31 @@ def _guesses(ids: np.ndarray, slots: np.ndarray) -> np.ndarray:
 
 
 class _Earlier:
-    """Where every id stands in its block's ids of the positions before a renewal."""
+    """How often every id stands in its block's ids of the positions before a renewal, and how many smaller ones."""
 
     def __init__(self, ids: np.ndarray):
         n, size = ids.shape
         key = np.sort((ids.astype(np.uint32) << _BLOCK_BITS) | np.arange(size, dtype=np.uint32), axis=1)
-        position = key & BLOCK - 1
-        place = (position + np.arange(0, n * size, size)[:, None]).ravel()
-        self.position = position.astype(np.int16).ravel()
+        place = ((key & BLOCK - 1) + np.arange(0, n * size, size)[:, None]).ravel()
         value = key >> _BLOCK_BITS
         new = np.ones((n, size), dtype=bool)
         np.not_equal(value[:, 1:], value[:, :-1], out=new[:, 1:])
-        starts = np.flatnonzero(new)
-        self.group = np.empty(n * size, dtype=np.int64)
-        self.group[place] = np.cumsum(new.ravel()) - 1
-        self.bounds = np.append(starts, n * size)
+        # Different ids are numbered in ascending order, block by block.
+        number = np.cumsum(new.ravel())
+        number -= 1
+        self.group = np.empty((n, size), dtype=np.int64)
+        self.group.ravel()[place] = number
+        self.count = np.zeros(number[-1] + 1, dtype=np.int64)
+        self.upto = np.zeros(len(self.count) + 1, dtype=np.int64)
+
+    def find(self, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """First place and number of places among the ``start`` ids added so far, in ascending order, of the ids of a chunk."""
+        group = np.ascontiguousarray(self.group[:, start:end])
+        return self.upto.take(group) - start * np.arange(len(group))[:, None], self.count.take(group)
 
-    def find(self, seen: int, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First place and number of places among the ``seen`` first ids, in ascending order, of the ids at the given places."""
-        upto = np.zeros(len(self.position) + 1, dtype=np.int32)
-        np.cumsum(self.position < seen, out=upto[1:])
-        upto = upto.take(self.bounds)
-        count = np.diff(upto)
-        group = self.group.take(at)
-        return upto.take(group) - row * seen, count.take(group)
+    def add(self, start: int, end: int) -> None:
+        self.count += np.bincount(self.group[:, start:end].ravel(), minlength=len(self.count))
+        np.cumsum(self.count, out=self.upto[1:])
 
 
 def _plan(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,161 +182,209 @@ def _plan(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     guess1, guess2 = entry1 & 0xFFFF, entry2 & 0xFFFF
     state = ((entry2 >> 14 & 12) + (entry1 >> 16) + ((guess1 == guess2).view(np.int8) << 4)).astype(np.int64)
     state += np.arange(0, n * _STATES, _STATES)[:, None]
+    state *= _PLACES
     not2 = wide != guess2
     kinds = not2.view(np.int8) * (1 + 2 * (wide != guess1).view(np.int8))
-    earlier, wide = _Earlier(ids), wide.ravel()
+    earlier = _Earlier(ids)
     begin, width = np.empty((n, size), dtype=np.int64), np.empty((n, size), dtype=np.int64)
     shares = Shares(n)
     for start, end in _chunks(size):
-        kind, states = np.ascontiguousarray(kinds[:, start:end]), np.ascontiguousarray(state[:, start:end])
-        packed = shares.table(start).take(states)
-        end2, end1 = (packed & 8191) << _UNIT_BITS, (packed >> 13 & 8191) << _UNIT_BITS
-        miss2 = not2[:, start:end]
-        chunk_begin, chunk_width = end2 * miss2, np.where(miss2, end1 - end2, end2)
-        missed = np.flatnonzero(kind == 3)
-        row = missed // (end - start)
-        at = missed + row * (size - end + start) + start
-        first, count = earlier.find(start, row, at)
-        known = count > 0
-        kind.ravel()[missed] = 3 - known
-        packed = packed.ravel().take(missed)
-        end0 = packed >> 26 & 8191
-        unit = np.where(known, packed >> 39, _SHARES - end0)
-        chunk_begin.ravel()[missed] = np.where(known, end1.ravel().take(missed), end0 << _UNIT_BITS) + unit * np.where(known, first, wide.take(at))
-        chunk_width.ravel()[missed] = unit * np.where(known, count, 1)
-        begin[:, start:end], width[:, start:end] = chunk_begin, chunk_width
-        shares.add(states, kind)
+        first, count = earlier.find(start, end)
+        missed = kinds[:, start:end] == 3
+        known = missed & (count > 0)
+        new = missed & (count == 0)
+        places = state[:, start:end] + kinds[:, start:end]
+        places -= known
+        places += 1
+        part = shares.table(start).take(places)
+        base = part & (1 << _BEGIN_BITS) - 1
+        base <<= _UNIT_BITS
+        part >>= _BEGIN_BITS
+        first *= known
+        first += wide[:, start:end] * new
+        first *= part
+        np.add(base, first, out=begin[:, start:end])
+        count -= 1
+        count *= known
+        count += 1
+        np.multiply(count, part, out=width[:, start:end])
+        shares.add(places)
+        earlier.add(start, end)
     return begin.T, width.T
 
 
-# Blocks planned at once: their arrays stay in the processor's cache.
-_PLANNED = 64
+# Blocks planned at once, so that their arrays stay in the processor's cache, and blocks coded at once.
+_PLANNED, _CODED = 64, 1024
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code rows of ids (blocks x positions); returns all 16-bit words block by block, and words per block."""
+    some = [_encode(ids[i : i + _CODED]) for i in range(0, len(ids), _CODED)]
+    return np.concatenate([words for words, _ in some]), np.concatenate([counts for _, counts in some])
+
+
+def _encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n, size = ids.shape
     begin, width = np.empty((size, n), dtype=np.int64), np.empty((size, n), dtype=np.int64)
     for i in range(0, n, _PLANNED):
         begin[:, i : i + _PLANNED], width[:, i : i + _PLANNED] = _plan(ids[i : i + _PLANNED])
     low, span = np.zeros(n, dtype=np.int64), np.full(n, _WINDOW + 1)
     # Up to two words a position and two at the end; a word may hold a carry in bit 16 for now.
-    words, filled = np.empty((size + 1, 2, n), dtype=np.int32), np.empty((size + 1, 2, n), dtype=bool)
+    words, filled = np.empty((n, size + 1, 2), dtype=np.int32), np.empty((n, size + 1, 2), dtype=bool)
     for step in range(size):
         unit = span >> _TOTAL_BITS
         low += unit * begin[step]
         span = unit * width[step]
-        one, two = np.less(span, _ONE, out=filled[step, 0]), np.less(span, _TWO, out=filled[step, 1])
-        words[step, 0] = low >> 32
-        words[step, 1] = low >> 16 & 0xFFFF
-        shift = np.add(one, two, dtype=np.int64) << 4
-        low = np.where(one, low << shift & _WINDOW, low)
+        one, two = span < _ONE, span < _TWO
+        filled[:, step, 0], filled[:, step, 1] = one, two
+        words[:, step, 0] = low >> 32
+        words[:, step, 1] = low >> 16 & 0xFFFF
+        # What leaves the window goes; a carry stays as long as no word goes with it.
+        shift = one.astype(np.int64)
+        keep = shift - 1
+        keep |= _WINDOW
+        shift += two
+        shift <<= 4
+        low <<= shift
+        low &= keep
         span <<= shift
     last = low + 0xFFFF >> 16
-    words[size, 0], words[size, 1], filled[size] = last >> 16, last & 0xFFFF, True
-    filled = filled.transpose(2, 0, 1).reshape(n, -1)
-    flat = words.transpose(2, 0, 1).reshape(n, -1)[filled]
+    words[:, size, 0], words[:, size, 1], filled[:, size] = last >> 16, last & 0xFFFF, True
+    filled = filled.reshape(n, -1)
+    flat = words.reshape(n, -1)[filled]
     while (carry := flat >> 16).any():
         flat &= 0xFFFF
         flat[:-1] += carry[1:]
     return flat.astype(np.uint16), filled.sum(axis=1).astype(np.uint32)
 
 
-def _order0(ids: np.ndarray) -> np.ndarray:
-    """Per block the ids seen so far in ascending order, at each place packed: id, first place, places."""
-    n, seen = ids.shape
+def _order0(ordered: np.ndarray) -> np.ndarray:
+    """Per block, of its ids so far in ascending order, at each place packed: id, first place, places."""
+    n, seen = ordered.shape
     packed = np.empty((n, seen), dtype=np.int64)
     for i in range(0, n, _PLANNED):
-        ordered = np.sort(ids[i : i + _PLANNED].astype(np.int32), axis=1)
-        new = np.ones(ordered.shape, dtype=bool)
-        np.not_equal(ordered[:, 1:], ordered[:, :-1], out=new[:, 1:])
+        some = ordered[i : i + _PLANNED]
+        new = np.ones(some.shape, dtype=bool)
+        np.not_equal(some[:, 1:], some[:, :-1], out=new[:, 1:])
         starts = np.flatnonzero(new)
-        counts = np.diff(starts, append=ordered.size)
-        runs = ordered.ravel()[starts] | starts % seen << 16 | counts << 32
-        packed[i : i + _PLANNED] = np.repeat(runs, counts).reshape(ordered.shape)
+        counts = np.diff(starts, append=some.size)
+        runs = starts - starts // seen * seen
+        runs <<= 16
+        runs |= some.ravel().take(starts)
+        runs |= counts << 32
+        packed[i : i + _PLANNED] = np.repeat(runs, counts).reshape(some.shape)
     return packed.ravel()
 
 
+# In a damaged block a span can come to nothing; it is the block's sum that tells.
+@np.errstate(divide="ignore")
 def decode(words: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """The ids of all blocks, ``size`` of each."""
     n = len(counts)
-    words = np.append(words, np.zeros(4, dtype=np.uint16)).astype(np.int64)
+    words = np.append(words, np.zeros(4, dtype=np.uint16)).astype(np.uint32)
     pairs = words[:-1] << 16 | words[1:]
     at = np.cumsum(counts.astype(np.int64)) - counts
-    code = pairs[at] << 16 | words[at + 2]
+    code = pairs[at].astype(np.int64) << 16 | words[at + 2]
     at += 3
     span = np.full(n, _WINDOW + 1)
     row0 = np.arange(n, dtype=np.int64)
-    row = row0.astype(np.int32)
     # Contexts and entries are of 32 bits; only the low bits of the hashes count, so they may overflow.
-    row1, row2, row_state = row0 << _BITS1, row0 << _BITS2, row * _STATES
-    table1, table2 = np.zeros(n << _BITS1, dtype=np.int32), np.zeros(n << _BITS2, dtype=np.int32)
+    row1, row2 = row0 << _BITS1, (n << _BITS1) + (row0 << _BITS2)
+    slots, tables = np.empty((2, n), dtype=np.int64), np.zeros((n << _BITS1) + (n << _BITS2), dtype=np.int32)
+    # By kind, the guesses of orders 2 and 1; the others have none.
+    guesses = np.zeros((_KINDS, n), dtype=np.int32)
+    two_guesses = guesses[:2]
+    row_state = row0.astype(np.int32) * _STATES
     last = before = np.zeros(n, dtype=np.int32)
-    ids = np.empty((size, n), dtype=np.uint16)
+    ids, ordered = np.empty((n, size), dtype=np.uint16), np.empty((n, size), dtype=np.uint16)
     shares = Shares(n)
     for start, end in _chunks(size):
         table = shares.table(start)
-        order0 = _order0(ids[:start].T) if start else np.zeros(1, dtype=np.int64)
+        order0 = _order0(ordered[:, :start]) if start else np.zeros(1, dtype=np.int64)
+        chunk = np.empty((end - start, n), dtype=np.uint16)
         row_seen = row0 * start
-        states, kinds = np.empty((end - start, n), dtype=np.int32), np.empty((end - start, n), dtype=np.int8)
+        places = np.empty((end - start, n), dtype=np.int64)
         for step in range(start, end):
             slot1, slot2 = _slots(last, before)
-            slot1, slot2 = slot1 + row1, slot2 + row2
-            entry1, entry2 = table1.take(slot1), table2.take(slot2)
-            guess1, guess2 = entry1 & 0xFFFF, entry2 & 0xFFFF
-            state = states[step - start]
-            np.add(entry2 >> 14 & 12, entry1 >> 16, out=state)
-            state += (guess1 == guess2).view(np.int8) << 4
+            np.add(slot2, row2, out=slots[0])
+            np.add(slot1, row1, out=slots[1])
+            entries = tables.take(slots)
+            np.bitwise_and(entries, 0xFFFF, out=two_guesses)
+            entries >>= 16
+            state = (guesses[0] == guesses[1]).astype(np.int32)
+            state <<= 2
+            state += entries[0]
+            state <<= 2
+            state += entries[1]
             state += row_state
-            packed = table.take(state)
-            end2, end1, end0 = packed & 8191, packed >> 13, packed >> 26
-            end1 &= 8191
-            end0 &= 8191
+            state *= _PLACES
+            state = state.astype(np.int64)
             unit = span >> _TOTAL_BITS
             place = code // unit
-            share = place >> _UNIT_BITS
-            not2, not1, new = share >= end2, share >= end1, share >= end0
-            # Order 0 and new ids: units before them, units of one place, and the place.
-            base = np.where(new, end0, end1)
+            # All three ends are compared at once: a bit stays where the share is not below the end. Their sum is the kind.
+            kind = place >> _UNIT_BITS
+            kind *= _EACH
+            kind += _REACHED
+            kind -= table.take(state)
+            kind &= _REACHED
+            kind *= _EACH
+            kind >>= _SUM
+            kind &= 3
+            state += 1
+            which = np.add(state, kind, out=places[step - start])
+            part = table.take(which)
+            # Units before the share of this kind, units of one place in it, and the place.
+            base = part & (1 << _BEGIN_BITS) - 1
             base <<= _UNIT_BITS
-            part = np.where(new, _SHARES - end0, packed >> 39)
+            part >>= _BEGIN_BITS
             place -= base
             place //= part
-            found = np.where(new, place * 65537 + (1 << 32), order0.take(row_seen + place, mode="clip"))
-            now = np.where(not1, found.astype(np.int32) & 0xFFFF, np.where(not2, guess1, guess2))
-            first = found >> 16
-            first &= 0xFFFF
-            first *= part
-            first += base
-            found >>= 32
-            found *= part
-            end2 <<= _UNIT_BITS
-            end1 <<= _UNIT_BITS
-            begin = np.where(not1, first, end2 * not2)
+            # Id, first place and places packed: those of order 0, else of a new id or of a whole share.
+            found = order0.take(row_seen + place, mode="clip")
+            place *= 65537
+            place += 1 << 32
+            found -= place
+            found *= kind == 2
+            found += place
+            # Orders 2 and 1 have their guesses instead of the id.
+            kind *= n
+            kind += row0
+            now = found.astype(np.int32)
+            now &= 0xFFFF
+            now += guesses.take(kind, mode="clip")
+            begin = found >> 16
+            begin &= 0xFFFF
+            begin *= part
+            begin += base
             begin *= unit
             code -= begin
-            end1 -= end2
-            span = np.where(not1, found, np.where(not2, end1, end2))
-            span *= unit
-            more = ((span < _ONE).view(np.int8) + (span < _TWO).view(np.int8)).astype(np.int64)
-            fill = pairs.take(at, mode="clip")
+            found >>= 32
+            found *= part
+            found *= unit
+            span = found
+            more = np.add(span < _ONE, span < _TWO, dtype=np.int64)
+            fill = pairs.take(at, mode="clip").astype(np.int64)
             at += more
             more <<= 4
             fill >>= 32 - more
             code <<= more
             code |= fill
             span <<= more
-            sure = now + (_SURE << 16)
-            for table_of, slot, entry, guess in ((table1, slot1, entry1, guess1), (table2, slot2, entry2, guess2)):
-                entry += 65536
-                np.minimum(entry, sure, out=entry)
-                table_of[slot] = np.where(now == guess, entry, now)
-            ids[step] = now
-            np.add(not2.view(np.int8), not1.view(np.int8), out=kinds[step - start])
-            kinds[step - start] += new.view(np.int8)
+            # An entry that was right is surer, another one is replaced.
+            entries += 1
+            np.minimum(entries, _SURE, out=entries)
+            entries *= two_guesses == now
+            entries <<= 16
+            entries += now
+            tables[slots] = entries
+            chunk[step - start] = now
             before, last = last, now
-        shares.add(states.astype(np.int64), kinds)
-    return ids.T
+        shares.add(places)
+        for i in range(0, n, _PLANNED):
+            ids[i : i + _PLANNED, start:end] = ordered[i : i + _PLANNED, start:end] = chunk[:, i : i + _PLANNED].T
+            if end < size:
+                ordered[i : i + _PLANNED, :end].sort(axis=1)
+    return ids
 
 
 def pack_ids(ids: np.ndarray) -> dict[str, np.ndarray]:

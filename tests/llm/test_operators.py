@@ -147,6 +147,49 @@ def test_coded_blocks(n):
             range_coder.unpack_ids(packed)
 
 
+@pytest.mark.filterwarnings("error")
+def test_files_keep_their_words():
+    """Faster coding writes the words that it wrote before, and a damaged block still fails without a warning."""
+    for n, wanted, counts in ((5000, 1174119038, [913, 908, 425]), (300, 3934493226, [161])):
+        packed = range_coder.pack_ids((np.random.default_rng(n).zipf(1.4, n) % 5000).astype(np.uint16))
+        assert (zlib.crc32(packed["words"].tobytes()), packed["block_words"].tolist()) == (wanted, counts)
+        packed["words"] = packed["words"].copy()
+        packed["words"][9] ^= 4
+        with pytest.raises(ValueError):
+            range_coder.unpack_ids(packed)
+
+
+def test_shares_are_whole_parts():
+    """The table of shares against whole numbers, state by state."""
+    rng = np.random.default_rng(5)
+    for seen in (0, 32, 1792):
+        shares = range_coder.Shares(2)
+        for _ in range(20 if seen else 0):
+            shares.add((rng.integers(0, 2 * 32, seen) * 5 + 1 + rng.integers(0, 4, seen)))
+        table = shares.table(seen).reshape(-1, 5).tolist()
+        for place, (ends, *kinds) in enumerate(table):
+            same = place % 32 >= 16
+            least = [1, int(not same), int(seen > 0), 1]
+            counts = [int(c) * m for c, m in zip(shares.counts[:, place], least)]
+            size = [m + c * (4096 - sum(least)) // sum(counts) for m, c in zip(least, counts)]
+            begins = [0, size[0], size[0] + size[1], sum(size[:3])]
+            units = [size[0] << 16, size[1] << 16, max((size[2] << 16) // max(seen, 1), 1), 4096 - begins[3]]
+            assert ends == begins[1] | begins[2] << 14 | begins[3] << 28
+            assert kinds == [b | u << 13 for b, u in zip(begins, units)]
+
+
+def test_encoding_holds_some_blocks_at_once():
+    import tracemalloc
+
+    ids = (np.random.default_rng(1).zipf(1.2, 2048 * 2048) % 50000).astype(np.uint16).reshape(-1, 2048)
+    tracemalloc.start()
+    words, counts = range_coder.encode(ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    assert (range_coder.decode(words, counts, 2048) == ids).all()
+
+
 def test_files_split_documents(docs, monkeypatch, tmp_path):
     """A document longer than a file goes on in the next one."""
     from ledgerwise.llm.store import Mapped, write_arrays
